@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ from helixspark.llm.common import small_batches, without
 PATH_DIMS, WORD_DIMS, EXTRA, HIDDEN = 96, 48, 5, 16
 FIT_PAGES = 700
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*+>|[^>]*>)""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+')*+>|[^<>]*+>)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
 SILENT = {"script", "style", "template", "noscript", "title", "iframe", "object", "svg", "math", "canvas"}
@@ -40,6 +41,8 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: tag: open elements that a new one ends, looked for no further than CONTAINERS
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Open elements, counted from a block outwards, whose names make its path.
+NEAREST = 40
 CONTAINERS = {"ul", "ol", "dl", "table", "select", "div", "article", "section", "body", "main", "nav"}
 
 
@@ -47,6 +50,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     """(text, names on the tag path, share of its characters in links) of each block with text, in page order."""
     out: list[tuple[str, tuple[str, ...], float]] = []
     open_tags: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter = Counter()  # of the tags in open_tags
+    endless: set[str] = set()  # silent tags of which no end is left
     parts: list[str] = []
     path: tuple[str, ...] = ()
     linked = 0
@@ -55,8 +60,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal path, linked
         if raw and not raw.isspace():
             if not parts or not path:
-                path = tuple(n for _, names in open_tags for n in names)
-            if any(t == "a" for t, _ in open_tags):
+                path = tuple(n for _, names in open_tags[-NEAREST:] for n in names)
+            if opened["a"]:
                 linked += len(raw)
         parts.append(raw)
 
@@ -69,6 +74,14 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         parts.clear()
         path, linked = (), 0
 
+    def leave(tag: str) -> None:
+        """End the innermost element of a tag, and all in it."""
+        while opened[tag]:
+            last = open_tags.pop()[0]
+            opened[last] -= 1
+            if last == tag:
+                break
+
     at = 0
     while m := TAG.search(page, at):
         text(page[at : m.start()])
@@ -79,27 +92,26 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if m[1]:  # a closing tag ends its element and all in it; a stray one nothing
             if tag not in INLINE:
                 close()
-            if any(t == tag for t, _ in open_tags):
-                while open_tags.pop()[0] != tag:
-                    pass
+            leave(tag)
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in SILENT:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag not in INLINE:
-                close()
+            end = None if tag in endless else re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
+            close()
             at = end.end() if end else (len(page) if tag in ("script", "style") else at)
             continue
         if tag not in INLINE:
             close()
-            if any(t == "p" for t, _ in open_tags):  # any new block ends an open paragraph
-                while open_tags.pop()[0] != "p":
-                    pass
+            leave("p")  # any new block ends an open paragraph
             if tag in ENDS:
                 for k in range(len(open_tags) - 1, -1, -1):
                     if open_tags[k][0] in ENDS[tag]:
+                        for t, _ in open_tags[k:]:
+                            opened[t] -= 1
                         del open_tags[k:]
                         break
                     if open_tags[k][0] in CONTAINERS:
@@ -109,6 +121,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             for a in NAMES.findall(m[3]):
                 names += ["." + w for w in WORDS.findall("".join(a).lower())]
             open_tags.append((tag, tuple(names) if tag not in INLINE or tag == "a" else ()))
+            opened[tag] += 1
     text(page[at:])
     close()
     return out
