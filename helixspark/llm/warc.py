@@ -140,7 +140,9 @@ class WarcReader(DataSourceReader):
                     out.append(Part(f"{self.path}/{info.base_name}", 0, None))
         return out
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # an archive without records has no partition
+            return
         fs, file = opened(part.file)
         schema = pa.schema([pa.field(c, {"payload": pa.binary(), "payload_length": pa.int64()}.get(c, pa.string())) for c in self.columns])
         wants = "payload" in self.columns
