@@ -26,7 +26,7 @@ from helixspark.llm.common import small_batches, without
 CHUNK, STEP, HOP = 256, 224, 4
 DIM, FILTERS, LAGS = 8, 24, 32
 #: Labelled rows at most that a model is fitted on, and characters of each (in slices spread over the text).
-FIT_ROWS, FIT_CHARS = 2400, 2048
+FIT_ROWS, FIT_CHARS = 7000, 2048
 THRESHOLD = 0.3
 
 
@@ -87,7 +87,7 @@ def cut_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return padded[np.where(inside, at, len(data))], first
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 48, seed: int = 7) -> ByteConvNet | None:
+def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 48, seed: int = 7) -> ByteConvNet | None:
     """Fit by Adam on logistic loss; gradients reach the filters through each pool's winning window."""
     if not texts:
         return None
