@@ -7,13 +7,14 @@ shingles' next arrivals all come after the latest of its registers (early termin
 registers estimates the probability Jaccard similarity. Bands of registers give candidates, which are then
 verified exactly.
 
-Two documents are linked if the plain or the probability Jaccard similarity of their shingles is 0.8 or more,
-both computed exactly. Classes are the connected components.
+Two documents are linked if the Jaccard similarity of their shingles, plain or weighted by counts (sum of the
+smaller over sum of the larger), is 0.8 or more, both computed exactly. Classes are the connected components.
 
-How a large bucket is handled: equal texts are merged before anything else. In each round every bucket names
-one member, and all members that are not yet in its class are compared with it, so a round costs no more than
-the rows of the buckets. What is still apart after the star rounds is compared in pairs across classes, once
-each, so no link between texts that share a bucket is lost.
+How a large bucket is handled: equal texts are merged before anything else. In a round every bucket names one
+member, and all members that are not yet in its class are compared with it, so a round costs no more than the
+rows of the buckets. What is still apart in a bucket after STAR_ROUNDS is then compared in pairs across classes. Pairs that cannot be similar are left out of both by an exact bound: shingles that no
+other document in any bucket has can't be shared, so two documents share at most the smaller of what they
+have besides. No link between texts that share a bucket is lost.
 
 Defined results: texts without a word (null, empty, only marks) are alone in their class; texts under five
 words have one shingle, all their words; equal texts are always together; repeated rows with one doc_id share
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +36,11 @@ from helixspark.llm.common import scratch, small_batches
 
 WIDTH, SIMILAR = 5, 0.8
 REGISTERS, BAND = 125, 5
-STAR_ROUNDS = 3
+#: Rounds of hubs before the comparison in pairs.
+STAR_ROUNDS = 2
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -113,113 +116,151 @@ def band_keys(kept: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Plain and probability Jaccard of two sorted weighted shingle sets (hashes, counts)."""
+    """Plain and weighted Jaccard of two sorted weighted shingle sets (hashes, counts)."""
     _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(ia):
         return 0.0, 0.0
-    plain = len(ia) / (len(a[0]) + len(b[0]) - len(ia))
-    x, y = a[1].astype("f8"), b[1].astype("f8")
-    only_a, only_b = x.sum() - x[ia].sum(), y.sum() - y[ib].sum()
-    ratio = x[ia] / y[ib]
-    total = 0.0
-    for t in np.unique(ratio):  # few: counts are small
-        same = ratio == t
-        total += x[ia][same].sum() / (np.maximum(x[ia], t * y[ib]).sum() + only_a + t * only_b)
-    return plain, total
+    least = int(np.minimum(a[1][ia], b[1][ib]).sum())
+    return len(ia) / (len(a[0]) + len(b[0]) - len(ia)), least / (int(a[1].sum()) + int(b[1].sum()) - least)
+
+
+_memory: dict[str, WordHashes] = {}
+
+
+def word_memory() -> WordHashes:
+    """The process's word hashes: a Python worker keeps them from one task to the next."""
+    return _memory.setdefault("words", WordHashes())
 
 
 def sketch_bands(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, keys): h is a digest of the text, keys the band keys (null if there is no word)."""
+    """(doc_id, h, keys, n, total): a digest of the text, the band keys (null if there is no word), how many
+    shingles differ, and how many there are."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
         for b in batches:
             texts = b.column(2).to_pylist()
-            owner, sig, count = shingles(texts, memory)
+            owner, sig, count = shingles(texts, word_memory())
             keys = band_keys(probminhash(len(texts), owner, sig, count))
-            some = np.zeros(len(texts), bool)
-            some[owner] = True
+            n = np.bincount(owner, minlength=len(texts))
+            total = np.bincount(owner, count, minlength=len(texts)).astype(np.int64)
             bands = keys.shape[1]
-            flat = pa.array(keys.ravel())
-            offsets = pa.array(np.append(np.arange(len(texts)) * bands, len(texts) * bands).astype("i4"), mask=np.append(~some, False))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "h", "keys"])
+            offsets = pa.array(np.arange(len(texts) + 1, dtype="i4") * bands, mask=np.append(n == 0, False))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array(n), pa.array(total)], ["doc_id", "h", "keys", "n", "total"])
+
+    return docs.select("doc_id", F.md5("text").alias("h"), "text").mapInArrow(sketched, "doc_id bigint, h string, keys array<bigint>, n bigint, total bigint")
+
+
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(doc_id, s, w): the weighted shingles of each document, one a row."""
 
-    return docs.select("doc_id", F.md5("text").alias("h"), "text").mapInArrow(sketched, "doc_id bigint, h string, keys array<bigint>")
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, sig, count = shingles(b.column(1).to_pylist(), word_memory())
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(sig.view(np.int64)), pa.array(count)], ["doc_id", "s", "w"])
+
+    return texts.select("doc_id", "text").mapInArrow(exploded, "doc_id bigint, s bigint, w bigint")
 
 
 @F.arrow_udf(T.BooleanType())
 def alike(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    memory = WordHashes()
     for left, right in pairs:
         n = len(left)
-        owner, sig, count = shingles(left.to_pylist() + right.to_pylist(), memory)
+        owner, sig, count = shingles(left.to_pylist() + right.to_pylist(), word_memory())
         cut = np.searchsorted(owner, np.arange(2 * n + 1))
         part = lambda i: (sig[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]])
         yield pa.array([max(similarities(part(i), part(n + i))) >= SIMILAR for i in range(n)], pa.bool_())
 
 
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df (of numbers), marked for broadcast if it has at most limit rows; else joins shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are alike."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").where(alike("text_a", "text_b")).select("a", "b")
+    return left.join(small(pairs), "a").join(right, "b").where(alike("text_a", "text_b")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, label): the smallest id of each connected component of the edges (a, b); smaller labels spread
     over edges, and each round then jumps to the label's own label. Lineage is cut in every round."""
-    both = scratch(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = scratch(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = scratch(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("label")), "labels")
     while True:
-        seen = labels.select(F.col("doc_id").alias("b"), "label")
-        spread = both.join(seen, "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
-        step = labels.join(spread, "doc_id").select("doc_id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = step.select(F.col("doc_id").alias("label"), F.col("label").alias("root"))
+        known = small(labels)
+        spread = both.join(known.select(F.col("doc_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
+        step = spread.join(known, "doc_id").select("doc_id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        up = known.select(F.col("doc_id").alias("label"), F.col("label").alias("root"))
         new = scratch(step.join(up, "label").select("doc_id", "was", F.least("label", "root").alias("label")), "labels")
         labels = new.select("doc_id", "label")
         if new.where("was <> label").isEmpty():
             return labels
 
 
+def possible(n_a: str, n_b: str, own_a: str, own_b: str) -> Column:
+    """Can sizes n with so many elements of their own (in no other set) reach SIMILAR? At most what the sets have besides
+    is shared. Compared with a small allowance for rounding."""
+    shared = F.least(F.col(n_a) - F.col(own_a), F.col(n_b) - F.col(own_b))
+    return shared >= SIMILAR * (F.col(n_a) + F.col(n_b) - shared) - 1e-6
+
+
 def classes(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id and class_id for each row of docs."""
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(docs.sparkSession, 1000)
     docs = docs.where("doc_id is not null")
     sketches = scratch(sketch_bands(docs.select("doc_id", "text")), "sketches")
     # equal texts first: one row for each text, whatever the number of its copies
     firsts = scratch(sketches.groupBy("h").agg(F.min("doc_id").alias("first")), "firsts")
     is_first = firsts.where("h is not null").select(F.col("first").alias("doc_id"))
-    bands = sketches.where("keys is not null").join(is_first, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    bands = sketches.where("keys is not null").join(is_first, "doc_id", "left_semi").select("doc_id", "n", "total", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    bands = scratch(bands.join(shared, "key").select("key", "doc_id").distinct(), "bands")
-    members = bands.select("doc_id").distinct()
+    bands = scratch(bands.join(shared, "key").select("key", "doc_id", "n", "total").distinct(), "bands")
+    members = bands.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("total").alias("total"))
     texts = scratch(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
-    edges = compared = None
+    # shingles that one member alone has
+    alone = shingle_rows(texts).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min("w").alias("w")).where("doc_id = last")
+    own = alone.groupBy("doc_id").agg(F.count("*").alias("own_n"), F.sum("w").alias("own_total"))
+    able = ((F.col("n") - F.col("own_n")) >= SIMILAR * F.col("n") - 1e-6) | ((F.col("total") - F.col("own_total")) >= SIMILAR * F.col("total") - 1e-6)
+    bands = scratch(bands.join(own, "doc_id", "left").na.fill(0, ["own_n", "own_total"]).where(able), "bands")
+    facts = ["n", "own_n", "total", "own_total"]
+    can = possible("n", "n_", "own_n", "own_n_") | possible("total", "total_", "own_total", "own_total_")
+    labels = None
     labelled = bands.withColumn("label", F.col("doc_id"))
-    for k in range(star_rounds + 1):
-        if k < star_rounds:  # each bucket's hub meets the members outside its class
-            order = F.struct(F.lit(0) if k == 0 else F.xxhash64("doc_id", F.lit(k)), "doc_id", "label")
-            hubs = labelled.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.label").alias("hub_label"))
-            met = labelled.join(hubs, "key").where("label <> hub_label").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        else:  # what is still apart in a bucket, in pairs
-            split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            apart = labelled.join(split, "key")
-            other = apart.select("key", F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
-            met = apart.join(other, "key").where("doc_id < b and label <> label_b").select(F.col("doc_id").alias("a"), "b")
-        met = met.distinct()
-        if compared is not None:
-            met = met.join(compared, ["a", "b"], "left_anti")
-        met = scratch(met, "met")
-        found = scratch(verified(met, texts), "found")
-        compared = met if compared is None else compared.union(met)
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-        labelled = bands.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+
+    def compare(pairs: DataFrame, last: bool = False) -> None:
+        """Verify pairs; classes and ``labelled`` are set anew by what is found. Each document's tie to its class
+        stands for all earlier links."""
+        nonlocal labels, labelled
+        found = scratch(verified(scratch(pairs.distinct(), "met"), texts), "found")
+        if found.isEmpty():
+            return
+        ties = found if labels is None else found.union(labels.where("doc_id <> label").select(F.col("label").alias("a"), F.col("doc_id").alias("b")))
+        labels = components(ties)
+        if not last:
+            labelled = scratch(bands.join(small(labels), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+
+    for k in range(star_rounds):  # each bucket's hub meets the members outside its class
+        order = F.struct(F.lit(0).cast("bigint") if k == 0 else F.xxhash64("doc_id", F.lit(k)), "doc_id", "label", *facts)
+        hubs = labelled.groupBy("key").agg(F.min(order).alias("hub"))
+        hubs = hubs.select("key", F.col("hub.doc_id").alias("other"), F.col("hub.label").alias("other_label"), *[F.col(f"hub.{f}").alias(f + "_") for f in facts])
+        met = labelled.join(hubs, "key").where((F.col("label") != F.col("other_label")) & can)
+        compare(met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")))
+    # what is still apart in a bucket, in pairs
+    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    apart = labelled.join(split, "key")
+    other = apart.select(F.col("key").alias("other_key"), F.col("doc_id").alias("other"), F.col("label").alias("other_label"), *[F.col(f).alias(f + "_") for f in facts])
+    across = (F.col("key") == F.col("other_key")) & (F.col("doc_id") < F.col("other")) & (F.col("label") != F.col("other_label")) & can
+    compare(apart.join(other, across).select(F.col("doc_id").alias("a"), F.col("other").alias("b")), last=True)
     # a class's smallest id is the smallest first copy of its texts
-    of_text = firsts.join(labels, firsts["first"] == labels["doc_id"], "left").select("h", F.coalesce("label", "first").alias("class_id"))
-    alone = sketches.where("keys is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return sketches.where("keys is not null").join(of_text, "h").select("doc_id", "class_id").union(alone)
+    if labels is None:
+        of_text = firsts.select("h", F.col("first").alias("class_id"))
+    else:
+        of_text = firsts.join(labels, firsts["first"] == labels["doc_id"], "left").select("h", F.coalesce("label", "first").alias("class_id"))
+    wordless = sketches.where("keys is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    return sketches.where("keys is not null").join(of_text, "h").select("doc_id", "class_id").union(wordless)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
