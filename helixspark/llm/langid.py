@@ -12,6 +12,7 @@ could be learned. Ties go to the language that sorts first. Words of any length
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,7 +51,7 @@ class PieceModel:
     """Piece probabilities by language, in the order of ``langs``."""
 
     def __init__(self, langs: list[str], probs: dict[str, tuple[float, ...]]):
-        self.langs, self.probs = langs, probs
+        self.langs, self.probs, self.name = langs, probs, uuid.uuid4().hex
         self.longest = max(map(len, probs), default=1)
         keys = hashes_of(list(probs))
         # An open-addressed table from a piece's hash to its row; the last row says "no piece".
@@ -214,6 +215,17 @@ class WordMemory:
         self.rows.update(zip(fresh, range(n, n + len(fresh))))
 
 
+_memory: dict[str, WordMemory] = {}
+
+
+def memory_of(model: PieceModel) -> WordMemory:
+    """The process's memory for a model: a Python worker keeps that of its last model from task to task."""
+    if model.name not in _memory:
+        _memory.clear()
+        _memory[model.name] = WordMemory(model)
+    return _memory[model.name]
+
+
 def identify(memory: WordMemory, texts: list[str | None]) -> tuple[list[str], list[float]]:
     model = memory.model
     counts = [Counter(WORD.findall(t.lower())) if t and model.langs else None for t in texts]
@@ -233,7 +245,7 @@ def identifier(model: PieceModel):
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def lang(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = WordMemory(model)
+        memory = memory_of(model)
         for texts in batches:
             langs, scores = identify(memory, texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
