@@ -151,7 +151,8 @@ class WarcReader(DataSourceReader):
         with io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if file.endswith(".gz") else io.BufferedReader(raw, 1 << 20) as f:
             if part.start:
                 f.seek(part.start)
-            while (part.end is None or f.tell() < part.end) and (headers := read_headers(f)) is not None:
+            # the four bytes that end a record are still ahead after its payload
+            while (part.end is None or f.tell() + 4 < part.end) and (headers := read_headers(f)) is not None:
                 size, row = int(headers.get("content-length") or 0), row_of(headers)
                 if wants and all(holds(t, row) for t in self.tests):
                     row["payload"] = f.read(size)
