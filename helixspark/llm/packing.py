@@ -94,6 +94,16 @@ class WordIds(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The process's ids for a tokenizer: a Python worker keeps them from one task to the next."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path]
+
+
 def cuts(tokens: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[tuple[int, int]]:
     """(length, class) of a document's pieces in order: full bins, exact halves, quarters, ..., and the rest."""
     out, k, left = [], 1, tokens
@@ -155,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordIds(path), Packer(TaskContext.get().partitionId(), capacity)
+        words, packer = word_ids(path), Packer(TaskContext.get().partitionId(), capacity)
         end = np.array([END_ID], "<u4").tobytes()
         fields = [pa.field(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 
