@@ -36,9 +36,9 @@ from pyspark.sql.datasource import (
     LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage,
 )
 
-from helixspark.llm.common import shared_dir, small_batches, without
+from helixspark.llm.common import scratch, shared_dir, small_batches, without
 
-SPLIT, MANIFEST, LEAST_SHARED = 32 << 20, "_manifest.json", 1000
+SPLIT, MANIFEST, LEAST_SHARED, BROADCAST_ROWS = 32 << 20, "_manifest.json", 1000, 200_000
 SCHEMA = (
     "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, "
     "payload_length bigint, payload binary"
@@ -228,11 +228,14 @@ def register(spark: SparkSession) -> None:
 
 def records(pages: DataFrame) -> DataFrame:
     """The records of pages, in the data source's columns. Only digests that occur twice or more are joined
-    back, so of a payload that very many pages share a task gets no more than a digest and a page_id for each."""
+    back, by a broadcast if they are at most BROADCAST_ROWS, else by a shuffled join whose hot digests Spark splits."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     full = without(pages, "payload", "digest", "n").select("page_id", "url", payload.alias("payload"))
     full = full.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("bigint")})
     shared = full.where(F.col("n") >= LEAST_SHARED).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1 and kept is not null").select("digest", "kept")
+    # without a shuffle of payloads where the digests are few enough to broadcast
+    shared = scratch(shared, "shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     revisits = (F.col("kept").isNotNull() & F.coalesce(F.col("page_id") != F.col("kept"), F.lit(True))) & (F.col("n") >= LEAST_SHARED)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     return full.join(shared, "digest", "left").select(
