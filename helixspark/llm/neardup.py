@@ -14,8 +14,7 @@ How a large bucket is handled: texts with the same shingles are merged before an
 member, and all members that are not yet in its class are compared with it, so a round costs no more than the
 rows of the buckets. What is still apart in a bucket after STAR_ROUNDS is then compared in pairs across classes. Pairs that cannot be similar are left out of both by an exact bound: shingles that no
 other document in any bucket has can't be shared, so two documents share at most the smaller of what they
-have besides. Hubs meet all who share one bucket with them; pairs are made of documents that share two. At similarity
-0.8 two documents share two of the 30 buckets with probability 0.9999 (0.85: 0.9999999), and no link between such texts is lost.
+have besides. No link between texts that share a bucket is lost.
 
 Defined results: texts without a word (null, empty, only marks) are alone in their class; texts under five
 words have one shingle, all their words; equal texts are always together; repeated rows with one doc_id share
@@ -263,7 +262,7 @@ def classes(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     apart = scratch(labelled.join(split, "key").join(keys, "doc_id"), "apart")
     other = apart.select(F.col("key").alias("other_key"), F.col("doc_id").alias("other"), F.col("label").alias("other_label"), *[F.col(f).alias(f + "_") for f in [*facts, "keys"]])
     both = F.array_intersect("keys", "keys_")
-    once = (F.size(both) >= 2) & (F.array_min(both) == F.col("key"))
+    once = F.array_min(both) == F.col("key")
     across = (F.col("key") == F.col("other_key")) & (F.col("doc_id") < F.col("other")) & (F.col("label") != F.col("other_label")) & can
     compare(apart.join(other, across & once).select(F.col("doc_id").alias("a"), F.col("other").alias("b")), last=True)
     # a class's smallest id is the smallest first copy of its texts

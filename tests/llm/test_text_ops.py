@@ -183,6 +183,18 @@ def test_near_duplicates(spark):
     assert neardup.classes(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_shared_bucket_is_enough(spark, monkeypatch):
+    """Two alike texts that share a single bucket are linked, also where the bucket's hub is unlike both."""
+    g = random.Random(16)
+    hub, base = words(g, 120), words(g, 120)
+    docs = [(1, hub), (2, edited(g, hub, 1)), (3, base), (4, edited(g, base, 1))]
+    keys = F.when(F.col("doc_id") <= 2, F.array(F.lit(7), F.lit(8))).otherwise(F.array(F.lit(7), F.col("doc_id") + 100)).cast("array<bigint>")
+    sketch_bands = neardup.sketch_bands
+    monkeypatch.setattr(neardup, "sketch_bands", lambda df: sketch_bands(df).withColumn("keys", keys))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(df, star_rounds=1).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_probminhash_estimates_probability_jaccard():
     g = np.random.default_rng(9)
     errors = []
