@@ -195,6 +195,43 @@ def test_one_shared_bucket_is_enough(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in neardup.classes(df, star_rounds=1).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
+def test_a_copy_that_repeats_a_passage_is_near(spark):
+    """Plain similarity alone, or that of probabilities alone, links too."""
+    g = random.Random(17)
+    docs = []
+    for k in range(0, 60, 3):
+        ws = words(g, 104).split()
+        docs += [(k, " ".join(ws)), (k + 1, " ".join(ws[:60] + ws[36:60] * 29 + ws[60:])), (k + 2, words(g, 90))]
+    text = lambda n: " ".join(" ".join(common) for _ in range(n))
+    common = words(g, 50).split()
+    docs += [(100, words(g, 30) + " " + text(60)), (101, words(g, 30) + " " + text(20))]
+    sets = {d: neardup.shingles([t], neardup.WordHashes())[1:] for d, t in docs}
+    plain, weighted, shares = neardup.similarities(sets[0], sets[1])
+    assert plain > 0.8 and weighted < 0.5 and shares < 0.5
+    plain, weighted, shares = neardup.similarities(sets[100], sets[101])
+    assert plain < 0.8 and weighted < 0.5 and shares > 0.9
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs)
+    assert all(got[k + 1] == k and got[k + 2] == k + 2 for k in range(0, 60, 3)) and got[101] == 100
+
+
+def test_probability_jaccard_is_exact_and_within_the_bound(spark):
+    g = np.random.default_rng(18)
+    rows = []
+    for k in range(200):
+        a, b = np.flatnonzero(g.random(60) < 0.9).astype(np.uint64), np.flatnonzero(g.random(60) < 0.9).astype(np.uint64)
+        wa, wb = g.integers(1, 4, len(a)), g.integers(1, 4, len(b))
+        da, db = dict(zip(a.tolist(), wa.tolist())), dict(zip(b.tolist(), wb.tolist()))
+        exact = sum(1 / sum(max(da.get(j, 0) / da[i], db.get(j, 0) / db[i]) for j in set(da) | set(db)) for i in da if i in db)
+        plain, weighted, shares = neardup.similarities((a, wa), (b, wb))
+        assert shares == pytest.approx(exact) and weighted <= shares + 1e-12
+        own = lambda x, y: sum(w for j, w in x.items() if j not in y)
+        rows.append((sum(da.values()), sum(db.values()), own(da, db), own(db, da), shares))
+    df = spark.createDataFrame(rows, "ta long, tb long, oa long, ob long, shares double")
+    assert df.where((F.col("shares") >= 0.8) & ~neardup.possible_shares("ta", "tb", "oa", "ob")).count() == 0
+    assert 0 < df.where(neardup.possible_shares("ta", "tb", "oa", "ob")).count() < 200
+
+
 def test_probminhash_estimates_probability_jaccard():
     g = np.random.default_rng(9)
     errors = []
