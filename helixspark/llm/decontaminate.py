@@ -9,11 +9,12 @@ Candidates are verified exactly: the weighted Jaccard similarity of window and i
 over sum of larger) must be 0.8 or more. RADIUS leaves room for fingerprints' noise: at similarity 0.8 about 10
 bits differ, with a standard deviation of 3.
 
-A window that is 0.8 similar to an item shares shingles with it, and lies where these line up. So windows are
-fingerprinted where a shingle of the document occurs in some item of that size, at the start that this
-alignment gives; all other windows of all documents have no shingle in common with any item of their size.
-All shingles of all documents are tested. The benchmark's shingles are broadcast only if they number at most
-BROADCAST_ROWS, else joined by a shuffle; likewise the documents with windows.
+A document's shingle is marked for a size if it occurs in some item of that size, wherever it stands there. A
+window of w shingles and an item of m that have c in common (counts included) are c / (m + w - c) similar, so 0.8
+takes c >= 4 / 9 (m + w), and c is at most the number of the window's marked shingles. All windows with so many
+are fingerprinted; no other window can be similar. All shingles of all documents are tested. The benchmark's
+shingles are broadcast only if they number at most BROADCAST_ROWS, else joined by a shuffle; likewise the
+documents with windows.
 
 Defined results: null and empty texts, and texts or items under five words, match nothing; a window that would
 reach over a document's end is cut off there; repeated items and rows give a row each; empty tables give an
@@ -79,6 +80,25 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return F.when(total > 0, common / total).otherwise(0.0)
 
 
+def window_starts() -> Column:
+    """The starts (structs of start and n) of all windows of n words with enough marked shingles: ``marks`` are their sorted
+    positions, ``len`` is the number of the document's shingles. Each start is made at its window's first mark."""
+    m, marks = F.col("n") - (WIDTH - 1), F.col("marks")
+
+    def enough(start: Column, i: Column) -> Column:
+        lo, hi = F.greatest(start, F.lit(0)), F.least(start + m, F.col("len"))
+        least = F.ceil((m + hi - lo) * 4 / F.lit(9.0) - 1e-9).cast("int")  # at least so many marks
+        return (hi > lo) & F.coalesce(F.get(marks, i + least - 1) < hi, F.lit(False))
+
+    def at(mark: Column, i: Column) -> Column:
+        # a window has at most m / 9 shingles without a mark; one that is cut at the document's start has 4 / 5 m at least
+        before = F.when(i == 0, -F.floor(m / 5).cast("int")).otherwise(F.get(marks, i - 1) + 1)
+        first = F.when((i == 0) & (mark <= m / 9), before).otherwise(F.greatest(before, mark - F.floor(m / 9).cast("int"), F.lit(0)))
+        return F.transform(F.filter(F.sequence(first, mark), lambda s: enough(s, i)), lambda s: F.struct(s.alias("start"), F.col("n")))
+
+    return F.flatten(F.transform(marks, at))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has at most limit rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -89,10 +109,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     similarity 0.8 or more, the earliest of equal ones; start counts words from 0."""
     items = benchmark.select("item_id", words(F.col("text")).alias("ws")).select("item_id", F.size("ws").alias("n"), shingle_hashes("ws").alias("item_hs")).where(F.size("item_hs") > 0)
     items = scratch(items.withColumn("item_print", simhash(F.col("item_hs"))), "items")
-    anchors = items.select("n", F.posexplode("item_hs").alias("q", "h")).distinct()
-    shingles = docs.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", F.posexplode(shingle_hashes("ws")).alias("p", "h"))
-    places = shingles.join(small(anchors), "h").select("doc_id", (F.col("p") - F.col("q")).alias("start"), "n").distinct()
-    places = scratch(places.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("places")), "places")
+    anchors = items.select("n", F.explode("item_hs").alias("h")).distinct()
+    shingles = docs.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", shingle_hashes("ws").alias("hs"))
+    shingles = shingles.select("doc_id", F.size("hs").alias("len"), F.posexplode("hs").alias("p", "h"))
+    marked = shingles.join(small(anchors), "h").groupBy("doc_id", "len", "n").agg(F.sort_array(F.collect_set("p")).alias("marks"))
+    marked = marked.where(F.size("marks") * 5 >= (F.col("n") - (WIDTH - 1)) * 4).select("doc_id", window_starts().alias("starts")).where(F.size("starts") > 0)
+    places = scratch(marked.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("places")), "places")
     # the documents with windows, each with its own places
     held = docs.join(small(places), "doc_id").select("doc_id", "places", words(F.col("text")).alias("ws"))
     held = held.select("doc_id", shingle_hashes("ws").alias("hs"), F.explode("places").alias("place"))

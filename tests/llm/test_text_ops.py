@@ -71,6 +71,24 @@ def test_decontamination(spark):
     assert decontaminate.matches(d.limit(0), b).count() == 0 and decontaminate.matches(d, b.limit(0)).count() == 0
 
 
+def test_reordered_passages_are_found(spark):
+    """Windows are found whose shingles stand elsewhere in the item, at both ends of a text too."""
+    g = random.Random(19)
+    items = [(k, words(g, n)) for k, n in enumerate((100, 100, 120, 64, 5, 6, 9))] + [(9, "one two three four five six " * 10)]
+    docs = []
+    for k, it in items[:4]:
+        ws = it.split()
+        half, third = len(ws) // 2, len(ws) // 3
+        swapped = ws[half:] + ws[:half]
+        docs += [(k * 10, words(g, 30) + " " + " ".join(swapped) + " " + words(g, 30)), (k * 10 + 1, " ".join(swapped)), (k * 10 + 2, " ".join(swapped[8:]) + " " + words(g, 9))]
+        docs += [(k * 10 + 3, words(g, 200) + " " + " ".join(swapped[:-7])), (k * 10 + 4, " ".join(ws[2 * third :] + words(g, 3).split() + ws[:third] + ws[third : 2 * third]))]
+        docs += [(k * 10 + 5, " ".join(words(g, 6).split() + ws[half:] + words(g, 40).split() + ws[:half])), (k * 10 + 6, words(g, 4) + " " + edited(g, " ".join(swapped), 1))]
+    docs += [(100 + k, "a b " + it + " c") for k, it in items[4:]] + [(120, "six one two three four five " * 8)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(d, b).collect()}
+    assert {(0, 0), (1, 0), (10, 1), (20, 2), (30, 3)} <= found == brute_matches(docs, items)
+
+
 def test_blocks_reach_every_fingerprint_in_the_radius(spark):
     """The multi-index finds all pairs within RADIUS, whatever bits differ."""
     g = random.Random(6)
