@@ -1,14 +1,15 @@
 """WARC archives as a PySpark data source, and writing pages to archives with revisit records.
 
-Reading: ``spark.read.format("warc").load(path)``. Partitions are planned from the folder's manifest: an archive
-is cut at record starts about every SPLIT bytes; archives without a manifest entry (other programs' .warc and
-.warc.gz) are a partition each. Predicates on record_type (=, in) and on header columns (=, >=, >, <=, <, starts with)
+Reading: ``spark.read.format("warc").load(path)``. Partitions are planned from the folder's manifests, one of each
+committed job: an archive is cut at record starts about every SPLIT bytes; archives of other programs (.warc and
+.warc.gz without an entry in any manifest, and not named as a task names its file) are a partition each. Predicates on record_type (=, in) and on header columns (=, >=, >, <=, <, starts with)
 are pushed down and decided on a record's header; the payload of a record that fails, or any payload if the
 asked schema has no payload column, is skipped without being read. Header pushdown needs
 ``spark.sql.python.filterPushdown.enabled``.
 
-Writing: each task writes one file under a name of its own, and only files of committed tasks enter the
-manifest, so retried and speculative tasks do no harm. Paths may be of any file system pyarrow knows.
+Writing: each task writes one file under a name of its own, and only files of committed tasks enter the job's
+manifest, so retried and speculative tasks do no harm. Jobs that append leave each other's files and manifests;
+one that overwrites deletes, once its own manifest is written, all archives that were to be read before. Paths may be of any file system pyarrow knows.
 
 Defined results for ``archive_pages``: a null html is an empty payload; of records with equal payloads of at
 least 1000 bytes that with the largest page_id is a response and the others revisit it; rows repeating that
@@ -38,7 +39,9 @@ from pyspark.sql.datasource import (
 
 from helixspark.llm.common import scratch, shared_dir, small_batches, without
 
-SPLIT, MANIFEST, LEAST_SHARED, BROADCAST_ROWS = 32 << 20, "_manifest.json", 1000, 200_000
+SPLIT, LEAST_SHARED, BROADCAST_ROWS = 32 << 20, 1000, 200_000
+#: Names of manifests (without a job's id: of archives written before each job had its own) and of the files of tasks.
+MANIFEST, TASK_FILE = re.compile(r"_manifest(-[0-9a-f]{32})?\.json"), re.compile(r"part-[0-9a-f]{32}\.warc")
 SCHEMA = (
     "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, "
     "payload_length bigint, payload binary"
@@ -51,6 +54,18 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if re.match(r"[a-z0-9]+:", path) else "file://" + path)
 
 
+def stored(fs: pafs.FileSystem, root: str) -> tuple[list[str], list[dict], list[str]]:
+    """Of a folder: the names of its manifests, their entries, and the names of other programs' archives."""
+    names = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if i.type == pafs.FileType.File)
+    manifests, entries = [n for n in names if MANIFEST.fullmatch(n)], []
+    for name in manifests:
+        with fs.open_input_stream(f"{root}/{name}") as f:
+            entries += json.loads(f.read())["files"]
+    known = {e["file"] for e in entries}
+    foreign = [n for n in names if re.search(r"\.warc(\.gz)?$", n) and n not in known and not TASK_FILE.fullmatch(n)]
+    return manifests, entries, foreign
+
+
 def header_value(text: str) -> str:
     """A header is one line: line ends are percent-encoded."""
     return text.replace("\r", "%0D").replace("\n", "%0A")
@@ -127,17 +142,12 @@ class WarcReader(DataSourceReader):
         fs, root = opened(self.path)
         if fs.get_file_info(root).type == pafs.FileType.File:
             return [Part(self.path, 0, None)]
-        out, known = [], set()
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                for entry in json.loads(f.read())["files"]:
-                    known.add(entry["file"])
-                    cuts = [*entry["cuts"], entry["bytes"]]
-                    out += [Part(f"{self.path}/{entry['file']}", a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
-        else:
-            for info in fs.get_file_info(pafs.FileSelector(root)):
-                if re.search(r"\.warc(\.gz)?$", info.base_name):
-                    out.append(Part(f"{self.path}/{info.base_name}", 0, None))
+        _, entries, foreign = stored(fs, root)
+        out = []
+        for entry in entries:
+            cuts = [*entry["cuts"], entry["bytes"]]
+            out += [Part(f"{self.path}/{entry['file']}", a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+        out += [Part(f"{self.path}/{name}", 0, None) for name in foreign]
         return out
 
     def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
@@ -177,8 +187,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.path)
@@ -196,8 +206,12 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
         files = [{"file": m.file, "bytes": m.bytes, "cuts": m.cuts} for m in messages if m is not None and m.bytes]
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        manifests, entries, foreign = stored(fs, root) if self.overwrite else ([], [], [])
+        manifest = f"_manifest-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{root}/{manifest}") as f:
             f.write(json.dumps({"files": files}).encode())
+        for name in [*manifests, *[e["file"] for e in entries], *foreign]:
+            fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages) -> None:
         fs, root = opened(self.path)
@@ -218,7 +232,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], schema.names)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -79,6 +79,20 @@ def test_archive_predicates_and_foreign_files(spark, tmp_path):
     assert heads.columns == ["record_id", "record_type"] and heads.where("record_type in ('request')").count() == 2
 
 
+def test_appended_jobs_and_foreign_files_are_all_read(spark, tmp_path):
+    path = str(tmp_path / "w")
+    pages = lambda a, b: spark.createDataFrame([(k, "u", f"page {k}") for k in range(a, b)], "page_id long, url string, html string")
+    ids = lambda: sorted(r.page_id for r in warc.page_digests(warc.read_archive(spark, path)).collect())
+    warc.archive_pages(pages(0, 5), path)
+    warc.archive_pages(pages(5, 9), path)
+    assert ids() == list(range(9))
+    (tmp_path / "w" / "other.warc").write_bytes(warc.record("response", "<urn:page:50>", "http://a", None, 3, None, b"abc"))
+    (tmp_path / "w" / f"part-{'0' * 32}.warc").write_bytes(warc.record("response", "<urn:page:60>", None, None, 3, None, b"abc"))  # of a task that was not committed
+    assert ids() == [*range(9), 50]
+    warc.records(pages(70, 73)).write.format("warc").mode("overwrite").save(path)
+    assert ids() == [70, 71, 72]
+
+
 def test_large_archives_are_split(spark, tmp_path, monkeypatch):
     writer = warc.WarcWriter(str(tmp_path / "s"))
     monkeypatch.setattr(warc, "SPLIT", 1000)
