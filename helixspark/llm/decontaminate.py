@@ -110,10 +110,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", words(F.col("text")).alias("ws")).select("item_id", F.size("ws").alias("n"), shingle_hashes("ws").alias("item_hs")).where(F.size("item_hs") > 0)
     items = scratch(items.withColumn("item_print", simhash(F.col("item_hs"))), "items")
     anchors = items.select("n", F.explode("item_hs").alias("h")).distinct()
-    shingles = docs.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", shingle_hashes("ws").alias("hs"))
-    shingles = shingles.select("doc_id", F.size("hs").alias("len"), F.posexplode("hs").alias("p", "h"))
+    shingles = docs.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", (F.size("ws") - (WIDTH - 1)).alias("len"), shingle_hashes("ws").alias("hs"))
+    shingles = shingles.select("doc_id", "len", F.posexplode("hs").alias("p", "h"))
     marked = shingles.join(small(anchors), "h").groupBy("doc_id", "len", "n").agg(F.sort_array(F.collect_set("p")).alias("marks"))
-    marked = marked.where(F.size("marks") * 5 >= (F.col("n") - (WIDTH - 1)) * 4).select("doc_id", window_starts().alias("starts")).where(F.size("starts") > 0)
+    marked = marked.where(F.size("marks") * 5 >= (F.col("n") - (WIDTH - 1)) * 4).select("doc_id", window_starts().alias("starts"))
     places = scratch(marked.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("places")), "places")
     # the documents with windows, each with its own places
     held = docs.join(small(places), "doc_id").select("doc_id", "places", words(F.col("text")).alias("ws"))
