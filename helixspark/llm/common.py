@@ -1,32 +1,51 @@
-"""What the corpus operators share: table reading, the shared scratch folder, batch limits."""
+"""What the corpus operators share: table reading, the shared scratch folder, bounded batches and broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of one Arrow batch sent to Python; texts are long, so batches are kept small.
-BATCH_ROWS = 512
+#: Bytes of text that a Python worker works on at once; a longer text is worked on by itself.
+SLICE_BYTES = 4 << 20
+#: Bytes at most that a table of numbers takes when it is broadcast, at so many a field.
+BROADCAST_BYTES, FIELD_BYTES = 16 << 20, 24
+FIXED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DoubleType)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the memory of a Python worker: this many rows in an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges (from, to) of a batch's rows that hold about limit bytes each, so that what a worker makes of them stays
+    bounded whatever the batch; a row that alone exceeds it is a range of its own."""
+    lo, held = 0, 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if k > lo and held + (n or 0) > limit:
+            yield lo, k
+            lo, held = k, 0
+        held += n or 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (in tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one for a local
+    session (as in tests); on a cluster that is an error, as executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-shared-")
-        shared_dir.own = found
-    return found
+    if found:
+        return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared_dir.own = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    return shared_dir.own
 
 
 def scratch(df: DataFrame, what: str) -> DataFrame:
@@ -37,7 +56,21 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a written table of numbers, marked for broadcast if it takes at most limit bytes; else joins shuffle."""
+    if any(not isinstance(f.dataType, FIXED) for f in df.schema):
+        raise TypeError("only fields of fixed width have a size known from their count")
+    rows = limit // (FIELD_BYTES * len(df.columns))
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add; they are replaced, also if they differ in case."""
     lowered = {n.lower() for n in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in lowered])
+
+
+def private(df: DataFrame, **added: Column) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns under names that none of its own has, and those names by the given ones."""
+    names = {k: f"__{k}_{uuid.uuid4().hex}" for k in added}
+    return df.withColumns({names[k]: c for k, c in added.items()}), names

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixspark.llm.common import small_batches, without
+from helixspark.llm.common import slices, without
 
 PATH_DIMS, WORD_DIMS, EXTRA, HIDDEN = 96, 48, 5, 16
 FIT_PAGES = 700
@@ -331,13 +331,12 @@ def extract(net: BiLstm, pages: list[str | None], room: int = 60_000) -> list[st
 
 def main_text(pages: DataFrame, net: BiLstm | None = None, html_col: str = "html") -> DataFrame:
     """pages with ``text`` and ``n_chars`` (its code points); columns of these names are replaced."""
-    small_batches(pages.sparkSession)
     model = net or fit()
 
     @F.arrow_udf(T.StringType())
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array(extract(model, b.to_pylist()), pa.string())
+            yield pa.array([t for lo, hi in slices(b) for t in extract(model, b[lo:hi].to_pylist())], pa.string())
 
     out = without(pages, "text", "n_chars").withColumn("text", text(F.col(html_col)))
     return out.withColumn("n_chars", F.length("text").cast("bigint"))

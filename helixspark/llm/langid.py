@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import small_batches, without
+from helixspark.llm.common import slices, without
 from helixspark.llm.quality import spread
 
 #: Texts of each language (in expectation) that a model is fitted on, and characters of each, spread over it.
@@ -247,7 +247,10 @@ def identifier(model: PieceModel):
     def lang(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = memory_of(model)
         for texts in batches:
-            langs, scores = identify(memory, texts.to_pylist())
+            langs, scores = [], []
+            for lo, hi in slices(texts):
+                for out, more in zip((langs, scores), identify(memory, texts[lo:hi].to_pylist())):
+                    out += more
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return lang
@@ -255,7 +258,6 @@ def identifier(model: PieceModel):
 
 def identify_language(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    small_batches(docs.sparkSession)
     kept = without(docs, "lang_pred", "score")
     names = kept.columns
     out = kept.withColumn("__lang", identifier(model)(F.col(text_col)))

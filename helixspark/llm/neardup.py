@@ -5,23 +5,30 @@ shingle send arrivals of a Poisson process with its weight as rate; an arrival f
 REGISTERS registers and a register keeps the shingle that arrived first. A document is done as soon as its
 shingles' next arrivals all come after the latest of its registers (early termination). The share of equal
 registers estimates the probability Jaccard similarity. A second sketch with all weights 1 estimates the plain one;
-where no shingle occurs twice it is the same. Bands of registers of both give candidates, which are then verified
-exactly.
+where no shingle occurs twice it is the same. Bands of registers of both give buckets, and texts that share a bucket
+are candidates, which are then verified exactly.
 
-Two documents are linked if the Jaccard similarity of their shingles, plain, weighted by counts (sum of the smaller
+Two texts are linked if the Jaccard similarity of their shingles, plain, weighted by counts (sum of the smaller
 over sum of the larger) or of probabilities, is 0.8 or more, all computed exactly. The weighted one never exceeds that
 of probabilities, so the two sketches answer to all three. Classes are the connected components.
 
-How a large bucket is handled: texts with the same shingles are merged before anything else. In a round every bucket names one
-member, and all members that are not yet in its class are compared with it, so a round costs no more than the
-rows of the buckets. What is still apart in a bucket after STAR_ROUNDS is then compared in pairs across classes. Pairs that cannot be similar are left out of both by an exact bound: shingles that no
-other document in any bucket has can't be shared, so two documents share at most the smaller of what they
-have besides. No link between texts that share a bucket is lost. At similarity 0.8 two texts share none of a sketch's
-30 buckets with a probability of 7 in a million (0.85: 5 in 100 million).
+How a large bucket is handled: texts with the same weighted shingles are merged before anything else. In each of STAR_ROUNDS
+rounds every bucket names one member, its hub, and every text is compared with one hub only: that of most of its buckets
+among those outside its class. So a round costs one comparison a text, and groups of copies become one class.
+Texts of one class need not be compared. The texts of what is still apart in a bucket are compared if they share a shingle of
+both prefixes: a text's shingles are put in one order for all texts, rare ones first, and its prefix ends where it holds
+more than 0.2 of its shingles and of their counts. Two linked texts have 0.8 of either's shingles, or of either's counts,
+in common, so the first common shingle in that order lies in both prefixes: no link between texts that share a bucket
+is lost, and unlike texts that share frequent passages hardly meet. At similarity 0.8 two texts share none of a
+sketch's 30 buckets with a probability of 7 in a million (0.85: 5 in 100 million).
+
+What is shuffled: band keys, ids, and the shingle hashes of the texts that share a bucket; texts themselves never.
 
 Defined results: texts without a word (null, empty, only marks) are alone in their class; texts under five
-words have one shingle, all their words; equal texts are always together; repeated rows with one doc_id share
-a class; an empty table gives no rows. class_id is the smallest doc_id of the class.
+words have one shingle, all their words; texts of equal shingles are always together. Work goes by text, so rows that repeat a doc_id
+are looked at each: the same text is one class, another text has its own. class_id is the smallest doc_id of the class,
+rows without one count for nothing in it (null if the class has no other). Columns other than doc_id and text do not take part.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,19 +39,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixspark.llm.common import scratch, small_batches
+from helixspark.llm.common import private, scratch, slices, small
 
 WIDTH, SIMILAR = 5, 0.8
 REGISTERS, BAND = 150, 5
-#: Rounds of hubs before the comparison in pairs.
-STAR_ROUNDS = 2
-WORD = re.compile(r"\w+")
-CACHE_WORDS = 1_000_000
-BROADCAST_ROWS = 200_000
+#: Rounds of hubs before the comparison by prefixes.
+STAR_ROUNDS = 3
+WORD, SPACE = re.compile(r"\w+"), re.compile(r"\W")
+#: Words that a worker remembers, and characters of a text that are cut into words at once.
+CACHE_WORDS, PART_CHARS = 300_000, 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -62,13 +69,25 @@ class WordHashes(dict):
         return h
 
 
+def word_hashes(text: str | None, memory: WordHashes) -> np.ndarray:
+    """The hashes of a text's words in order; a long text is cut into words part by part."""
+    parts, at, text = [], 0, (text or "").lower()
+    while at < len(text):
+        m = SPACE.search(text, at + PART_CHARS) if len(text) - at > PART_CHARS else None
+        end = m.start() if m else len(text)
+        words = WORD.findall(text[at:end] if at or m else text)
+        parts.append(np.fromiter(map(memory.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
 def shingles(texts: list[str | None], memory: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, count) of the distinct shingles of each text, sorted by text and hash."""
-    words = [WORD.findall(t.lower()) if t else [] for t in texts]
+    words = [word_hashes(t, memory) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     if not sizes.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter((memory[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
+    h = np.concatenate(words)
     first = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(words)), sizes)
     left = np.repeat(first + sizes, sizes) - np.arange(len(h))  # words from here to the text's end
@@ -141,163 +160,199 @@ def word_memory() -> WordHashes:
     return _memory.setdefault("words", WordHashes())
 
 
+def cut_shingles(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]]:
+    """Of each slice of a batch: its range of rows, their shingles, and each row's digest of them (None without a word)."""
+    for lo, hi in slices(texts):
+        owner, sig, count = shingles(texts[lo:hi].to_pylist(), word_memory())
+        cut = np.searchsorted(owner, np.arange(hi - lo + 1))
+        yield lo, hi, owner, sig, count, [xxhash.xxh3_128_digest(sig[i:j].tobytes() + count[i:j].tobytes()) if j > i else None for i, j in zip(cut, cut[1:])]
+
+
 def sketch_bands(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, keys, n, total): a digest of the weighted shingles, the band keys of both sketches (null if there is no
-    word), how many shingles differ, and how many there are."""
+    """(doc_id, at, at2, h, keys): two hashes of the row's id and text, a digest of the weighted shingles and the band keys of
+    both sketches, both null if there is no word."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            owner, sig, count = shingles(texts, word_memory())
-            keys = band_keys(probminhash(len(texts), owner, sig, count))
-            n = np.bincount(owner, minlength=len(texts))
-            total = np.bincount(owner, count, minlength=len(texts)).astype(np.int64)
-            cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            digests = [xxhash.xxh3_128_hexdigest(sig[i:j].tobytes() + count[i:j].tobytes()) if j > i else None for i, j in zip(cut, cut[1:])]
-            again = np.flatnonzero(total > n)  # texts that repeat a shingle
-            more = np.isin(owner, again)
-            plain = band_keys(probminhash(len(again), np.searchsorted(again, owner[more]), sig[more], np.ones(int(more.sum()), np.int64)))
-            both: list[np.ndarray | None] = [k if size else None for k, size in zip(keys, n)]
-            for i, k in zip(again, plain):
-                both[i] = np.union1d(keys[i], k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.string()), pa.array(both, pa.list_(pa.int64())), pa.array(n), pa.array(total)], ["doc_id", "h", "keys", "n", "total"])
-
-    return docs.select("doc_id", "text").mapInArrow(sketched, "doc_id bigint, h string, keys array<bigint>, n bigint, total bigint")
-
-
-def shingle_rows(texts: DataFrame) -> DataFrame:
-    """(doc_id, s, w): the weighted shingles of each document, one a row."""
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            owner, sig, count = shingles(b.column(1).to_pylist(), word_memory())
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(sig.view(np.int64)), pa.array(count)], ["doc_id", "s", "w"])
+            for lo, hi, owner, sig, count, digests in cut_shingles(b.column(3)):
+                texts = hi - lo
+                keys = band_keys(probminhash(texts, owner, sig, count))
+                n, total = np.bincount(owner, minlength=texts), np.bincount(owner, count, minlength=texts)
+                again = np.flatnonzero(total > n)  # texts that repeat a shingle
+                more = np.isin(owner, again)
+                plain = band_keys(probminhash(len(again), np.searchsorted(again, owner[more]), sig[more], np.ones(int(more.sum()), np.int64)))
+                both: list[np.ndarray | None] = [k if size else None for k, size in zip(keys, n)]
+                for i, k in zip(again, plain):
+                    both[i] = np.union1d(keys[i], k)
+                own = [b.column(k)[lo:hi] for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(digests, pa.binary()), pa.array(both, pa.list_(pa.int64()))], ["doc_id", "at", "at2", "h", "keys"])
 
-    return texts.select("doc_id", "text").mapInArrow(exploded, "doc_id bigint, s bigint, w bigint")
+    return docs.select("doc_id", *places(), "text").mapInArrow(sketched, "doc_id bigint, at bigint, at2 bigint, h binary, keys array<bigint>")
 
 
-@F.arrow_udf(T.BooleanType())
-def alike(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for left, right in pairs:
-        n = len(left)
-        owner, sig, count = shingles(left.to_pylist() + right.to_pylist(), word_memory())
-        cut = np.searchsorted(owner, np.arange(2 * n + 1))
-        part = lambda i: (sig[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]])
-        yield pa.array([max(similarities(part(i), part(n + i))) >= SIMILAR for i in range(n)], pa.bool_())
+def places() -> list[Column]:
+    """Two hashes of a row's id and text, by which it is found again; rows with both equal are the same."""
+    return [F.xxhash64("doc_id", "text").alias("at"), F.xxhash64(F.lit(1), "text", "doc_id").alias("at2")]
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df (of numbers), marked for broadcast if it has at most limit rows; else joins shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(at, h, s, w): the weighted shingles of each row's text as sorted arrays."""
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, owner, sig, count, digests in cut_shingles(b.column(1)):
+                cut = pa.array(np.searchsorted(owner, np.arange(hi - lo + 1)), pa.int32())
+                arrays = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (sig.view(np.int64), count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(digests, pa.binary()), *arrays], ["at", "h", "s", "w"])
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are alike."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return left.join(small(pairs), "a").join(right, "b").where(alike("text_a", "text_b")).select("a", "b")
+    return docs.select("at", "text").mapInArrow(sets, "at bigint, h binary, s array<bigint>, w array<int>")
+
+
+def parts(lists: pa.ListArray) -> list[np.ndarray]:
+    flat, cut = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(cut, cut[1:])]
+
+
+@F.arrow_udf(T.BooleanType())
+def alike(pairs: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for columns in pairs:
+        s, w, s_, w_ = map(parts, columns)
+        yield pa.array([max(similarities((a.view(np.uint64), x), (b.view(np.uint64), y))) >= SIMILAR for a, x, b, y in zip(s, w, s_, w_)], pa.bool_())
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, label): the smallest id of each connected component of the edges (a, b); smaller labels spread
+    """(node, label): the smallest node of each connected component of the edges (a, b); smaller labels spread
     over edges, and each round then jumps to the label's own label. Lineage is cut in every round."""
     both = scratch(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = scratch(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("label")), "labels")
+    labels = scratch(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         known = small(labels)
-        spread = both.join(known.select(F.col("doc_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
-        step = spread.join(known, "doc_id").select("doc_id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = known.select(F.col("doc_id").alias("label"), F.col("label").alias("root"))
-        new = scratch(step.join(up, "label").select("doc_id", "was", F.least("label", "root").alias("label")), "labels")
-        labels = new.select("doc_id", "label")
+        spread = both.join(known.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = spread.join(known, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        up = known.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        new = scratch(step.join(up, "label").select("node", "was", F.least("label", "root").alias("label")), "labels")
+        labels = new.select("node", "label")
         if new.where("was <> label").isEmpty():
             return labels
 
 
-def possible(n_a: str, n_b: str, own_a: str, own_b: str) -> Column:
-    """Can sizes n with so many elements of their own (in no other set) reach SIMILAR? At most what the sets have besides
-    is shared. Compared with a small allowance for rounding."""
-    shared = F.least(F.col(n_a) - F.col(own_a), F.col(n_b) - F.col(own_b))
-    return shared >= SIMILAR * (F.col(n_a) + F.col(n_b) - shared) - 1e-6
-
-
-def possible_shares(total_a: str, total_b: str, own_a: str, own_b: str) -> Column:
-    """The same for the probability Jaccard of texts of total shingles, of which so many are their own. With common
-    probabilities p and q of a shingle its part is at most 1 / (1 / p + own share of b / q) = pq / (q + own share of b * p),
-    a concave function that grows with both, so the sum is at most its value at what the texts have besides."""
-    rest_a, rest_b = 1 - F.col(own_a) / F.col(total_a), 1 - F.col(own_b) / F.col(total_b)
-    return rest_a * rest_b >= SIMILAR * (1 - (1 - rest_a) * (1 - rest_b)) - 1e-6
+def apart(labelled: DataFrame, *by: str) -> DataFrame:
+    """The values of the columns by whose rows have different labels."""
+    return labelled.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*by)
+
+
+def star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each text and one hub outside its class, that of most of its buckets. labelled: key, node, label."""
+    hubs = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "label")).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.rank").alias("rank"), F.col("hub.node").alias("b"), F.col("hub.label").alias("other"))
+    met = labelled.join(hubs, "key").where(F.col("label") != F.col("other")).groupBy("node", "b", "rank").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("less"), "rank", "b")).alias("best"))
+    return best.select(F.least("node", "best.b").alias("a"), F.greatest("node", "best.b").alias("b")).distinct()
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(node, label, shingle): of each set (node, label, s, w) the prefix: its shingles in the order of how many sets have
+    them, as far as it takes to hold more than 1 - SIMILAR of the set and of its counts. Shingles in sets of one label only
+    come first in that order; no other class has them, so they are counted but not given."""
+    rows = sets.select("node", "label", F.explode(F.arrays_zip("s", "w")).alias("x")).select("node", "label", F.col("x.s").alias("shingle"), F.col("x.w").alias("w"))
+    rows = scratch(rows, "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", "often")
+    size, total = F.size("s"), F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    shared = rows.join(often, "shingle")
+    sizes = sets.select("node", size.alias("n"), total.alias("total"))
+    order = Window.partitionBy("node").orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("node")
+    before = shared.select(
+        "node", "label", "shingle", F.coalesce(F.count("*").over(order), F.lit(0)).alias("before"), F.coalesce(F.sum("w").over(order), F.lit(0)).alias("before_w"),
+        F.count("*").over(every).alias("common"), F.sum("w").over(every).alias("common_w"),
+    ).join(sizes, "node")
+    least = 1 - SIMILAR
+    inside = ((F.col("n") - F.col("common") + F.col("before")) <= least * F.col("n") + 1e-6) | ((F.col("total") - F.col("common_w") + F.col("before_w")) <= least * F.col("total") + 1e-6)
+    return before.where(inside).select("node", "label", "shingle")
+
+
+def prefix_pairs(prefix: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(a, b): the texts of different classes that share a shingle of their prefixes and a bucket. prefix: node, label,
+    shingle; buckets: node, keys. Only pairs of classes are formed, never pairs within one."""
+    rows = scratch(prefix.join(apart(prefix, "shingle"), "shingle").join(buckets, "node"), "prefixes")
+    classes = rows.select("shingle", "label").distinct()
+    other = classes.select("shingle", F.col("label").alias("label_"))
+    classes = classes.join(other, "shingle").where(F.col("label") < F.col("label_"))
+    right = rows.select("shingle", F.col("node").alias("node_"), F.col("label").alias("label_"), F.col("keys").alias("keys_"))
+    met = classes.join(rows, ["shingle", "label"]).join(right, ["shingle", "label_"]).where(F.arrays_overlap("keys", "keys_"))
+    return met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, nodes: DataFrame, star_rounds: int) -> DataFrame | None:
+    """(node, label) of the texts that have a link: the smallest node of their component; None if there is no link."""
+    bands = nodes.select("node", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    bands = scratch(bands.join(shared, "key").select("key", "node"), "bands")
+    members = scratch(nodes.join(bands.select("node").distinct(), "node", "left_semi").select("node", "at", "h"), "members")
+    texts = docs.select(*places()[:1], "text").join(small(members.select("at")), "at", "left_semi")
+    # rows that are the same in id and text are one here
+    sets = scratch(shingle_sets(texts).join(members, ["at", "h"]).dropDuplicates(["node"]).select("node", "s", "w"), "sets")
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("s_"), F.col("w").alias("w_"))
+    edges = labels = None
+
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.withColumn("label", F.col("node")) if labels is None else df.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal edges, labels
+        met = scratch(pairs, "met")
+        found = scratch(sets.withColumnRenamed("node", "a").join(small(met), "a").join(right, "b").where(alike("s", "w", "s_", "w_")).select("a", "b"), "found")
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges)
+
+    for turn in range(star_rounds):
+        compare(star_pairs(scratch(labelled(bands), "labelled"), turn))
+    rest = scratch(labelled(bands), "labelled")
+    rest = scratch(rest.join(apart(rest, "key"), "key"), "apart")
+    if not rest.isEmpty():
+        of_node = scratch(rest.groupBy("node", "label").agg(F.collect_set("key").alias("keys")), "buckets")
+        ids = scratch(of_node.select("node", "label"), "rest")
+        compare(prefix_pairs(scratch(prefixes(sets.join(small(ids), "node")), "prefix"), of_node.select("node", "keys")))
+    return labels
+
+
+def texts_of(docs: DataFrame, star_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of each row, and of each text (h) its class: (h, class, first, at, at2), class a number, first the
+    smallest doc_id of the text's rows and at, at2 the place of the row that has it."""
+    sketches = scratch(sketch_bands(docs), "sketches")
+    rows = sketches.where("h is not null").groupBy("h").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "at2")).alias("row"), F.any_value("keys").alias("keys")
+    )
+    nodes = scratch(rows.select(F.monotonically_increasing_id().alias("node"), "h", F.col("row.doc_id").alias("first"), F.col("row.at").alias("at"), F.col("row.at2").alias("at2"), "keys"), "nodes")
+    labels = linked(docs, nodes, star_rounds)
+    kept = nodes.select("node", "h", "first", "at", "at2")
+    kept = kept.withColumn("class", F.col("node")) if labels is None else kept.join(small(labels), "node", "left").withColumn("class", F.coalesce("label", "node"))
+    return sketches, scratch(kept.select("h", "class", "first", "at", "at2"), "texts")
 
 
 def classes(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id and class_id for each row of docs."""
-    small_batches(docs.sparkSession, 1000)
-    docs = docs.where("doc_id is not null")
-    sketches = scratch(sketch_bands(docs.select("doc_id", "text")), "sketches")
-    # texts of equal shingles first: one row for each, whatever the number of copies
-    firsts = scratch(sketches.groupBy("h").agg(F.min("doc_id").alias("first")), "firsts")
-    is_first = firsts.where("h is not null").select(F.col("first").alias("doc_id"))
-    bands = sketches.where("keys is not null").join(is_first, "doc_id", "left_semi").select("doc_id", "n", "total", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    bands = scratch(bands.join(shared, "key").select("key", "doc_id", "n", "total").distinct(), "bands")
-    members = bands.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("total").alias("total"))
-    texts = scratch(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
-    # shingles that one member alone has
-    alone = shingle_rows(texts).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min("w").alias("w")).where("doc_id = last")
-    own = alone.groupBy("doc_id").agg(F.count("*").alias("own_n"), F.sum("w").alias("own_total"))
-    able = ((F.col("n") - F.col("own_n")) >= SIMILAR * F.col("n") - 1e-6) | ((F.col("total") - F.col("own_total")) >= SIMILAR * F.col("total") - 1e-6)
-    bands = scratch(bands.join(own, "doc_id", "left").na.fill(0, ["own_n", "own_total"]).where(able), "bands")
-    facts = ["n", "own_n", "total", "own_total"]
-    can = possible("n", "n_", "own_n", "own_n_") | possible_shares("total", "total_", "own_total", "own_total_")
-    labels = None
-    labelled = bands.withColumn("label", F.col("doc_id"))
-
-    def compare(pairs: DataFrame, last: bool = False) -> None:
-        """Verify pairs; classes and ``labelled`` are set anew by what is found."""
-        nonlocal labels, labelled
-        found = scratch(verified(scratch(pairs.distinct(), "met"), texts), "found")
-        if found.isEmpty():
-            return
-        if labels is None:
-            labels = components(found)
-        else:  # only classes that the links join are looked at again
-            known = small(labels)
-            of = lambda df, c: df.join(known.select(F.col("doc_id").alias(c), F.col("label").alias("class_" + c)), c, "left")
-            ends = of(of(found, "a"), "b").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).where("a <> b").distinct()
-            merged = scratch(components(ends).select(F.col("doc_id").alias("label"), F.col("label").alias("root")), "merged")
-            kept = labels.join(small(merged), "label", "left").select("doc_id", F.coalesce("root", "label").alias("label"))
-            new = merged.join(known.select(F.col("doc_id").alias("label")), "label", "left_anti").select(F.col("label").alias("doc_id"), F.col("root").alias("label"))
-            labels = scratch(kept.union(new), "labels")
-        if not last:
-            labelled = scratch(bands.join(small(labels), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
-
-    for k in range(star_rounds):  # each bucket's hub meets the members outside its class
-        order = F.struct(F.lit(0).cast("bigint") if k == 0 else F.xxhash64("doc_id", F.lit(k)), "doc_id", "label", *facts)
-        hubs = labelled.groupBy("key").agg(F.min(order).alias("hub"))
-        hubs = hubs.select("key", F.col("hub.doc_id").alias("other"), F.col("hub.label").alias("other_label"), *[F.col(f"hub.{f}").alias(f + "_") for f in facts])
-        met = labelled.join(hubs, "key").where((F.col("label") != F.col("other_label")) & can)
-        compare(met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")))
-    # what is still apart in a bucket, in pairs, each made in the first bucket that it shares
-    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    keys = bands.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    apart = scratch(labelled.join(split, "key").join(keys, "doc_id"), "apart")
-    other = apart.select(F.col("key").alias("other_key"), F.col("doc_id").alias("other"), F.col("label").alias("other_label"), *[F.col(f).alias(f + "_") for f in [*facts, "keys"]])
-    both = F.array_intersect("keys", "keys_")
-    once = F.array_min(both) == F.col("key")
-    across = (F.col("key") == F.col("other_key")) & (F.col("doc_id") < F.col("other")) & (F.col("label") != F.col("other_label")) & can
-    compare(apart.join(other, across & once).select(F.col("doc_id").alias("a"), F.col("other").alias("b")), last=True)
-    # a class's smallest id is the smallest first copy of its texts
-    if labels is None:
-        of_text = firsts.select("h", F.col("first").alias("class_id"))
-    else:
-        of_text = firsts.join(labels, firsts["first"] == labels["doc_id"], "left").select("h", F.coalesce("label", "first").alias("class_id"))
-    wordless = sketches.where("keys is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return sketches.where("keys is not null").join(of_text, "h").select("doc_id", "class_id").union(wordless)
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows of which another row of the same class has a smaller doc_id. Rows that repeat a
-    doc_id are one document; rows without doc_id stay."""
-    kept = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    sketches, texts = texts_of(docs.select("doc_id", "text"), star_rounds)
+    ids = texts.groupBy("class").agg(F.min("first").alias("class_id"))
+    of_text = texts.join(ids, "class").select("h", "class_id")
+    wordless = sketches.where("h is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    return sketches.where("h is not null").join(of_text, "h").select("doc_id", "class_id").union(wordless)
+
+
+def keep_one(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """docs with one row of each class, that with the smallest doc_id (rows without one come last); rows without a
+    word stay. Rows to leave out are told by hashes of id and text, so no text is shuffled unless rows repeat both."""
+    sketches, texts = texts_of(docs.select("doc_id", "text"), star_rounds)
+    firsts = texts.groupBy("class").agg(F.min(F.struct(F.col("first").isNull(), "first", "at", "at2")).alias("row")).select("row.at", "row.at2").withColumn("kept", F.lit(True))
+    rows = sketches.where("h is not null").groupBy("at", "at2").agg(F.count("*").alias("copies")).join(firsts, ["at", "at2"], "left")
+    marks = scratch(rows.select("at", "at2", F.coalesce("kept", F.lit(False)).alias("kept"), (F.col("copies") > 1).alias("again")).where("again or not kept"), "marks")
+    at, at2 = places()
+    out, name = private(docs, at=at, at2=at2)
+    marked = small(marks).select(F.col("at").alias(name["at"]), F.col("at2").alias(name["at2"]), F.col("kept").alias("__kept"))
+    keys = [name["at"], name["at2"]]
+    single = out.join(marked, keys, "left_anti")
+    if not marks.where("kept").isEmpty():
+        again = out.join(marked.where("__kept"), keys, "left_semi").dropDuplicates(keys)
+        single = single.union(again)
+    return single.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from helixspark.llm.common import small_batches
+from helixspark.llm.common import slices
 
 CAPACITY, END_ID = 2048, 1
 #: Pieces are cut exactly down to capacity/SMALLEST.
@@ -160,7 +160,6 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row for each piece. with_ids adds the piece's ids (array<int>), which training reads; without it
     only their checksum is given."""
-    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
@@ -187,9 +186,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 return pa.RecordBatch.from_arrays(cols, schema=pa.schema([*fields, pa.field("ids", pa.list_(pa.int32()))]))
 
         for b in batches:
-            rows = [r for d, ids in zip(b.column(0).to_pylist(), words.texts(b.column(1).to_pylist())) for r in packer.add(d, ids + end)]
-            if rows:
-                yield batch(rows)
+            for lo, hi in slices(b.column(1)):
+                rows = [r for d, ids in zip(b.column(0)[lo:hi].to_pylist(), words.texts(b.column(1)[lo:hi].to_pylist())) for r in packer.add(d, ids + end)]
+                if rows:
+                    yield batch(rows)
         if rows := list(packer.finish()):
             yield batch(rows)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import small_batches, without
+from helixspark.llm.common import slices, without
 
 CHUNK, STEP, HOP = 256, 224, 4
 DIM, FILTERS, LAGS = 8, 24, 32
@@ -184,7 +184,6 @@ def scorer(net: ByteConvNet | None):
 def score_quality(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with ``score`` and ``predicted`` (1 if the score is at least threshold); columns of these names
     are replaced."""
-    small_batches(docs.sparkSession)
     out = without(docs, "score", "predicted").withColumn("score", scorer(net)(F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -192,5 +191,4 @@ def score_quality(docs: DataFrame, net: ByteConvNet | None, text_col: str = "tex
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with the columns that they came with."""
     scored = docs.withColumn("__score", scorer(learn(docs, labels))(F.col("text")))
-    small_batches(docs.sparkSession)
     return scored.where(F.col("__score") >= threshold).drop("__score")

@@ -233,21 +233,44 @@ def test_a_copy_that_repeats_a_passage_is_near(spark):
     assert all(got[k + 1] == k and got[k + 2] == k + 2 for k in range(0, 60, 3)) and got[101] == 100
 
 
-def test_probability_jaccard_is_exact_and_within_the_bound(spark):
+def test_probability_jaccard_is_exact_and_prefixes_meet(spark):
+    """Similarities against their definitions; the prefixes of alike sets share a shingle, those of most unlike sets none."""
     g = np.random.default_rng(18)
-    rows = []
+    rows, alike, unlike = [], set(), set()
     for k in range(200):
-        a, b = np.flatnonzero(g.random(60) < 0.9).astype(np.uint64), np.flatnonzero(g.random(60) < 0.9).astype(np.uint64)
+        keep = g.choice([0.5, 0.9, 0.97])
+        a, b = np.flatnonzero(g.random(60) < keep) + 100 * k, np.flatnonzero(g.random(60) < keep) + 100 * k
         wa, wb = g.integers(1, 4, len(a)), g.integers(1, 4, len(b))
         da, db = dict(zip(a.tolist(), wa.tolist())), dict(zip(b.tolist(), wb.tolist()))
         exact = sum(1 / sum(max(da.get(j, 0) / da[i], db.get(j, 0) / db[i]) for j in set(da) | set(db)) for i in da if i in db)
-        plain, weighted, shares = neardup.similarities((a, wa), (b, wb))
+        plain, weighted, shares = neardup.similarities((a.astype(np.uint64), wa), (b.astype(np.uint64), wb))
         assert shares == pytest.approx(exact) and weighted <= shares + 1e-12
-        own = lambda x, y: sum(w for j, w in x.items() if j not in y)
-        rows.append((sum(da.values()), sum(db.values()), own(da, db), own(db, da), shares))
-    df = spark.createDataFrame(rows, "ta long, tb long, oa long, ob long, shares double")
-    assert df.where((F.col("shares") >= 0.8) & ~neardup.possible_shares("ta", "tb", "oa", "ob")).count() == 0
-    assert 0 < df.where(neardup.possible_shares("ta", "tb", "oa", "ob")).count() < 200
+        (alike if max(plain, weighted, shares) >= 0.8 else unlike).add((2 * k, 2 * k + 1))
+        rows += [(2 * k, 2 * k, a.tolist(), wa.tolist()), (2 * k + 1, 2 * k + 1, b.tolist(), wb.tolist())]
+    sets = spark.createDataFrame(rows, "node long, label long, s array<long>, w array<int>")
+    buckets = sets.select("node", F.array(F.lit(1).cast("long")).alias("keys"))
+    met = {(r.a, r.b) for r in neardup.prefix_pairs(neardup.prefixes(sets), buckets).collect()}
+    assert alike and alike <= met and len(met & unlike) < len(unlike)
+
+
+def test_rows_without_id_and_ids_with_two_texts(spark):
+    g = random.Random(21)
+    a, b, c = words(g, 60), words(g, 60), words(g, 60)
+    docs = [(1, a), (1, b), (2, edited(g, a, 1)), (None, b), (None, c), (None, c), (4, c + " end"), (5, None), (5, None), (None, None), (1, a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("__kept", F.lit(7)).withColumn("keys", F.lit("x"))
+    got = Counter((r.doc_id, r.class_id) for r in neardup.classes(df).collect())
+    assert got == Counter({(1, 1): 3, (2, 1): 1, (None, 1): 1, (None, 4): 2, (4, 4): 1, (5, 5): 2, (None, None): 1})
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(1, a): 1, (1, b): 1, (4, c + " end"): 1, (5, None): 2, (None, None): 1})
+
+
+def test_a_long_text_is_cut_into_words_part_by_part(monkeypatch):
+    g = random.Random(22)
+    text = words(g, 3000) + " " + "x" * 500 + ", " + words(g, 40)
+    whole = neardup.shingles([text, None, ""], neardup.WordHashes())
+    monkeypatch.setattr(neardup, "PART_CHARS", 64)
+    assert all((x == y).all() for x, y in zip(whole, neardup.shingles([text, None, ""], neardup.WordHashes())))
 
 
 def test_probminhash_estimates_probability_jaccard():
