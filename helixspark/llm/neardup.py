@@ -13,8 +13,8 @@ over sum of the larger) or of probabilities, is 0.8 or more, all computed exactl
 of probabilities, so the two sketches answer to all three. Classes are the connected components.
 
 How a large bucket is handled: texts with the same weighted shingles are merged before anything else. In each of STAR_ROUNDS
-rounds every bucket names one member, its hub, and every text is compared with one hub only: that of most of its buckets
-among those outside its class. So a round costs one comparison a text, and groups of copies become one class.
+rounds every bucket names one member, its hub (from the second round on, one for each class of sizes), and every text is
+compared with one hub only: that of most of its buckets among those outside its class. So a round costs one comparison a text, and groups of copies become one class.
 Texts of one class need not be compared. The texts of what is still apart in a bucket are compared if they share a shingle of
 both prefixes: a text's shingles are put in one order for all texts, rare ones first, and its prefix ends where it holds
 more than 0.2 of its shingles and of their counts. Two linked texts have 0.8 of either's shingles, or of either's counts,
@@ -48,7 +48,7 @@ from helixspark.llm.common import private, scratch, slices, small
 WIDTH, SIMILAR = 5, 0.8
 REGISTERS, BAND = 150, 5
 #: Rounds of hubs before the comparison by prefixes.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 WORD, SPACE = re.compile(r"\w+"), re.compile(r"\W")
 #: Words that a worker remembers, and characters of a text that are cut into words at once.
 CACHE_WORDS, PART_CHARS = 300_000, 1 << 20
@@ -241,45 +241,68 @@ def apart(labelled: DataFrame, *by: str) -> DataFrame:
     return labelled.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*by)
 
 
-def star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each text and one hub outside its class, that of most of its buckets. labelled: key, node, label."""
-    hubs = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "label")).alias("hub"))
-    hubs = hubs.select("key", F.col("hub.rank").alias("rank"), F.col("hub.node").alias("b"), F.col("hub.label").alias("other"))
-    met = labelled.join(hubs, "key").where(F.col("label") != F.col("other")).groupBy("node", "b", "rank").agg(F.count("*").alias("n"))
-    best = met.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("less"), "rank", "b")).alias("best"))
+def size_class(turn: int) -> Column:
+    """Texts of one class have numbers of different shingles that allow SIMILAR; the classes' bounds move with the turn, and
+    the first turn has one class, as texts that repeat shingles may be alike whatever their number."""
+    return F.lit(0) if turn == 0 else F.floor(F.log(F.col("n")) / F.log(F.lit(1 / SIMILAR)) + turn / STAR_ROUNDS)
+
+
+def star_pairs(labelled: DataFrame, turn: int, own: bool = False) -> DataFrame:
+    """(a, b): each text and one hub outside its class, that of most of its buckets. labelled: key, node, n, label. A bucket has
+    a hub for each class of sizes, a random member. With own (the part of a text that no other class has), a hub has little of
+    that, and a text meets the one with the least: it is likest to all others."""
+    rows = labelled.withColumn("size", size_class(turn))
+    chance = F.xxhash64("node", F.lit(turn))
+    rank = F.round(F.col("own") * 25 + F.pmod(chance, F.lit(1000)) / 1000).cast("bigint") if own else F.lit(0).cast("bigint")
+    hubs = rows.groupBy("key", "size").agg(F.min(F.struct(rank.alias("rank"), chance.alias("chance"), "node", "label")).alias("hub"))
+    hubs = hubs.select("key", "size", F.col("hub.rank").alias("rank"), F.col("hub.chance").alias("chance"), F.col("hub.node").alias("b"), F.col("hub.label").alias("other"))
+    met = rows.join(hubs, ["key", "size"]).where(F.col("label") != F.col("other")).groupBy("node", "b", "rank", "chance").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.min(F.struct("rank", (-F.col("n")).alias("less"), "chance", "b")).alias("best"))
     return best.select(F.least("node", "best.b").alias("a"), F.greatest("node", "best.b").alias("b")).distinct()
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(node, label, shingle): of each set (node, label, s, w) the prefix: its shingles in the order of how many sets have
-    them, as far as it takes to hold more than 1 - SIMILAR of the set and of its counts. Shingles in sets of one label only
-    come first in that order; no other class has them, so they are counted but not given."""
+    """(node, label, shingle, n, total, before, before_w, own): of each set (node, label, s, w) the prefix: its shingles in the order of
+    how many sets have them, as far as it takes to hold more than 1 - SIMILAR of the set's shingles or of their counts; n and
+    total are the set's shingles and counts, before and before_w those that come before a shingle, own its share of shingles in no
+    other class. Shingles in sets of one
+    label only come first in that order; no other class has them, so they are counted but not given."""
     rows = sets.select("node", "label", F.explode(F.arrays_zip("s", "w")).alias("x")).select("node", "label", F.col("x.s").alias("shingle"), F.col("x.w").alias("w"))
     rows = scratch(rows, "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", "often")
-    size, total = F.size("s"), F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    shared = rows.join(often, "shingle")
-    sizes = sets.select("node", size.alias("n"), total.alias("total"))
-    order = Window.partitionBy("node").orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("node")
-    before = shared.select(
-        "node", "label", "shingle", F.coalesce(F.count("*").over(order), F.lit(0)).alias("before"), F.coalesce(F.sum("w").over(order), F.lit(0)).alias("before_w"),
-        F.count("*").over(every).alias("common"), F.sum("w").over(every).alias("common_w"),
-    ).join(sizes, "node")
+    sizes = sets.select("node", F.size("s").alias("n"), F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("total"))
+    order = Window.partitionBy("node").orderBy("often", "shingle")
+    # what comes from a shingle on in that order, subtracted from all
+    after, every = order.rowsBetween(Window.currentRow, Window.unboundedFollowing), Window.partitionBy("node")
+    found = rows.join(often, "shingle").select("node", "label", "shingle", F.count("*").over(every).alias("common"), F.count("*").over(after).alias("rest"), F.sum("w").over(after).alias("rest_w"))
+    found = found.join(sizes, "node").select(
+        "node", "label", "shingle", "n", "total", (F.col("n") - F.col("rest")).alias("before"), (F.col("total") - F.col("rest_w")).alias("before_w"), (1 - F.col("common") / F.col("n")).alias("own")
+    )
     least = 1 - SIMILAR
-    inside = ((F.col("n") - F.col("common") + F.col("before")) <= least * F.col("n") + 1e-6) | ((F.col("total") - F.col("common_w") + F.col("before_w")) <= least * F.col("total") + 1e-6)
-    return before.where(inside).select("node", "label", "shingle")
+    return found.where((F.col("before") <= least * F.col("n") + 1e-6) | (F.col("before_w") <= least * F.col("total") + 1e-6))
+
+
+def possible() -> Column:
+    """Can two sets that share a shingle of their prefixes be linked, if it is the first that they share? They have no more in common
+    than what comes from it on. The probability Jaccard of sets that share parts r and r_ of their counts is at most
+    r * r_ / (1 - (1 - r) * (1 - r_)); it is another than the plain one only where a set repeats shingles."""
+    common = F.least(F.col("n") - F.col("before"), F.col("n_") - F.col("before_"))
+    plain = common >= SIMILAR * (F.col("n") + F.col("n_") - common) - 1e-6
+    r, r_ = 1 - F.col("before_w") / F.col("total"), 1 - F.col("before_w_") / F.col("total_")
+    shares = r * r_ >= SIMILAR * (1 - (1 - r) * (1 - r_)) - 1e-6
+    return plain | (((F.col("n") < F.col("total")) | (F.col("n_") < F.col("total_"))) & shares)
 
 
 def prefix_pairs(prefix: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(a, b): the texts of different classes that share a shingle of their prefixes and a bucket. prefix: node, label,
-    shingle; buckets: node, keys. Only pairs of classes are formed, never pairs within one."""
-    rows = scratch(prefix.join(apart(prefix, "shingle"), "shingle").join(buckets, "node"), "prefixes")
-    classes = rows.select("shingle", "label").distinct()
-    other = classes.select("shingle", F.col("label").alias("label_"))
-    classes = classes.join(other, "shingle").where(F.col("label") < F.col("label_"))
-    right = rows.select("shingle", F.col("node").alias("node_"), F.col("label").alias("label_"), F.col("keys").alias("keys_"))
-    met = classes.join(rows, ["shingle", "label"]).join(right, ["shingle", "label_"]).where(F.arrays_overlap("keys", "keys_"))
+    """(a, b): the texts of different classes that share a shingle of their prefixes and a bucket, and can be linked. buckets: node, keys.
+    All texts with a shingle are met by those outside its largest class only, so a class of many costs no pairs within."""
+    prefix = scratch(prefix.join(apart(prefix, "shingle"), "shingle"), "prefixes")
+    sizes = prefix.groupBy("shingle", "label").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top")).select("shingle", F.col("top.label").alias("top"))
+    rows = prefix.join(buckets, "node").join(largest, "shingle")
+    right = prefix.join(buckets, "node").select("shingle", *[F.col(c).alias(c + "_") for c in ("node", "label", "n", "total", "before", "before_w", "keys")])
+    once = (F.col("label_") == F.col("top")) | (F.col("node") < F.col("node_"))
+    met = rows.where("label <> top").join(right, "shingle").where((F.col("label") != F.col("label_")) & once & possible() & F.arrays_overlap("keys", "keys_"))
     return met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
@@ -293,27 +316,40 @@ def linked(docs: DataFrame, nodes: DataFrame, star_rounds: int) -> DataFrame | N
     # rows that are the same in id and text are one here
     sets = scratch(shingle_sets(texts).join(members, ["at", "h"]).dropDuplicates(["node"]).select("node", "s", "w"), "sets")
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("s_"), F.col("w").alias("w_"))
-    edges = labels = None
+    sizes = scratch(sets.select("node", F.size("s").alias("n")), "sizes")
+    labels = None
 
     def labelled(df: DataFrame) -> DataFrame:
         return df.withColumn("label", F.col("node")) if labels is None else df.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def compare(pairs: DataFrame) -> None:
-        nonlocal edges, labels
+        """Verify pairs and join the classes that the links found lie between."""
+        nonlocal labels
         met = scratch(pairs, "met")
         found = scratch(sets.withColumnRenamed("node", "a").join(small(met), "a").join(right, "b").where(alike("s", "w", "s_", "w_")).select("a", "b"), "found")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            labels = components(edges)
+        if found.isEmpty():
+            return
+        if labels is None:
+            labels = components(found)
+            return
+        ends = labelled(found.select(F.col("a").alias("node"), "b")).select(F.col("b").alias("node"), F.col("label").alias("a"))
+        joined = components(labelled(ends).select("a", F.col("label").alias("b")).where("a <> b").distinct())
+        roots = small(joined.select(F.col("node").alias("label"), F.col("label").alias("root")))
+        old = labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+        labels = scratch(old.union(joined.join(small(labels.select("node")), "node", "left_anti")), "classes")
 
     for turn in range(star_rounds):
-        compare(star_pairs(scratch(labelled(bands), "labelled"), turn))
+        compare(star_pairs(scratch(labelled(bands.join(small(sizes), "node")), "labelled"), turn))
     rest = scratch(labelled(bands), "labelled")
     rest = scratch(rest.join(apart(rest, "key"), "key"), "apart")
     if not rest.isEmpty():
         of_node = scratch(rest.groupBy("node", "label").agg(F.collect_set("key").alias("keys")), "buckets")
         ids = scratch(of_node.select("node", "label"), "rest")
-        compare(prefix_pairs(scratch(prefixes(sets.join(small(ids), "node")), "prefix"), of_node.select("node", "keys")))
+        prefix = scratch(prefixes(sets.join(small(ids), "node")), "prefix").drop("label")
+        for turn in range(1, star_rounds + 1):  # the shingles of prefixes are buckets too, and sharper ones
+            rows = scratch(labelled(prefix.select(F.col("shingle").alias("key"), "node", "n", "own")), "labelled")
+            compare(star_pairs(rows.join(apart(rows, "key"), "key"), turn, own=True))
+        compare(prefix_pairs(labelled(prefix), of_node.select("node", "keys")))
     return labels
 
 
