@@ -28,8 +28,8 @@ def edited(g, text, k):
 # Decontamination -------------------------------------------------------------------------------------------------------
 
 
-def shingle_counts(ws):
-    return Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+def shingle_counts(ws, width=5):
+    return Counter(tuple(ws[i : i + width]) for i in range(len(ws) - width + 1))
 
 
 def brute_matches(docs, items):
@@ -39,9 +39,12 @@ def brute_matches(docs, items):
         ws = split(t)
         for k, it in items:
             want = split(it)
-            si = shingle_counts(want)
+            if not want:
+                continue
+            width = min(5, len(want))
+            si = shingle_counts(want, width)
             for s in range(-len(want), len(ws)):
-                sw = shingle_counts(ws[max(0, s) : max(0, s + len(want))])
+                sw = shingle_counts(ws[max(0, s) : max(0, s + len(want))], width)
                 union = sum((si | sw).values())
                 if union and sum((si & sw).values()) / union >= 0.8:
                     out.add((d, k))
@@ -89,6 +92,22 @@ def test_reordered_passages_are_found(spark):
     assert {(0, 0), (1, 0), (10, 1), (20, 2), (30, 3)} <= found == brute_matches(docs, items)
 
 
+def test_short_items_common_passages_and_rows_without_id(spark):
+    """A passage that every item has, items under five words, and ids that are missing or shared by two texts."""
+    g = random.Random(23)
+    common = words(g, 12)
+    items = [(k, words(g, n) + " " + common + " " + words(g, n // 2)) for k, n in enumerate((4, 8, 8, 15, 30))] + [(7, "only four words here"), (8, "bingo"), (9, "two words")]
+    docs = [(k, words(g, 20) + " " + common + " " + words(g, 20)) for k in range(6)] + [(10 + k, words(g, 9) + " " + it + " " + common) for k, it in items]
+    docs += [(30, "x two words"), (31, "words two"), (32, "Bingo!"), (33, (common + " ") * 300), (34, words(g, 4000) + " " + items[3][1] + " " + words(g, 4000))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(d, b).collect()} == brute_matches(docs, items)
+    mixed = [(None, items[0][1]), (None, "clean text"), (5, "a text that is clean"), (5, "now " + items[4][1]), (5, "now " + items[4][1])]
+    m = spark.createDataFrame(mixed, "doc_id long, text string").withColumn("at", F.lit("mine")).withColumn("start", F.lit(0))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(m, b).collect()} == {(None, 0), (5, 4)}
+    kept = decontaminate.drop_contaminated(m, b)
+    assert kept.columns == m.columns and {(r.doc_id, r.text) for r in kept.collect()} == {(None, "clean text"), (5, "a text that is clean")}
+
+
 def test_blocks_reach_every_fingerprint_in_the_radius(spark):
     """The multi-index finds all pairs within RADIUS, whatever bits differ."""
     g = random.Random(6)
