@@ -36,6 +36,38 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_repeated_rows_and_ids_with_two_vectors(spark):
+    """Against brute force, where rows repeat, an id has two vectors and many rows share one."""
+    g = np.random.default_rng(24)
+    x = [[float(np.float32(v)) for v in r] for r in g.normal(size=(300, 16))]
+    rows = [(k, r) for k, r in enumerate(x)] + [(50, x[50])] * 3 + [(100, x[7]), (8, x[9]), (8, x[9])] + [(400 + k, x[50]) for k in range(40)] + [(None, x[1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit("b")).withColumn("v", F.lit(0))
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect())
+    cosine = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    hits = 0
+    for q in {k for k, _ in rows if k is not None and k % 50 == 0}:
+        best: dict = {}
+        for k, r in rows:
+            if k is not None and k != q:
+                best[k] = max(best.get(k, -2), max(cosine(r, o) for j, o in rows if j == q))
+        mine = [v for p, _, v in got if p == q]
+        assert len(mine) == len(set(mine)) == 5
+        hits += len(set(mine) & set(sorted(best, key=lambda k: (-round(best[k], 12), k))[:5]))
+    assert len(got) == 5 * 7 and hits >= 0.9 * len(got)
+
+
+def test_recall_on_vectors_without_clusters(spark):
+    g = np.random.default_rng(25)
+    x = g.normal(size=(3000, 32)).astype("f4").astype("f8")
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect()}
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = n[::50] @ n.T
+    sims[np.arange(60), np.arange(0, 3000, 50)] = -9
+    want = {(50 * i, int(j)) for i, row in enumerate(np.argsort(-sims, axis=1)[:, :5]) for j in row}
+    assert len(got) == 300 and len(got & want) >= 0.9 * 300
+
+
 def test_index_returns_all_within_the_radius():
     g = np.random.default_rng(13)
     codes = g.integers(0, 1 << 16, (500, 4)).astype(np.uint16)
