@@ -1,14 +1,18 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes are covered by overlapping chunks. Each byte has a learned vector; learned filters of
-eight bytes slide over a chunk in steps of four, and each filter's largest response is kept for the chunk.
-One more response is that of fixed lag filters: the largest share, over lags of 2 to LAGS bytes, of bytes
-equal to the one that lag before, which words repeated on and on drive up. The chunks' pooled responses are
-combined (their mean and their maximum over the document) and one logistic unit turns them into a
-probability. Every byte of a text is read, whatever its length.
+eight bytes slide over a chunk in steps of four, and each filter's largest response is kept for the chunk. The chunks' pooled responses are
+combined in HIDDEN units a chunk (so a chunk where most filters stay low, as where words are repeated on and on, can stand out);
+means of both and maxima of the units over the document go into one logistic unit, which gives the
+probability. Every byte of a text is read, whatever its length, SLAB chunks at a time, so memory follows the number of chunks,
+not that of bytes times filters.
+
+The model is fitted on whole texts of a bounded sample: at most FIT_ROWS labelled rows, taken in the order of a hash of doc_id as
+long as they fit into FIT_CHARS characters in all.
 
 Defined results: a null or empty text is scored as a chunk of padding; repeated rows get equal scores; an
-empty table gives an empty result; a table without usable labels gives 0.5 everywhere.
+empty table gives an empty result; a table without usable labels gives 0.5 everywhere. Columns other than doc_id, text and quality
+take no part.
 """
 
 from __future__ import annotations
@@ -18,16 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import slices, without
+from helixspark.llm.common import private, without
 
 CHUNK, STEP, HOP = 256, 224, 4
-DIM, FILTERS, LAGS = 8, 24, 32
-#: Labelled rows at most that a model is fitted on, and characters of each (in slices spread over the text).
-FIT_ROWS, FIT_CHARS = 7000, 2048
-THRESHOLD = 0.3
+DIM, FILTERS, HIDDEN, SLAB = 8, 40, 16, 512
+#: Labelled rows at most that a model is fitted on, and characters of all of them together.
+FIT_ROWS, FIT_CHARS = 7000, 12_000_000
+#: Of a row with label 0 in the fit: it is the rarer kind, and threshold and score lean towards keeping.
+LOW_WEIGHT, THRESHOLD = 4.0, 0.3
 
 
 @dataclass
@@ -35,13 +40,15 @@ class ByteConvNet:
     vectors: np.ndarray  # 256 x DIM
     filters: np.ndarray  # HOP * DIM x 2 * FILTERS: for the first and the second half of a window
     bias: np.ndarray  # FILTERS
-    out: np.ndarray  # 2 * (FILTERS + 1)
+    unit: np.ndarray  # FILTERS x HIDDEN
+    unit_bias: np.ndarray  # HIDDEN
+    out: np.ndarray  # FILTERS + 2 * HIDDEN
     out_bias: float
 
     @staticmethod
     def fresh(seed: int = 7) -> ByteConvNet:
         g = np.random.default_rng(seed)
-        return ByteConvNet(g.normal(0, 0.5, (256, DIM)).astype("f4"), g.normal(0, 0.18, (HOP * DIM, 2 * FILTERS)).astype("f4"), np.zeros(FILTERS, "f4"), g.normal(0, 0.1, 2 * (FILTERS + 1)).astype("f4"), 0.0)
+        return ByteConvNet(g.normal(0, 0.5, (256, DIM)).astype("f4"), g.normal(0, 0.18, (HOP * DIM, 2 * FILTERS)).astype("f4"), np.zeros(FILTERS, "f4"), g.normal(0, 0.2, (FILTERS, HIDDEN)).astype("f4"), np.full(HIDDEN, 0.2, "f4"), g.normal(0, 0.1, FILTERS + 2 * HIDDEN).astype("f4"), 0.0)
 
     def responses(self, chunks: np.ndarray) -> np.ndarray:
         """chunks x windows x FILTERS before pooling; chunks: n x CHUNK bytes."""
@@ -49,52 +56,52 @@ class ByteConvNet:
         half = (self.vectors[chunks].reshape(n * (CHUNK // HOP), HOP * DIM) @ self.filters).reshape(n, CHUNK // HOP, 2 * FILTERS)
         return half[:, :-1, :FILTERS] + half[:, 1:, FILTERS:]
 
-    def pooled(self, chunks: np.ndarray, slab: int = 1024) -> np.ndarray:
-        top = [self.responses(chunks[i : i + slab]).max(axis=1) for i in range(0, len(chunks), slab)]
-        return np.hstack([np.maximum(np.concatenate(top) + self.bias, 0), repeats(chunks)])
-
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One probability for each text; text i is data[offsets[i]:offsets[i + 1]]."""
-        chunks, first = cut_chunks(data, offsets)
-        return self.combined(self.pooled(chunks), first)[0]
+        start, end, first = chunk_places(offsets)
+        top = [self.responses(chunks_at(data, start[i : i + SLAB], end[i : i + SLAB])).max(axis=1) for i in range(0, len(start), SLAB)]
+        return self.combined(np.maximum(np.concatenate(top) + self.bias, 0), first)[0]
 
-    def combined(self, pooled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def combined(self, pooled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of the texts, their features and the chunks' hidden units."""
         counts = np.diff(np.append(first, len(pooled)))[:, None]
-        feats = np.hstack([np.add.reduceat(pooled, first) / counts, np.maximum.reduceat(pooled, first)])
-        return 1 / (1 + np.exp(-np.clip(feats.astype("f8") @ self.out + self.out_bias, -30, 30))), feats
-
-
-def repeats(chunks: np.ndarray) -> np.ndarray:
-    """Of each chunk the largest share of bytes that equal the byte some lag before; padding counts for nothing."""
-    real = np.maximum(np.count_nonzero(chunks, axis=1), 1)
-    blank = chunks == 0
-    best = np.zeros(len(chunks), np.int64)
-    for lag in range(2, LAGS + 1):
-        best = np.maximum(best, np.count_nonzero((chunks[:, lag:] == chunks[:, :-lag]) & ~blank[:, lag:], axis=1))
-    return (best / real).astype("f4")[:, None]
+        units = np.maximum(pooled @ self.unit + self.unit_bias, 0)
+        feats = np.hstack([np.add.reduceat(pooled, first) / counts, np.add.reduceat(units, first) / counts, np.maximum.reduceat(units, first)])
+        return 1 / (1 + np.exp(-np.clip(feats.astype("f8") @ self.out + self.out_bias, -30, 30))), feats, units
 
 
-def cut_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All chunks of all texts, and the row of each text's first chunk. A text's last chunk is padded with zeros."""
+def chunk_places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each chunk of each text starts, where its text ends, and the row of each text's first chunk."""
     sizes = np.diff(offsets)
     counts = 1 + np.maximum(0, -(-(sizes - CHUNK) // STEP))
     first = np.cumsum(counts) - counts
     owner = np.repeat(np.arange(len(sizes)), counts)
-    start = offsets[:-1][owner] + (np.arange(len(owner)) - first[owner]) * STEP
+    begin, end = offsets[:-1][owner], offsets[1:][owner]
+    # the last chunk ends with its text, so only texts shorter than a chunk are padded
+    return np.maximum(begin, np.minimum(begin + (np.arange(len(owner)) - first[owner]) * STEP, end - CHUNK)), end, first
+
+
+def chunks_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The chunks that start there; what lies beyond a text's end is zero."""
     at = start[:, None] + np.arange(CHUNK)
-    inside = at < offsets[1:][owner][:, None]
-    padded = np.append(data, np.uint8(0))
-    return padded[np.where(inside, at, len(data))], first
+    inside = at < end[:, None]
+    return data[np.where(inside, at, 0)] * inside if len(data) else np.zeros(at.shape, np.uint8)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 48, seed: int = 7) -> ByteConvNet | None:
+def cut_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of all texts, and the row of each text's first chunk. A text shorter than a chunk is padded with zeros."""
+    start, end, first = chunk_places(offsets)
+    return chunks_at(data, start, end), first
+
+
+def fit(texts: list[str], labels: list[int], epochs: int = 9, batch: int = 48, seed: int = 7) -> ByteConvNet | None:
     """Fit by Adam on logistic loss; gradients reach the filters through each pool's winning window."""
     if not texts:
         return None
     net, g = ByteConvNet.fresh(seed), np.random.default_rng(seed)
     raw, want = [t.encode("utf-8", "replace") for t in texts], np.asarray(labels, "f8")
     net.out_bias = float(np.log((want.sum() + 1) / (len(want) - want.sum() + 1)))
-    names = ("vectors", "filters", "bias", "out", "out_bias")
+    names = ("vectors", "filters", "bias", "unit", "unit_bias", "out", "out_bias")
     moments = {n: (np.zeros_like(getattr(net, n), dtype="f8"), np.zeros_like(getattr(net, n), dtype="f8")) for n in names}
     step = 0
     for epoch in range(epochs):
@@ -108,14 +115,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 48, s
             arg = resp.argmax(axis=1)  # chunks x FILTERS
             top = np.take_along_axis(resp, arg[:, None, :], 1)[:, 0]
             pooled = np.maximum(top + net.bias, 0)
-            prob, feats = net.combined(np.hstack([pooled, repeats(chunks)]), first)
-            err = (prob - want[own]) / len(own)
+            prob, feats, units = net.combined(pooled, first)
+            err = (prob - want[own]) / len(own) * np.where(want[own] > 0, 1, LOW_WEIGHT)
             grad = {"out": feats.T @ err + 1e-4 * net.out, "out_bias": np.float64(err.sum())}
             counts = np.diff(np.append(first, len(chunks)))
             owner = np.repeat(np.arange(len(own)), counts)
-            d_pool = (err[owner] / counts[owner])[:, None] * net.out[:FILTERS]
-            is_top = pooled == feats[owner, FILTERS + 1 : -1]
-            d_pool = (d_pool + is_top * err[owner][:, None] * net.out[FILTERS + 1 : -1]) * (pooled > 0)
+            mean, of_units, most = net.out[:FILTERS], net.out[FILTERS : FILTERS + HIDDEN], net.out[FILTERS + HIDDEN :]
+            share = (err[owner] / counts[owner])[:, None]
+            d_unit = (share * of_units + (units == feats[owner, FILTERS + HIDDEN :]) * err[owner][:, None] * most) * (units > 0)
+            grad["unit"], grad["unit_bias"] = pooled.T @ d_unit + 1e-5 * net.unit, d_unit.sum(0)
+            d_pool = (share * mean + d_unit @ net.unit.T) * (pooled > 0)
             grad["bias"] = d_pool.sum(0)
             # bytes of each winning window: chunks x FILTERS x 8
             at = arg[:, :, None] * HOP + np.arange(2 * HOP)
@@ -137,23 +146,26 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 48, s
     return net
 
 
-def spread(text: Column, chars: int = FIT_CHARS, slices: int = 4) -> Column:
-    """A text of at most chars characters: the text, or slices of it spread evenly from its start to its end."""
-    part = chars // slices
-    pieces = [F.substring(text, (F.lit(1) + (F.length(text) - part) * k / (slices - 1)).cast("int"), F.lit(part)) for k in range(slices)]
-    return F.when(F.length(text) <= chars, text).otherwise(F.concat(*pieces))
-
-
-def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ByteConvNet | None:
-    """Fit on at most rows labelled documents, taken in the order of a hash of doc_id from all labels whose
-    crc32(doc_id) mod 5 is not 0. The sample is bounded, so it may go to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> ByteConvNet | None:
+    """Fit on at most rows labelled documents of at most chars characters in all, whole texts, taken in the order of a hash of doc_id from all labels whose
+    crc32(doc_id) mod 5 is not 0. First only their ids and lengths come to the driver, then the chosen texts: both are bounded."""
     chosen = (
         labels.where("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 5 != 0")
         .select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    # at most `rows` rows of two numbers: bounded, so broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", spread(text).alias("text")).collect()
+    # at most `rows` rows of two numbers: bounded, so broadcast; a doc_id may repeat, so the result is limited again
+    sized = docs.select("doc_id", F.length(text).alias("n"), F.xxhash64(text).alias("th")).join(F.broadcast(chosen), "doc_id")
+    left, picked = chars, []
+    for r in sized.select("doc_id", "n", "th").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "n", "th").limit(rows).collect():
+        if r.n <= left:
+            left -= r.n
+            picked.append((r.doc_id, r.th))
+    if not picked:
+        return None
+    wanted = docs.sparkSession.createDataFrame(picked, "doc_id long, th long")
+    found = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th")).join(F.broadcast(wanted), ["doc_id", "th"])
+    got = found.groupBy("doc_id", "th").agg(F.any_value("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").limit(2 * rows).collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, r.text))
     return fit([r.text for r in got], [int(r.quality) for r in got])
 
@@ -190,5 +202,5 @@ def score_quality(docs: DataFrame, net: ByteConvNet | None, text_col: str = "tex
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with the columns that they came with."""
-    scored = docs.withColumn("__score", scorer(learn(docs, labels))(F.col("text")))
-    return scored.where(F.col("__score") >= threshold).drop("__score")
+    scored, name = private(docs, score=scorer(learn(docs, labels))(F.col("text")))
+    return scored.where(F.col(name["score"]) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
