@@ -3,14 +3,18 @@
 The pieces come from a fixed public vocabulary (a SentencePiece model file whose path is a parameter); only
 their probabilities are learned here, one distribution for each language. A word's likelihood in a language
 is the sum over all ways to cut it into pieces, found by a forward pass; a text's is the product over its
-words. Probabilities are fitted by expectation-maximisation on a bounded sample of each language's texts.
+words. Probabilities are fitted by expectation-maximisation on whole texts of a bounded sample of each language: about FIT_TEXTS texts,
+taken in the order of a hash of doc_id as long as they fit into FIT_CHARS characters in all. All pieces of the vocabulary keep a floor
+of probability, also those that the sample does not have.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing
-could be learned. Ties go to the language that sorts first. Words of any length are scored whole.
+Defined results: a null text, or one without a letter, is ``und`` with score 0 (numerals such as a half or a Roman four are no
+letters); so is every text if nothing could be learned. Ties go to the language that sorts first. Words of any length are fitted and scored whole.
+Columns other than doc_id, text and lang take no part; repeated rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -22,16 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.llm.common import slices, without
-from helixspark.llm.quality import spread
 
-#: Texts of each language (in expectation) that a model is fitted on, and characters of each, spread over it.
-FIT_TEXTS, FIT_CHARS = 250, 3000
+#: Texts of each language (in expectation) that a model is fitted on, and characters of all of a language's together.
+FIT_TEXTS, FIT_CHARS = 250, 600_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Words remembered by a worker before its memory of them is cleared.
 CACHE_WORDS = 400_000
 UNSEEN = 1e-9
 
 
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text, lower-cased."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for w in found for c in w + " ").split()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -138,35 +149,49 @@ def hashes_of(pieces: list[str]) -> np.ndarray:
 
 
 def expected_pieces(model: PieceModel, column: int, words: Counter) -> Counter:
-    """Expected piece counts of one language's words (forward-backward), for one step of the fit."""
+    """Expected piece counts of one language's words (forward-backward), for one step of the fit. Sums that get small are
+    scaled up, with the scale kept beside them, so words of any length count."""
     out: Counter = Counter()
     probs, longest = model.probs, model.longest
     for word, times in words.items():
         s = "▁" + word
         n = len(s)
-        arcs = [(i, j, p[column] if (p := probs.get(s[i:j])) else UNSEEN) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if s[i:j] in probs or j == i + 1]
-        fore, back = [0.0] * (n + 1), [0.0] * (n + 1)
+        arcs = [[(j, p[column] if (p := probs.get(s[i:j])) else UNSEEN) for j in range(i + 1, min(n, i + longest) + 1) if s[i:j] in probs or j == i + 1] for i in range(n)]
+        fore, back, scale, scale_back = [0.0] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1)
         fore[0] = back[n] = 1.0
-        for i, j, p in arcs:
-            fore[j] += fore[i] * p
-        for i, j, p in reversed(arcs):
-            back[i] += back[j] * p
+        now = 0.0
+        for i in range(n + 1):
+            if 0 < fore[i] < 1e-100:
+                by = fore[i]
+                now += math.log(by)
+                for j in range(i, min(n, i + longest) + 1):
+                    fore[j] /= by
+            scale[i] = now
+            for j, p in arcs[i] if i < n else ():
+                fore[j] += fore[i] * p
+        now = 0.0
+        for i in range(n - 1, -1, -1):
+            total = sum(p * back[j] * (math.exp(scale_back[j] - now) if scale_back[j] != now else 1.0) for j, p in arcs[i])
+            if 0 < total < 1e-100:
+                now += math.log(total)
+                total = 1.0
+            back[i], scale_back[i] = total, now
         if fore[n] > 0:
-            for i, j, p in arcs:
-                if (share := fore[i] * p * back[j]) > 0 and s[i:j] in probs:
-                    out[s[i:j]] += times * share / fore[n]
+            for i in range(n):
+                for j, p in arcs[i]:
+                    off = scale[i] + scale_back[j] - scale[n]
+                    share = fore[i] * p * back[j] / fore[n] * (math.exp(off) if off else 1.0)
+                    if share > 0 and s[i:j] in probs:
+                        out[s[i:j]] += times * share
     return out
 
 
 def fit(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, smooth: float = 0.02) -> PieceModel:
-    """Fit by rounds of expectation-maximisation. Words over 60 letters are left out of the fit (not of scoring)."""
+    """Fit by rounds of expectation-maximisation. The vocabulary is all pieces, and single characters that they lack."""
     langs = sorted(texts)
-    words = {x: Counter(w for t in texts[x] for w in WORD.findall(t.lower()) if len(w) <= 60) for x in langs}
-    seen = {x: {s[i:j] for w in words[x] for s in ["▁" + w] for i in range(len(s)) for j in range(i + 1, min(len(s), i + 18) + 1)} for x in langs}
-    any_seen = set().union(*seen.values()) if seen else set()
-    vocab = [p for p in pieces if p in any_seen]
-    chars = sorted({c for x in langs for w in words[x] for c in "▁" + w} - set(vocab))
-    vocab += chars
+    words = {x: Counter(w for t in texts[x] for w in letter_runs(t)) for x in langs}
+    have = set(pieces)
+    vocab = [*pieces, *sorted({c for x in langs for w in words[x] for c in "▁" + w} - have)]
     model = PieceModel(langs, {p: (1.0 / len(vocab) / len(p),) * len(langs) for p in vocab})
     for _ in range(rounds):
         counts = [expected_pieces(model, k, words[x]) for k, x in enumerate(langs)]
@@ -177,20 +202,32 @@ def fit(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, smooth:
     return model
 
 
-def learn(docs: DataFrame, vocabulary: str | None = None, texts_of_each: int = FIT_TEXTS) -> PieceModel:
+def learn(docs: DataFrame, vocabulary: str | None = None, texts_of_each: int = FIT_TEXTS, chars: int = FIT_CHARS) -> PieceModel:
     """Fit on rows with a lang whose crc32(doc_id) mod 3 is not 1: of each language about texts_of_each rows,
-    those whose hash of doc_id falls below that language's rate. The rates come from counts over all rows."""
+    those whose hash of doc_id falls below that language's rate, as far as chars characters hold. The rates come from counts over all rows."""
     rows = docs.where("doc_id is not null and lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 != 1")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     pieces = load_pieces(vocabulary or default_vocabulary())
     if not counts:
         return PieceModel([], {})
-    draw = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(2**53))
+    order = F.xxhash64("doc_id")
     rate = F.create_map(*[F.lit(y) for x, n in sorted(counts.items()) for y in (x, min(1.0, texts_of_each / n))])
-    got = rows.where(draw < rate[F.col("lang")]).select("lang", "doc_id", spread(F.col("text"), FIT_CHARS).alias("text")).collect()
+    drawn = rows.where(F.shiftrightunsigned(order, 11) / float(2**53) < rate[F.col("lang")])
+    most = 2 * texts_of_each * len(counts)
+    # numbers first, then the texts that they choose: both bounded, also if a doc_id repeats
+    sizes = drawn.select("lang", "doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("th")).distinct().orderBy(order, "doc_id", "lang", "n", "th").limit(most).collect()
+    left, picked = dict.fromkeys(counts, chars), []
+    for r in sizes:
+        if r.n <= left[r.lang]:
+            left[r.lang] -= r.n
+            picked.append((r.lang, r.doc_id, r.th))
     texts: dict[str, list[str]] = {x: [] for x in counts}
-    for r in sorted(got, key=lambda r: (r.lang, r.doc_id, r.text)):
-        texts[r.lang].append(r.text)
+    if picked:
+        wanted = docs.sparkSession.createDataFrame(picked, "lang string, doc_id long, th long")
+        found = drawn.select("lang", "doc_id", "text", F.xxhash64("text").alias("th")).join(F.broadcast(wanted), ["lang", "doc_id", "th"])
+        got = found.groupBy("lang", "doc_id", "th").agg(F.any_value("text").alias("text")).limit(most).collect()
+        for r in sorted(got, key=lambda r: (r.lang, r.doc_id, r.text)):
+            texts[r.lang].append(r.text)
     return fit(texts, pieces)
 
 
@@ -228,7 +265,7 @@ def memory_of(model: PieceModel) -> WordMemory:
 
 def identify(memory: WordMemory, texts: list[str | None]) -> tuple[list[str], list[float]]:
     model = memory.model
-    counts = [Counter(WORD.findall(t.lower())) if t and model.langs else None for t in texts]
+    counts = [Counter(letter_runs(t)) if t and model.langs else None for t in texts]
     memory.learn(set().union(*filter(None, counts)))
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     for k, words in enumerate(counts):
