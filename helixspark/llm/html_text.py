@@ -7,7 +7,7 @@ the whole page in view; the blocks it takes for the article are joined. It is tr
 ``training_page`` makes up: layouts with menus, headers, footers, sidebars, notices, adverts, forms and
 comments in many namings, around and inside articles.
 
-Scripts, styles, templates and comments of the markup are no text at all. Character references are decoded,
+Scripts, styles, templates, framed documents, the title and comments of the markup are no text at all and do not end a block. Character references are decoded,
 white space inside a block becomes one space, ``<br>`` is white space. Defined results: a null or empty page
 gives an empty text; unclosed and stray tags are borne as browsers do (a new paragraph ends the last one);
 pages of any length are read whole; repeated rows give equal texts; an empty table gives no rows.
@@ -33,34 +33,33 @@ from helixspark.llm.common import slices, without
 PATH_DIMS, WORD_DIMS, EXTRA, HIDDEN = 96, 48, 5, 16
 FIT_PAGES = 700
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+')*+>|[^<>]*+>)""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>"'=]|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+>|[^<>]*+>)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
-SILENT = {"script", "style", "template", "noscript", "title", "iframe", "object", "svg", "math", "canvas"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = {"script", "style", "template", "title", "iframe"}
+INLINE = set("canvas math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder noscript object svg a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: tag: open elements that a new one ends, looked for no further than CONTAINERS
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Open elements, counted from a block outwards, whose names make its path.
-NEAREST = 40
 CONTAINERS = {"ul", "ol", "dl", "table", "select", "div", "article", "section", "body", "main", "nav"}
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, names on the tag path, share of its characters in links) of each block with text, in page order."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    open_tags: list[tuple[str, tuple[str, ...]]] = []
+def blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
+    """(text, slots of the names on its tag path, share of its characters in links) of each block with text, in page order."""
+    out: list[tuple[str, tuple[int, ...], float]] = []
+    open_tags: list[tuple[str, tuple[int, ...]]] = []
+    held = [0] * PATH_DIMS  # names of open_tags by slot, so that a block's path costs the same however deep it lies
     opened: Counter = Counter()  # of the tags in open_tags
     endless: set[str] = set()  # silent tags of which no end is left
     parts: list[str] = []
-    path: tuple[str, ...] = ()
+    path: tuple[int, ...] = ()
     linked = 0
 
     def text(raw: str) -> None:
         nonlocal path, linked
         if raw and not raw.isspace():
             if not parts or not path:
-                path = tuple(n for _, names in open_tags[-NEAREST:] for n in names)
+                path = tuple(n for n, times in enumerate(held) if times)
             if opened["a"]:
                 linked += len(raw)
         parts.append(raw)
@@ -74,13 +73,17 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         parts.clear()
         path, linked = (), 0
 
+    def end_last() -> str:
+        last, names = open_tags.pop()
+        opened[last] -= 1
+        for n in names:
+            held[n] -= 1
+        return last
+
     def leave(tag: str) -> None:
         """End the innermost element of a tag, and all in it."""
-        while opened[tag]:
-            last = open_tags.pop()[0]
-            opened[last] -= 1
-            if last == tag:
-                break
+        while opened[tag] and end_last() != tag:
+            pass
 
     at = 0
     while m := TAG.search(page, at):
@@ -101,7 +104,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             end = None if tag in endless else re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
             if end is None:
                 endless.add(tag)
-            close()
+            if tag == "title":
+                close()
             at = end.end() if end else (len(page) if tag in ("script", "style") else at)
             continue
         if tag not in INLINE:
@@ -110,9 +114,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             if tag in ENDS:
                 for k in range(len(open_tags) - 1, -1, -1):
                     if open_tags[k][0] in ENDS[tag]:
-                        for t, _ in open_tags[k:]:
-                            opened[t] -= 1
-                        del open_tags[k:]
+                        while len(open_tags) > k:
+                            end_last()
                         break
                     if open_tags[k][0] in CONTAINERS:
                         break
@@ -120,8 +123,11 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             names = [tag]
             for a in NAMES.findall(m[3]):
                 names += ["." + w for w in WORDS.findall("".join(a).lower())]
-            open_tags.append((tag, tuple(names) if tag not in INLINE or tag == "a" else ()))
+            slots = tuple(slot(n, PATH_DIMS) for n in names) if tag not in INLINE or tag == "a" else ()
+            open_tags.append((tag, slots))
             opened[tag] += 1
+            for n in slots:
+                held[n] += 1
     text(page[at:])
     close()
     return out
@@ -132,16 +138,15 @@ def slot(word: str, dims: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % dims
 
 
-def features(found: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
+def features(found: list[tuple[str, tuple[int, ...], float]]) -> np.ndarray:
     x = np.zeros((len(found), PATH_DIMS + WORD_DIMS + EXTRA), "f4")
     for k, (text, path, linked) in enumerate(found):
-        for n in path:
-            x[k, slot(n, PATH_DIMS)] = 1
+        x[k, list(path)] = 1
         words = WORDS.findall(text.lower())
         for w in words:
             x[k, PATH_DIMS + slot(w, WORD_DIMS)] += 1
         x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= max(1.0, len(words))
-        x[k, -EXTRA:] = (np.log1p(len(text)) / 6, linked, text[-1] in ".!?…。", k / len(found), text.count(" ") / 40 if len(text) < 1600 else 1)
+        x[k, -EXTRA:] = (np.log1p(len(text)) / 6, linked, text[-1] in ".!?…。", k / len(found), np.log1p(text.count(" ")) / 4)
     return x
 
 
@@ -310,6 +315,11 @@ def fit(pages: int = FIT_PAGES, epochs: int = 7, batch: int = 20, seed: int = 5)
     return net
 
 
+@lru_cache(1)
+def default_model() -> BiLstm:
+    return fit()
+
+
 def extract(net: BiLstm, pages: list[str | None], room: int = 60_000) -> list[str]:
     """The main texts; pages of like length go through the network together, up to room blocks at once."""
     found = [blocks(p) if p else [] for p in pages]
@@ -331,7 +341,7 @@ def extract(net: BiLstm, pages: list[str | None], room: int = 60_000) -> list[st
 
 def main_text(pages: DataFrame, net: BiLstm | None = None, html_col: str = "html") -> DataFrame:
     """pages with ``text`` and ``n_chars`` (its code points); columns of these names are replaced."""
-    model = net or fit()
+    model = net or default_model()
 
     @F.arrow_udf(T.StringType())
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
