@@ -37,25 +37,41 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 ENCODINGS = {"hex": (DIGITS + "abcdef", 2), "base32": (UPPER + "234567", 4), "base36": (LOWER + DIGITS, 6), "base62": (UPPER + LOWER + DIGITS, 8), "base64": (UPPER + LOWER + DIGITS + "+/", 8)}
 
 
-def located(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0) -> Column:
-    """array<struct<start, end, kind>> of a pattern's leftmost matches, those kept whose group has least characters.
+#: Hits that are gathered at once: arrays grow by copying, so a text's hits are gathered in groups, and these joined.
+GROUP = 128
+
+
+def located(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0, tokens: bool = False) -> Column:
+    """array<struct<start, end, kind>> of a pattern's leftmost matches, those kept whose group has least characters; with
+    tokens each match's text too.
 
     What lies between matches (split) and the matches themselves give every position in one pass."""
     p = F.lit(pattern)
     hits, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.transform(F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), F.regexp_extract_all(text, p, F.lit(group)).alias("part")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["part"]).alias("part")))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    more = ["token"] if tokens else []
+    found = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), F.regexp_extract_all(text, p, F.lit(group)).alias("part"))
+    sized = F.transform(found, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["part"]).alias("part"), *[x["hit"].alias("token") for _ in more]))
+    kinds = "start:int,end:int,kind:int" + (",token:string" if tokens else "")
+    none = F.array().cast(f"array<struct<{kinds}>>")
 
     def step(acc: Column, x: Column) -> Column:
         lo = acc["at"] + x["gap"]
         hi = lo + x["hit"]
-        span = F.array(F.struct(lo.alias("start"), hi.alias("end"), F.lit(kind).alias("kind")))
+        span = F.array(F.struct(lo.alias("start"), hi.alias("end"), F.lit(kind).alias("kind"), *[x["token"].alias("token") for _ in more]))
         return F.struct(hi.alias("at"), F.when(x["part"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
+    def some(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), none.alias("spans"))
+        return F.aggregate(part, start, step, lambda s: F.struct(s["at"].alias("at"), F.concat(acc["spans"], F.array(s["spans"])).alias("spans")))
+
     # the last gap has no hit
-    whole = F.aggregate(F.slice(sizes, 1, F.size(hits)), start, step)["spans"]
-    return F.when(text.rlike(pattern), whole).otherwise(none)
+    def whole(sizes: Column) -> Column:
+        n = F.size(sizes) - 1
+        parts = F.transform(F.sequence(F.lit(0), F.greatest((n - 1) / GROUP, F.lit(0)).cast("int")), lambda k: F.slice(sizes, k * GROUP + 1, F.greatest(F.least(n - k * GROUP, F.lit(GROUP)), F.lit(0))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<struct<{kinds}>>>").alias("spans"))
+        return F.flatten(F.aggregate(parts, start, some)["spans"])
+
+    return F.when(text.rlike(pattern), F.flatten(F.transform(F.array(sized), whole))).otherwise(none)
 
 
 def fisher(*ps: Column) -> Column:
@@ -121,9 +137,8 @@ def length_class(n: Column) -> Column:
 
 def runs_of(text: Column) -> Column:
     """array<struct<start, end, kind, enc, len, p>> of the key-like runs of a text."""
-    spans = located(text, RUN, KINDS.index("random"))
-    token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), token(s).alias("token"), encoding(F.rtrim(token(s), F.lit("="))).alias("enc")))
+    spans = located(text, RUN, KINDS.index("random"), tokens=True)
+    named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["token"].alias("token"), encoding(F.rtrim(s["token"], F.lit("="))).alias("enc")))
     return F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["enc"].alias("enc"), length_class(s["end"] - s["start"]).alias("len"), battery(s["token"], s["enc"]).alias("p")))
 
 
@@ -166,9 +181,10 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by a mark and n_chars set anew; texts without spans stay as
-    they are. Overlapping spans are replaced together."""
-    found = scan(docs)
-    text = F.col("text")
+    they are, and so does every other column, whatever its name. Overlapping spans are replaced together."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # the scan's columns can't meet these
+    found = scan(docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()]), names["text"])
+    text = F.col(names["text"])
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
@@ -176,7 +192,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     hit = F.size("spans") > 0
-    out = found.withColumn("text", F.when(hit, clean).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = found.withColumn(names["text"], F.when(hit, clean).otherwise(text))
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.when(hit, F.length(text).cast("bigint")).otherwise(F.col(names["n_chars"])))
+    return out.select(*[F.col(k).alias(c) for c, k in names.items()])
