@@ -52,7 +52,9 @@ def test_chunks_cover_every_byte():
         data = np.arange(n, dtype=np.int64).astype(np.uint8)
         chunks, first = quality.cut_chunks(data, np.array([0, n]))
         assert len(first) == 1 and (len(chunks) - 1) * quality.STEP + quality.CHUNK >= n
-        assert (chunks[-1][: n - (len(chunks) - 1) * quality.STEP] == data[(len(chunks) - 1) * quality.STEP :]).all()
+        starts, ends, _ = quality.chunk_places(np.array([0, n]))
+        covered = {i for a in starts.tolist() for i in range(a, min(n, a + quality.CHUNK))}
+        assert covered == set(range(n)) and (ends == n).all() and (n < quality.CHUNK or (chunks[-1] == data[-quality.CHUNK :]).all())
 
 
 def test_quality_edges(spark, net):
@@ -226,3 +228,53 @@ def test_url_model_held_out():
     w = urls.default_model()
     said = [(w[f].sum() / np.sqrt(len(f)) + w[-1] >= 0) == bool(y) for h, p, y in rows if len(f := urls.grams(h, p))]
     assert np.mean(said) > 0.95
+
+
+def test_numerals_are_no_letters_and_all_pieces_are_kept(model):
+    memory = langid.WordMemory(model)
+    langs, scores = langid.identify(memory, ["½ ² Ⅷ ①", "", None, "½the house and", "12_34"])
+    assert langs[:3] == ["und"] * 3 and langs[3] != "und" and langs[4] == "und" and scores[:3] == [0.0] * 3
+    assert langid.letter_runs("½the²House Ⅷ, ab_cd") == ["the", "house", "ab", "cd"]
+    assert set(langid.load_pieces(langid.default_vocabulary())) <= set(model.probs)
+
+
+def test_words_of_any_length_count_in_the_fit(model):
+    """Expected pieces of a long word add up to its letters, as they do for a short one."""
+    from collections import Counter
+
+    for word in ("house", "house" * 30, "qz" * 900):
+        got = langid.expected_pieces(model, 0, Counter({word: 1}))
+        letters = sum(len(p) * n for p, n in got.items())
+        assert all(np.isfinite(list(got.values()))) and letters <= len(word) + 1.001
+        if word.startswith("house"):
+            assert letters > 0.9 * len(word)
+
+
+def test_markup_in_values_and_inline_elements():
+    cases = {
+        '<p>Hello <a title="a<b>c">there</a> you</p>': ["Hello there you"],
+        "<p>one <math><mi>x</mi> + 1</math> two</p>": ["one x + 1 two"],
+        "<p>one <noscript>no script</noscript> <object>thing</object> two</p>": ["one no script thing two"],
+        "<p>one <script>var a='<p>';</script>two</p>": ["one two"],
+        "<p>1 < 2 and don't <b x='>'>stop</b></p>": ["1 < 2 and don't stop"],
+    }
+    for page, want in cases.items():
+        assert [b[0] for b in html_text.blocks(page)] == want, page
+
+
+def test_deep_paths_keep_all_names():
+    inner = '<footer class="colophon">' + "<div><font>" * 300 + "<p>deep text</p>"
+    found = html_text.blocks(inner + "</div>" * 10)
+    want = {html_text.slot(n, html_text.PATH_DIMS) for n in ("footer", ".colophon", "div", "p")}
+    assert [b[0] for b in found] == ["deep text"] and set(found[0][1]) == want
+
+
+def test_a_long_text_is_scored_in_bounded_memory(net):
+    import tracemalloc
+
+    data = np.frombuffer((CLEAN * 60_000).encode(), np.uint8)
+    tracemalloc.start()
+    net.scores(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 5e6 and peak < 8 * len(data)
