@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that a Python worker works on at once; a longer text is worked on by itself.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a Python worker works on at once, and of a batch sent to it; a longer text is worked on by itself.
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
 #: Bytes at most that a table of numbers takes when it is broadcast, at so many a field.
 BROADCAST_BYTES, FIELD_BYTES = 16 << 20, 24
 FIXED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DoubleType)
@@ -23,6 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to BATCH_BYTES if it is higher. All operators that hand texts to Python
+    set this same bound, so none depends on which came last; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not (now := spark.conf.get(name, "")).rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+_kept: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps under a name from task to task. It keeps one thing: another name's is dropped first, so a
+    worker that goes from one operator to the next holds the memory of one."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges (from, to) of a batch's rows that hold about limit bytes each, so that what a worker makes of them stays
     bounded whatever the batch; a row that alone exceeds it is a range of its own."""

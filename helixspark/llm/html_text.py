@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixspark.llm.common import slices, without
+from helixspark.llm.common import bounded_batches, slices, without
 
 PATH_DIMS, WORD_DIMS, EXTRA, HIDDEN = 96, 48, 5, 16
 FIT_PAGES = 700
@@ -341,6 +341,7 @@ def extract(net: BiLstm, pages: list[str | None], room: int = 60_000) -> list[st
 
 def main_text(pages: DataFrame, net: BiLstm | None = None, html_col: str = "html") -> DataFrame:
     """pages with ``text`` and ``n_chars`` (its code points); columns of these names are replaced."""
+    bounded_batches(pages.sparkSession)
     model = net or default_model()
 
     @F.arrow_udf(T.StringType())

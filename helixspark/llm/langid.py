@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import slices, without
+from helixspark.llm.common import bounded_batches, remembered, slices, without
 
 #: Texts of each language (in expectation) that a model is fitted on, and characters of all of a language's together.
 FIT_TEXTS, FIT_CHARS = 250, 600_000
@@ -252,15 +252,9 @@ class WordMemory:
         self.rows.update(zip(fresh, range(n, n + len(fresh))))
 
 
-_memory: dict[str, WordMemory] = {}
-
-
 def memory_of(model: PieceModel) -> WordMemory:
     """The process's memory for a model: a Python worker keeps that of its last model from task to task."""
-    if model.name not in _memory:
-        _memory.clear()
-        _memory[model.name] = WordMemory(model)
-    return _memory[model.name]
+    return remembered(f"words of {model.name}", lambda: WordMemory(model))
 
 
 def identify(memory: WordMemory, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -295,6 +289,7 @@ def identifier(model: PieceModel):
 
 def identify_language(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``score``; columns of these names are replaced."""
+    bounded_batches(docs.sparkSession)
     kept = without(docs, "lang_pred", "score")
     names = kept.columns
     out = kept.withColumn("__lang", identifier(model)(F.col(text_col)))

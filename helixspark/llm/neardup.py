@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixspark.llm.common import private, scratch, slices, small
+from helixspark.llm.common import bounded_batches, private, remembered, scratch, slices, small
 
 WIDTH, SIMILAR = 5, 0.8
 REGISTERS, BAND = 150, 5
@@ -152,12 +152,9 @@ def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return plain, least / (total_x + total_y - least), float((1 / larger).sum())
 
 
-_memory: dict[str, WordHashes] = {}
-
-
 def word_memory() -> WordHashes:
     """The process's word hashes: a Python worker keeps them from one task to the next."""
-    return _memory.setdefault("words", WordHashes())
+    return remembered("word hashes", WordHashes)
 
 
 def cut_shingles(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]]:
@@ -187,6 +184,7 @@ def sketch_bands(docs: DataFrame) -> DataFrame:
                 own = [b.column(k)[lo:hi] for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(digests, pa.binary()), pa.array(both, pa.list_(pa.int64()))], ["doc_id", "at", "at2", "h", "keys"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", *places(), "text").mapInArrow(sketched, "doc_id bigint, at bigint, at2 bigint, h binary, keys array<bigint>")
 
 

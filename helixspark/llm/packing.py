@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from helixspark.llm.common import slices
+from helixspark.llm.common import bounded_batches, remembered, slices
 
 CAPACITY, END_ID = 2048, 1
 #: Pieces are cut exactly down to capacity/SMALLEST.
@@ -94,14 +94,9 @@ class WordIds(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
-_known: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """The process's ids for a tokenizer: a Python worker keeps them from one task to the next."""
-    if path not in _known:
-        _known[path] = WordIds(path)
-    return _known[path]
+    return remembered(f"ids of {path}", lambda: WordIds(path))
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[tuple[int, int]]:
@@ -160,6 +155,7 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row for each piece. with_ids adds the piece's ids (array<int>), which training reads; without it
     only their checksum is given."""
+    bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 

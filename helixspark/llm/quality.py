@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import private, without
+from helixspark.llm.common import bounded_batches, private, remembered, without
 
 CHUNK, STEP, HOP = 256, 224, 4
 DIM, FILTERS, HIDDEN, SLAB = 8, 40, 16, 512
@@ -184,6 +184,7 @@ def scorer(net: ByteConvNet | None):
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        remembered("quality", dict)
         for texts in batches:
             if net is None or len(texts) == 0:
                 yield pa.array([0.5] * len(texts), pa.float64())
@@ -196,11 +197,13 @@ def scorer(net: ByteConvNet | None):
 def score_quality(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with ``score`` and ``predicted`` (1 if the score is at least threshold); columns of these names
     are replaced."""
+    bounded_batches(docs.sparkSession)
     out = without(docs, "score", "predicted").withColumn("score", scorer(net)(F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with the columns that they came with."""
+    bounded_batches(docs.sparkSession)
     scored, name = private(docs, score=scorer(learn(docs, labels))(F.col("text")))
     return scored.where(F.col(name["score"]) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -37,7 +37,7 @@ from pyspark.sql.datasource import (
     LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage,
 )
 
-from helixspark.llm.common import scratch, shared_dir, without
+from helixspark.llm.common import bounded_batches, scratch, shared_dir, without
 
 SPLIT, LEAST_SHARED, BROADCAST_ROWS = 32 << 20, 1000, 200_000
 #: Names of manifests (without a job's id: of archives written before each job had its own) and of the files of tasks.
@@ -263,6 +263,7 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> str:
     """Write a record for each page; returns the archive's folder (a new one below the shared folder)."""
     spark = pages.sparkSession
     register(spark)
+    bounded_batches(spark)
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     records(pages).write.format("warc").mode("append").save(path)
     return path
