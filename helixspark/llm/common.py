@@ -28,7 +28,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's bound on the bytes of an Arrow batch to BATCH_BYTES if it is higher. All operators that hand texts to Python
     set this same bound, so none depends on which came last; results don't depend on it."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not (now := spark.conf.get(name, "")).rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+    now = (spark.conf.get(name, None) or "").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
