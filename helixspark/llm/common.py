@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker works on at once, and of a batch sent to it; a longer text is worked on by itself.
-SLICE_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 #: Bytes at most that a table of numbers takes when it is broadcast, at so many a field.
 BROADCAST_BYTES, FIELD_BYTES = 16 << 20, 24
 FIXED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DoubleType)

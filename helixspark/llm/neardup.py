@@ -51,7 +51,7 @@ REGISTERS, BAND = 150, 5
 STAR_ROUNDS = 2
 WORD, SPACE = re.compile(r"\w+"), re.compile(r"\W")
 #: Words that a worker remembers, and characters of a text that are cut into words at once.
-CACHE_WORDS, PART_CHARS = 300_000, 1 << 20
+CACHE_WORDS, PART_CHARS = 200_000, 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from helixspark.llm.common import bounded_batches, remembered, slices
 CAPACITY, END_ID = 2048, 1
 #: Pieces are cut exactly down to capacity/SMALLEST.
 SMALLEST = 16
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Marks after a run of letters that the tokenizer splits off, whatever the letters (an apostrophe is not one).
 MARKS = ".,;:!?#$%&*"
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
