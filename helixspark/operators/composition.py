@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,8 +125,9 @@ def molecular_weight(seq: Column, gravity: float = 9.81, unit: str = "gram") ->
     return F.when(n > 0, (total - (n - 1) * K.WATER) * scale)
 
 
-def isoelectric_point(seq: Column, steps: int = 60) -> Column:
-    """The pH at which the net charge is zero, by bisection on the charge, which falls with pH."""
+def isoelectric_point(seq: Column, steps: int = 14, newton: int = 4) -> Column:
+    """The pH at which the net charge is zero: bisection on the charge, which falls with pH, and then Newton's steps within
+    the bracket, which double the digits each time."""
     clean = F.translate(seq, "*", "")
     first, last = F.substring(clean, 1, 1), F.substring(clean, -1, 1)
     n_term, c_term = F.lit(K.PK_N_TERM), F.lit(K.PK_C_TERM)
@@ -132,21 +135,34 @@ def isoelectric_point(seq: Column, steps: int = 60) -> Column:
         n_term = F.when(first == aa, pk).otherwise(n_term)
     for aa, pk in K.PK_C_SPECIAL.items():
         c_term = F.when(last == aa, pk).otherwise(c_term)
-    counts = F.struct(*[S.times(clean, aa).alias(aa) for aa in K.PK_SIDE], n_term.alias("n_term"), c_term.alias("c_term"))
+    counts = F.struct(*[S.times(clean, aa).cast("double").alias(aa) for aa in K.PK_SIDE], n_term.alias("n_term"), c_term.alias("c_term"))
 
     def solved(c: Column) -> Column:
-        def charge(ph: Column) -> Column:
-            plus = lambda n, pk: n / (1 + F.pow(F.lit(10.0), ph - pk))
-            minus = lambda n, pk: n / (1 + F.pow(F.lit(10.0), pk - ph))
-            up = plus(F.lit(1.0), c["n_term"]) + sum((plus(c[aa], F.lit(K.PK_SIDE[aa])) for aa in "RHK"), F.lit(0.0))
-            return up - minus(F.lit(1.0), c["c_term"]) - sum((minus(c[aa], F.lit(K.PK_SIDE[aa])) for aa in "DECY"), F.lit(0.0))
+        one = F.lit(1.0)
+        groups = [(one, c["n_term"], 1.0), *((c[aa], F.lit(K.PK_SIDE[aa]), 1.0) for aa in "RHK"), (one, c["c_term"], -1.0), *((c[aa], F.lit(K.PK_SIDE[aa]), -1.0) for aa in "DECY")]
+        part = lambda ph, pk, sign: 1 / (1 + F.pow(F.lit(10.0), (ph - pk) * sign))
+        charge = lambda ph: sum((n * part(ph, pk, sign) * sign for n, pk, sign in groups), F.lit(0.0))
 
         def step(acc: Column, _: Column) -> Column:
             mid = (acc["lo"] + acc["hi"]) / 2
-            up = charge(mid) > 0
-            return F.struct(F.when(up, mid).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(mid).alias("hi"))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi")), step, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+            return F.element_at(F.transform(F.array(charge(mid) > 0), lambda up: F.struct(F.when(up, mid).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(mid).alias("hi"))), 1)
+
+        def sharper(acc: Column, _: Column) -> Column:
+            ph = acc["ph"]
+            of = F.array(*[part(ph, pk, sign) for _, pk, sign in groups])  # computed once for charge and slope
+            move = lambda f: F.struct(
+                sum((n * f[k] * sign for k, (n, _, sign) in enumerate(groups)), F.lit(0.0)).alias("up"),
+                sum((n * f[k] * (1 - f[k]) for k, (n, _, _) in enumerate(groups)), F.lit(0.0)).alias("fall"),
+            )
+            new = lambda m: ph + F.coalesce(F.try_divide(m["up"], m["fall"] * math.log(10)), F.lit(0.0))
+            moved = F.element_at(F.transform(F.transform(F.array(of), move), new), 1)
+            return F.struct(F.least(F.greatest(moved, acc["lo"]), acc["hi"]).alias("ph"), acc["lo"].alias("lo"), acc["hi"].alias("hi"))
+
+        def finish(acc: Column) -> Column:
+            start = F.struct(((acc["lo"] + acc["hi"]) / 2).alias("ph"), acc["lo"].alias("lo"), acc["hi"].alias("hi"))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(newton)), start, sharper, lambda a: a["ph"])
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi")), step, finish)
 
     return F.when(F.length(clean) > 0, F.element_at(F.transform(F.array(counts), solved), 1))
 

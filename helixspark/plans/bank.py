@@ -12,6 +12,7 @@ parent_id), seq_species(seq_id, id), seq_keyword(seq_id, id), annots(seq_id, lin
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,15 +148,18 @@ class Bank:
         """Sequences tied to a value in one of ``links``: journals, authors, accessions and the like."""
         return Lst(self, self.links[link].where(named("value", value)).select(F.col("seq_id").alias("id")).distinct())
 
-    def below(self, kind: str, ids: DataFrame, most_levels: int = 64) -> DataFrame:
-        """ids and everything under them; one join for each level of the tree, which ends when nothing is new."""
+    def below(self, kind: str, ids: DataFrame) -> DataFrame:
+        """ids and everything under them, however deep, and in a tree with a cycle too; one join for each level, which ends
+        when nothing is new. Every few levels the lineage is cut, if the session has a checkpoint folder."""
         tree = self.table(kind).select("id", "parent_id")
         out = level = ids.distinct()
-        for _ in range(most_levels):
+        for depth in count(1):
             level = tree.join(level.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").join(out, "id", "left_anti")
             if level.isEmpty():
                 break
             out = out.union(level)
+            if depth % 8 == 0 and tree.sparkSession.sparkContext.getCheckpointDir():
+                out, level = out.checkpoint(), level.checkpoint()
         return out
 
     def species(self, name: str) -> Lst:

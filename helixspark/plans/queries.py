@@ -526,16 +526,44 @@ def within_amino_acids(spark, d):
     return M.within_classes(counts, "lang", K.words(3), K.code(1))
 
 
+def _sorted_sql(start: int, by: int, size: int) -> str:
+    """The sorted words of whole codons, joined."""
+    return f"array_to_string(list_sort(list_transform(range({start}, 3 * (length(seq) // 3) + 1, {by}), lambda i: substr(seq, i, {size}))), '')"
+
+
+#: What a shuffle must leave as it was, told from the sequence before it.
+KEPT_SQL = {
+    "base": "array_to_string(list_sort(list_transform(range(1, length(seq) + 1), lambda i: substr(seq, i, 1))), '')",
+    "position": " || '|' || ".join(_sorted_sql(k, 3, 1) for k in (1, 2, 3)) + " || '|' || substr(seq, 3 * (length(seq) // 3) + 1)",
+    "codon": _sorted_sql(1, 3, 3) + " || '|' || substr(seq, 3 * (length(seq) // 3) + 1)",
+}
+
+
+def _kept(model: str, seq: Column) -> Column:
+    """The same, told from a shuffled sequence."""
+    codons = S.splitseq(seq)
+    rest = F.substring(seq, F.length(seq) - F.length(seq) % 3 + 1, F.length(seq) % 3)
+    if model == "base":
+        return F.array_join(F.array_sort(S.chars(seq)), "")
+    if model == "position":
+        thirds = [F.array_join(F.array_sort(F.transform(codons, lambda c: F.substring(c, 1, 1) if k == 1 else F.substring(c, 2, 1) if k == 2 else F.substring(c, 3, 1))), "") for k in (1, 2, 3)]
+        return F.concat_ws("|", *thirds, rest)
+    return F.concat_ws("|", F.array_join(F.array_sort(codons), ""), rest)
+
+
 def _permuted(model):
     def run(spark, d):
-        return dna(spark, d).select("doc_id", C.permuted(F.col("seq"), model).alias("seq"))
+        shuffled = dna(spark, d).select("doc_id", C.permuted(F.col("seq"), model).alias("seq"))
+        protein = [S.translate(F.col("seq"), numcode=1).alias("protein")] if model == "syncodon" else []
+        return shuffled.select("doc_id", _kept(model, F.col("seq")).alias("kept"), *protein)
 
     run.__name__ = f"permutation_{model}"
     return run
 
 
-for _model in ("base", "position", "codon", "syncodon"):
-    query()(_permuted(_model))
+for _model in ("base", "position", "codon"):
+    query(f"WITH {DNA} SELECT doc_id, {KEPT_SQL[_model]} AS kept FROM dna")(_permuted(_model))
+query(f"SELECT doc_id, {KEPT_SQL['codon']} AS kept, protein FROM ({_translate_sql('seq', 1, 0)}) JOIN (WITH {DNA} SELECT doc_id, seq FROM dna) USING (doc_id)")(_permuted("syncodon"))
 
 
 @query()
@@ -630,7 +658,7 @@ def list_and_not(spark, d):
     return (b.where(type="R") - b.where(status="O")).ids
 
 
-@_list(f"SELECT id FROM seqs WHERE id NOT IN {LINES_R}")
+@_list(f"SELECT id FROM seqs EXCEPT {LINES_R[1:-1]}")
 def list_not(spark, d):
     return (~bank(spark, d).where(type="R")).ids
 
@@ -640,7 +668,7 @@ def list_par(spark, d):
     return bank(spark, d).where(type="R").parents().ids
 
 
-@_list(f"SELECT id FROM seqs WHERE id IN {ORDERS_F} OR parent IN {ORDERS_F}")
+@_list(f"{ORDERS_F[1:-1]} UNION SELECT s.id FROM seqs s JOIN {ORDERS_F} p ON s.parent = p.id")
 def list_sub(spark, d):
     b = bank(spark, d)
     return (b.where(type="ORDER") & b.where(status="F")).with_subsequences().ids

@@ -27,12 +27,12 @@ def test_gc(ev):
 
 
 def test_translate(ev):
-    assert ev(S.translate, "tctgagcaaataaatcgg") == "SEQINR"
-    assert ev(S.translate, "tcngarcarathaaycgn") == "XXXXXX"
-    assert ev(lambda c: S.translate(c, ambiguous=True), "tcngarcarathaaycgn") == "SEQINR"
-    assert ev(lambda c: S.translate(c, ambiguous=True, numcode=2), "tcngarcarathaaycgn") == "SEQXNR"
+    assert ev(S.translate, "atgaaaactgcttatatt") == "MKTAYI"
+    assert ev(S.translate, "atraaracngcntayath") == "XXXXXX"
+    assert ev(lambda c: S.translate(c, ambiguous=True), "atgaaracngcntayath") == "MKTAYI"
+    assert ev(lambda c: S.translate(c, ambiguous=True, numcode=2), "atgaaracngcntayath") == "MKTAYX"
     assert ev(S.translate, "at") == "" and ev(S.translate, None) is None
-    assert ev(lambda c: S.translate(c, sens="R"), "ccgatttatttgctcaga") == "SEQINR"
+    assert ev(lambda c: S.translate(c, sens="R"), "aatataagcagttttcat") == "MKTAYI"
     with pytest.raises(ValueError):
         S.translate(F.lit("a"), numcode=7)
 
