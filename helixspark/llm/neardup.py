@@ -269,13 +269,14 @@ def prefixes(sets: DataFrame) -> DataFrame:
     rows = scratch(rows, "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", "often")
     sizes = sets.select("node", F.size("s").alias("n"), F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("total"))
-    order = Window.partitionBy("node").orderBy("often", "shingle")
-    # what comes from a shingle on in that order, subtracted from all
-    after, every = order.rowsBetween(Window.currentRow, Window.unboundedFollowing), Window.partitionBy("node")
-    found = rows.join(often, "shingle").select("node", "label", "shingle", F.count("*").over(every).alias("common"), F.count("*").over(after).alias("rest"), F.sum("w").over(after).alias("rest_w"))
-    found = found.join(sizes, "node").select(
-        "node", "label", "shingle", "n", "total", (F.col("n") - F.col("rest")).alias("before"), (F.col("total") - F.col("rest_w")).alias("before_w"), (1 - F.col("common") / F.col("n")).alias("own")
+    every = Window.partitionBy("node")
+    earlier = every.orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, -1)  # a running sum: linear
+    found = rows.join(often, "shingle").select(
+        "node", "label", "shingle", F.count("*").over(every).alias("common"), F.sum("w").over(every).alias("common_w"),
+        F.count("*").over(earlier).alias("earlier"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("earlier_w"),
     )
+    before, before_w = F.col("n") - F.col("common") + F.col("earlier"), F.col("total") - F.col("common_w") + F.col("earlier_w")
+    found = found.join(sizes, "node").select("node", "label", "shingle", "n", "total", before.alias("before"), before_w.alias("before_w"), (1 - F.col("common") / F.col("n")).alias("own"))
     least = 1 - SIMILAR
     return found.where((F.col("before") <= least * F.col("n") + 1e-6) | (F.col("before_w") <= least * F.col("total") + 1e-6))
 
