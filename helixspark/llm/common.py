@@ -46,10 +46,11 @@ def remembered(name: str, make: Callable[[], Any]) -> Any:
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges (from, to) of a batch's rows that hold about limit bytes each, so that what a worker makes of them stays
-    bounded whatever the batch; a row that alone exceeds it is a range of its own."""
+    """Ranges (from, to) of a batch's rows (texts, or lists of 4-byte numbers) that hold about limit bytes each, so that what a worker makes of
+    them stays bounded whatever the batch; a row that alone exceeds it is a range of its own."""
     lo, held = 0, 0
-    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+    sizes = pc.multiply(pc.list_value_length(texts), 4) if pa.types.is_list(texts.type) else pc.binary_length(texts)
+    for k, n in enumerate(sizes.to_pylist()):
         if k > lo and held + (n or 0) > limit:
             yield lo, k
             lo, held = k, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm import ann, decontaminate, html_text, langid, neardup, packing, quality, secrets, urls, warc
+from helixspark.llm import ann, decontaminate, html_text, langid, neardup, packing, pieces, quality, secrets, spelling, urls, warc, whitening
 from helixspark.llm.common import table
 
 
@@ -62,8 +62,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_archive(spark, path))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))  # null beyond 63 bits
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_language, op3_decontamination, op4_packing, op5_near_duplicates, op6_nearest, op7_main_text, op8_secrets, op9_urls, op10_warc]
+    found = [
+        op1_quality, op2_language, op3_decontamination, op4_packing, op5_near_duplicates, op6_nearest,
+        op7_main_text, op8_secrets, op9_urls, op10_warc, op11_whitening, op12_pieces, op13_spelling,
+    ]
     return {f.__name__: f for f in found}
 
 
