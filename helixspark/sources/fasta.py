@@ -1,8 +1,8 @@
 """FASTA, GenBank and alignment files as DataFrames, and FASTA files from DataFrames.
 
-Records of line formats are put together from lines: each file's lines are numbered where they are read, a running
-count of header lines gives the record, and lines are joined in order. A record's lines are gathered in one row,
-so a record must fit in memory, as any sequence does."""
+FASTA and GenBank files are split at their record separators, so one file of any size is read by many tasks; a record is one row,
+so it must fit in memory, as any sequence does. Alignment files are small families of sequences: each file's lines are numbered where they are read,
+and put together in order."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixspark.constants import code
+from helixspark.sources.records import read_records
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -18,9 +19,31 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("no", "line"))
 
 
-def read_fasta(spark: SparkSession, path: str, seqtype: str = "DNA", lower: bool = True, comments: bool = True, whole_header: bool = False, strip: bool = False) -> DataFrame:
-    """path, record, name, annot, seq. comments drops lines that begin with ``;``; DNA is lower-cased if lower."""
-    return assembled(file_lines(spark, path), seqtype, lower, comments, whole_header, strip)
+def read_fasta(spark: SparkSession, path: str, seqtype: str = "DNA", lower: bool = True, comments: bool = True, whole_header: bool = False, strip: bool = False, line_end: str = "\n") -> DataFrame:
+    """path, record (from 1 in each file, in its order), name, annot, seq. comments drops lines that begin with ``;``; DNA is
+    lower-cased if lower.
+
+    A record ends where a line begins with ``>``, which is the separator that the file is split by: one file of any size is read by
+    many tasks, each record by the task in whose byte range it begins, and no line is handled by itself. Lines before the first
+    header are no record; a file without any header is an error. line_end: where a file's lines end by carriage returns alone, say so."""
+    first = F.startswith("value", F.lit(">"))
+    rows = read_records(spark, path, f"{line_end}>", head=first)
+    none = (F.col("records") == 1) & ~F.col("headed")
+    rows = rows.where(F.when(none, F.raise_error(F.concat(F.lit("no line starting with a > character found in "), "path"))).otherwise(F.col("headed") | (F.col("record") > 0)))
+    # the file's first record is the only one that the separator did not take the > from
+    text = F.when(F.col("record") == 0, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    if line_end == "\r":
+        text = F.replace(text, F.lit("\r"), F.lit("\n"))
+    rows = rows.select("path", (F.col("record") + F.when(F.col("headed"), 1).otherwise(0)).alias("record"), text.alias("text"))
+    header = F.regexp_replace(F.substring_index("text", "\n", 1), "\r$", "")
+    rows = rows.select("path", "record", header.alias("header"), F.when(F.contains("text", F.lit("\n")), F.substr("text", F.length(F.substring_index("text", "\n", 1)) + 1)).otherwise("").alias("body"))
+    body = F.col("body")
+    if comments:
+        body = F.when(F.contains(body, F.lit("\n;")), F.regexp_replace(body, "\n;[^\n]*", "\n")).otherwise(body)
+    seq = F.replace(F.replace(body, F.lit("\n"), F.lit("")), F.lit("\r"), F.lit(""))
+    name = F.col("header") if whole_header else F.substring_index("header", " ", 1)
+    annot = F.col("header") if strip else F.concat(F.lit(">"), "header")
+    return rows.select("path", "record", name.alias("name"), annot.alias("annot"), (F.lower(seq) if seqtype == "DNA" and lower else seq).alias("seq"))
 
 
 def assembled(lines: DataFrame, seqtype: str = "DNA", lower: bool = True, comments: bool = True, whole_header: bool = False, strip: bool = False) -> DataFrame:
@@ -45,17 +68,20 @@ def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq",
     df.select(fasta_text(F.col(name), F.col(seq), width).alias("value")).write.mode(mode).text(path)
 
 
+def genbank_entries(spark: SparkSession, path: str) -> DataFrame:
+    """path, entry (from 1 in each file) and text of GenBank entries. ``//`` lines separate them, and files are split there: one file is
+    read by many tasks."""
+    rows = read_records(spark, path, "\n//").select("path", (F.col("record") + 1).alias("entry"), F.replace("value", F.lit("\r"), F.lit("")).alias("text"))
+    return rows.where(F.col("text").rlike("(?m)^LOCUS"))
+
+
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """path, locus, length, seq of GenBank entries, many to a file."""
-    lines = file_lines(spark, path)
-    w = Window.partitionBy("path").orderBy("no")
-    d = lines.withColumn("entry", F.sum(F.startswith("line", F.lit("LOCUS")).cast("int")).over(w)).where("entry > 0")
-    own = Window.partitionBy("path", "entry").orderBy("no")
-    d = d.withColumn("in_seq", F.sum(F.when(F.startswith("line", F.lit("ORIGIN")), 1).when(F.startswith("line", F.lit("//")), 1).otherwise(0)).over(own))
-    part = F.when((F.col("in_seq") == 1) & ~F.startswith("line", F.lit("ORIGIN")), F.struct("no", F.regexp_replace("line", r"[0-9\s]", "").alias("s")))
-    g = d.groupBy("path", "entry").agg(F.max(F.when(F.startswith("line", F.lit("LOCUS")), F.col("line"))).alias("locus"), F.array_sort(F.collect_list(part)).alias("parts"))
-    tokens = F.split(F.trim("locus"), r"\s+")
-    return g.select("path", F.get(tokens, F.lit(1)).alias("locus"), F.get(tokens, F.lit(2)).try_cast("int").alias("length"), F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("seq"))
+    """path, entry, locus, length, seq of GenBank entries, many to a file."""
+    entries = genbank_entries(spark, path)
+    line = F.regexp_extract("text", r"(?m)^LOCUS\s+(.*)$", 1)
+    tokens = F.split(line, r"\s+")
+    origin = F.when(F.contains("text", F.lit("\nORIGIN")), F.regexp_replace(F.substring_index("text", "\nORIGIN", -1), r"^[^\n]*\n?|[0-9\s]", "")).otherwise("")
+    return entries.select("path", "entry", F.get(tokens, F.lit(0)).alias("locus"), F.get(tokens, F.lit(1)).try_cast("int").alias("length"), origin.alias("seq"))
 
 
 def gb2fasta(entries: DataFrame) -> DataFrame:
@@ -63,28 +89,45 @@ def gb2fasta(entries: DataFrame) -> DataFrame:
     return entries.select(fasta_text(F.concat_ws(" ", "locus", "length", F.lit("bp")), F.col("seq")).alias("value"))
 
 
+def features_of(entries: DataFrame) -> DataFrame:
+    """path, entry, no (of the feature in its entry, from 0), key, location (in one piece) and qualifiers (the text after it) of entries.
+    A feature begins where a line has a letter in its sixth place; all of an entry's are cut in one pass, without a window over lines."""
+    table = F.regexp_extract("text", r"(?s)\nFEATURES[^\n]*\n(.*?)(?:\n\S|$)", 1)
+    cut = entries.select("path", "entry", F.posexplode(F.split(F.concat(F.lit("\n"), table), r"\n {5}(?=\S)")).alias("no", "text")).where(F.col("text").rlike(r"^\S"))
+    head = F.regexp_extract("text", r"(?s)^(.*?)(?:\n {21}/.*)?$", 1)
+    return cut.select(
+        "path", "entry", "no", F.regexp_extract("text", r"^(\S+)", 1).alias("key"), F.regexp_replace(F.regexp_replace(head, r"^\S+", ""), r"\s", "").alias("location"),
+        F.regexp_extract("text", r"(?s)\n {21}(/.*)$", 1).alias("qualifiers"),
+    )
+
+
+def spans_of(features: DataFrame) -> DataFrame:
+    """features with a row for each span of their locations: complement, part (from 1), begin, end; < and > are dropped."""
+    spans = F.regexp_extract_all("location", F.lit(r"<?[0-9]+(?:\.\.>?[0-9]+)?"), F.lit(0))
+    d = features.select(*features.columns, F.contains("location", F.lit("complement")).alias("complement"), F.posexplode(spans).alias("part", "s")).withColumn("s", F.regexp_replace("s", "[<>]", ""))
+    return d.select(*features.columns, "complement", (F.col("part") + 1).alias("part"), F.substring_index("s", "..", 1).cast("int").alias("begin"), F.substring_index("s", "..", -1).cast("int").alias("end"))
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """path, no, complement, begin, end, part: the spans of CDS features, with the spans of joins one a row; < and > are
+    """path, entry, no, complement, begin, end, part: the spans of CDS features, with the spans of joins one a row; < and > are
     dropped. Locations over several lines are put together."""
-    lines = file_lines(spark, path)
-    w = Window.partitionBy("path").orderBy("no")
-    feature = F.col("line").rlike(r"^ {5}\S")
-    d = lines.withColumn("feat", F.sum((feature | F.col("line").rlike(r"^\S")).cast("int")).over(w))
-    first_qualifier = F.min(F.when(F.col("line").rlike(r"^ {21}/"), F.col("no"))).over(Window.partitionBy("path", "feat"))
-    d = d.withColumn("q", first_qualifier).where("q is null or no < q")
-    g = d.groupBy("path", "feat").agg(F.min("no").alias("no"), F.array_sort(F.collect_list(F.struct("no", "line"))).alias("ls"))
-    g = g.withColumn("text", F.array_join(F.transform("ls", lambda x: F.trim(x["line"])), "")).where(F.col("text").rlike(r"^CDS\s"))
-    spans = F.regexp_extract_all("text", F.lit(r"<?[0-9]+(?:\.\.>?[0-9]+)?"), F.lit(0))
-    d = g.select("path", "no", F.contains("text", F.lit("complement")).alias("complement"), F.posexplode(spans).alias("part", "s"))
-    clean = F.regexp_replace("s", "[<>]", "")
-    return d.select("path", "no", "complement", F.substring_index(clean, "..", 1).cast("int").alias("begin"), F.substring_index(clean, "..", -1).cast("int").alias("end"), (F.col("part") + 1).alias("part"))
+    return spans_of(features_of(genbank_entries(spark, path)).where("key = 'CDS'")).select("path", "entry", "no", "complement", "begin", "end", "part")
+
+
+def exon_table(features: DataFrame) -> DataFrame:
+    """path, gene, begin, end: the distinct exons of CDS features with the gene that the feature's first /gene names ("" if none does). An exon
+    on the complement begins at its larger place."""
+    gene = F.regexp_extract("qualifiers", r'(?:^|\n\s*)/gene="([^"]*)"', 1)
+    rows = spans_of(features.where("key = 'CDS'").withColumn("gene", gene))
+    c = F.col("complement")
+    return rows.select("path", "gene", F.when(c, F.col("end")).otherwise(F.col("begin")).alias("begin"), F.when(c, F.col("begin")).otherwise(F.col("end")).alias("end")).distinct()
 
 
 def glimmer_coordinates(features: DataFrame) -> DataFrame:
-    """path, no, start, end of CDS without joins: the start codon first, the stop codon left out."""
-    one = features.withColumn("parts", F.count("*").over(Window.partitionBy("path", "no"))).where("parts = 1")
+    """path, entry, no, start, end of CDS without joins: the start codon first, the stop codon left out."""
+    one = features.withColumn("parts", F.count("*").over(Window.partitionBy("path", "entry", "no"))).where("parts = 1")
     c = F.col("complement")
-    return one.select("path", "no", F.when(c, F.col("end")).otherwise(F.col("begin")).alias("start"), F.when(c, F.col("begin") + 3).otherwise(F.col("end") - 3).alias("end"))
+    return one.select("path", "entry", "no", F.when(c, F.col("end")).otherwise(F.col("begin")).alias("start"), F.when(c, F.col("begin") + 3).otherwise(F.col("end") - 3).alias("end"))
 
 
 def read_alignment(spark: SparkSession, path: str, form: str, lower: bool = True) -> DataFrame:
