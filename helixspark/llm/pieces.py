@@ -6,8 +6,8 @@ piece: of the pieces that end there (an automaton over the vocabulary lists them
 before it. The table of last pieces is filled from left to right, a number a character, and the ids are recovered from
 its end backwards: linear in the text's length, also for a text without blanks.
 
-Where no piece of the vocabulary goes on over a place (before a blank that follows something else, around a line's end), the table starts
-anew, so a stretch between such places is encoded once and remembered by the worker.
+Between two characters that stand side by side in no piece of the vocabulary (something and a blank after it, a letter and a full stop, around
+a line's end) no piece goes on, so the table starts anew there, and a stretch between such places is encoded once and remembered by the worker.
 
 Defined results: a null text is empty; an empty text is the end id alone; a missing id list decodes to null. Repeated rows are encoded as often
 as they come; an empty table gives no rows; columns other than doc_id and text take no part. Models of other kinds, or with rules of their own for
@@ -17,7 +17,6 @@ normalising, are refused rather than encoded differently.
 from __future__ import annotations
 
 import codecs
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -32,6 +31,8 @@ BLANK = "▁"
 CACHE_STRETCHES, CACHE_PAIRS, CACHED_LENGTH = 400_000, 1_000_000, 64
 #: Characters of a text that are split into stretches at once.
 PART = 1 << 20
+#: Bytes of the texts that are cut up together.
+SLICE = 3 << 20
 NONE, NEVER = -1, float("inf")
 
 
@@ -93,6 +94,7 @@ class Pieces:
         self.bytes = {int(p.piece[1:-1], 16): k for k, p in enumerate(model.pieces) if p.type == kind.BYTE}
         self.controls = {k for k, p in enumerate(model.pieces) if p.type == kind.CONTROL}
         self.end = self.ids.get("</s>", next(k for k, s in enumerate(self.strings) if s == "</s>"))
+        self.end_bytes = array("i", [self.end]).tobytes()
         raw = {k: b for b, k in self.bytes.items()}
         self.surface = [
             bytes([raw[k]]) if k in raw else b"" if k in self.controls else (made.unk_surface if p.type == kind.UNKNOWN else p.piece.replace(BLANK, " ")).encode()
@@ -101,14 +103,19 @@ class Pieces:
         self.fronted = {k for p, k in self.ids.items() if p.startswith(BLANK)}
         self.automaton = ahocorasick.Automaton()
         for p, k in self.ids.items():
-            self.automaton.add_word(p, k)
+            self.automaton.add_word(p, (k, len(p)))
         self.automaton.make_automaton()
-        # Stretches: blanks only lead a piece, and no piece holds a line's end.
-        split = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.ids)
-        self.stretch = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n" if split else r"(?s:.+)")
-        self.border = re.compile(f"(?<=[^{BLANK}\n]){BLANK}|\n") if split else None
+        self.longest = max(map(len, self.ids))
+        # Characters by number, and which two of them stand side by side in some piece.
+        letters = sorted({c for p in self.ids if len(p) > 1 for c in p})
+        number = {c: k + 1 for k, c in enumerate(letters)}
+        self.numbers = np.zeros(0x110000, np.int32)
+        self.numbers[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.together = np.zeros((len(letters) + 1,) * 2, bool)
+        for x, y in {pair for p in self.ids for pair in zip(p, p[1:])}:
+            self.together[number[x], number[y]] = True
         self.merging: dict[int, Merging] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def string(self, token: int) -> str:
@@ -141,36 +148,42 @@ class Pieces:
             else:
                 left, j = y.lefts[j], j + 1
 
-    def encode_stretch(self, text: str) -> bytes:
-        whole = self.ids.get(text)
-        if whole is not None and self.merges(whole).whole:
-            return array("i", [whole]).tobytes()
-        last, pairs, strings = array("i", [NONE]) * (len(text) + 1), self.pairs, self.strings
-        done = 0  # prefixes up to here have their last piece
-        for at, token in self.automaton.iter(text):
+    def fill(self, text: str, last: list[int], shared: int) -> None:
+        """Make last the table of text: the last piece of its prefix of each length. Its first shared entries are right already, as another
+        text that begins so has left them; the automaton lists the pieces that end at each later place."""
+        del last[shared + 1 :]
+        last.extend([NONE] * (len(text) - shared))
+        pairs, done = self.pairs, shared
+        for at, (token, size) in self.automaton.iter(text, max(0, shared - self.longest)):
+            if at < shared:
+                continue
+            end = at + 1
+            if last[end] != NONE:
+                continue
             while done < at:  # characters at which no piece ends stand alone
                 done += 1
                 if last[done] == NONE:
                     last[done] = NONE - 1 - ord(text[done - 1])
-            if last[at + 1] != NONE:
-                continue
-            start = at + 1 - len(strings[token])
+            start = end - size
             if start == 0:
                 fits = self.merges(token).whole
             else:
-                pair = (last[start], token)
+                pair = last[start] << 32 | token
                 fits = pairs.get(pair)
                 if fits is None:
                     if len(pairs) >= CACHE_PAIRS:
                         pairs.clear()
-                    fits = pairs[pair] = self.compatible(*pair)
+                    fits = pairs[pair] = self.compatible(last[start], token)
             if fits:
-                last[at + 1] = token
+                last[end] = token
         while done < len(text):
             done += 1
             if last[done] == NONE:
                 last[done] = NONE - 1 - ord(text[done - 1])
-        out, at = [], len(text)
+
+    def recovered(self, text: str, last: list[int]) -> bytes:
+        """The ids that the table of a text says, found from its end backwards."""
+        out, at, strings = [], len(text), self.strings
         while at:
             token = last[at]
             if token >= 0:
@@ -182,38 +195,73 @@ class Pieces:
         out.reverse()
         return array("i", out).tobytes()
 
-    def parts(self, marked: str) -> Iterator[str]:
-        """A text in parts of about PART characters, cut where a stretch begins."""
-        at = 0
-        while at < len(marked):
-            cut = self.border.search(marked, at + PART) if self.border else None
-            end = cut.start() if cut else len(marked)
-            yield marked[at:end]
-            at = end
+    def encode_stretch(self, text: str) -> bytes:
+        last = [NONE]
+        self.fill(text, last, 0)
+        return self.recovered(text, last)
+
+    def stretches(self, text: str) -> Iterator[list[str]]:
+        """A text's stretches in order, those of about PART characters at once."""
+        at, width = 0, PART
+        while at < len(text):
+            part = text[at : at + width]
+            k = self.numbers[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            cuts = (np.flatnonzero(~self.together[k[:-1], k[1:]]) + 1).tolist()
+            if at + len(part) == len(text):
+                cuts.append(len(part))
+            if not cuts:  # one stretch that is longer
+                width *= 2
+                continue
+            yield [part[i:j] for i, j in zip([0, *cuts], cuts)]
+            at, width = at + cuts[-1], PART
 
     def learn(self, stretches: set[str]) -> None:
-        known = self.known
-        fresh = [s for s in stretches if s not in known]
+        """Encode those that aren't known. In their order each shares a prefix with the one before, and that part of its table."""
+        known, ids = self.known, self.ids
+        fresh = stretches.difference(known)
         if len(known) + len(fresh) > CACHE_STRETCHES:
             known.clear()
-            fresh = list(stretches)
-        for s in fresh:
-            known[s] = self.encode_stretch(s)
+            fresh = stretches
+        last, before = [NONE], ""
+        for s in sorted(fresh):
+            whole = ids.get(s)
+            if whole is not None and self.merges(whole).whole:
+                known[s] = array("i", [whole]).tobytes()
+                continue
+            shared = 0
+            for x, y in zip(s, before):
+                if x != y:
+                    break
+                shared += 1
+            self.fill(s, last, shared)
+            known[s] = self.recovered(s, last)
+            before = s
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, the end id last, as 4-byte numbers."""
-        out, known = [], self.known
-        for part in self.parts(BLANK + text.replace(" ", BLANK)) if text else ():
-            stretches = self.stretch.findall(part)
+        out = []
+        for stretches in self.stretches(marked(text)):
             distinct = set(stretches)
             self.learn(distinct)
-            out.append(b"".join(map(known.__getitem__, stretches)))
-            for s in distinct:
-                if len(s) > CACHED_LENGTH:
-                    del known[s]
-        out.append(array("i", [self.end]).tobytes())
+            out.append(b"".join(map(self.known.__getitem__, stretches)))
+            self.forget(distinct)
+        out.append(self.end_bytes)
         return b"".join(out)
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The same of texts that fit into memory cut up: what is new in any is learned at once."""
+        cut = [[s for part in self.stretches(marked(t)) for s in part] for t in texts]
+        distinct = set().union(*cut)
+        self.learn(distinct)
+        out = [b"".join(map(self.known.__getitem__, stretches)) + self.end_bytes for stretches in cut]
+        self.forget(distinct)
+        return out
+
+    def forget(self, stretches: set[str]) -> None:
+        for s in stretches:
+            if len(s) > CACHED_LENGTH:
+                del self.known[s]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the blank put in front goes, controls are silent, bytes that form no character become U+FFFD each."""
         first, text, at = next((k for k in ids if k not in self.controls), None), [], 0
@@ -224,6 +272,11 @@ class Pieces:
         return found[1:] if first in self.fronted else found
 
 
+def marked(text: str | None) -> str:
+    """A text as the model reads it: blanks by their sign, and one in front."""
+    return BLANK + text.replace(" ", BLANK) if text else ""
+
+
 codecs.register_error("helixspark.bytewise", lambda e: ("�", e.start + 1))
 
 
@@ -240,8 +293,9 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(path)
         for b in batches:
-            for lo, hi in slices(b.column(1)):
-                ids = [known.encode(t) for t in b.column(1)[lo:hi].to_pylist()]
+            for lo, hi in slices(b.column(1), SLICE):
+                texts = b.column(1)[lo:hi].to_pylist()
+                ids = known.encode_all(texts) if len(texts) > 1 else [known.encode(t) for t in texts]
                 ends = np.cumsum([0, *map(len, ids)]) // 4
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], lists], names=["doc_id", "ids"])
