@@ -21,14 +21,14 @@ def join(letters: Column) -> Column:
     return F.array_join(letters, "")
 
 
-def kmers(seq: Column, size: int, first: int = 0, by: int = 1) -> Column:
+def kmers(seq: Column, size: int, first: int | Column = 0, by: int = 1) -> Column:
     """All whole words of a size, from position first + 1 in steps of by. One pass of a regular expression, so the
     time grows with the sequence's length alone (a substring by position would count characters from its start)."""
-    rest = F.substring(seq, first + 1, 1 << 30) if first else seq
+    rest = seq if isinstance(first, int) and not first else F.substring(seq, first + 1, F.lit(1 << 30) if isinstance(first, Column) else 1 << 30)
     return F.regexp_extract_all(rest, F.lit(f"(?s)(?=(.{{{size}}})).{{1,{by}}}"), F.lit(1))
 
 
-def splitseq(seq: Column, frame: int = 0, word: int = 3) -> Column:
+def splitseq(seq: Column, frame: int | Column = 0, word: int = 3) -> Column:
     """Non-overlapping words; a short one at the end is dropped."""
     return kmers(seq, word, frame, word)
 
@@ -97,10 +97,15 @@ def gc_pos(seq: Column, pos: int, frame: int = 0) -> Column:
     return gc(every_third(seq, pos, frame))
 
 
-def translate(seq: Column, frame: int = 0, sens: str = "F", numcode: int = 1, unknown: str = "X", ambiguous: bool = False) -> Column:
+def translate(seq: Column, frame: int | Column = 0, sens: str = "F", numcode: int | Column = 1, unknown: str = "X", ambiguous: bool = False) -> Column:
     """The protein of a sequence. Codons of the lower-cased sequence that the code lacks give unknown; with
-    ambiguous, codons of IUPAC symbols are translated if all their readings agree."""
-    table = K.code(numcode)
+    ambiguous, codons of IUPAC symbols are translated if all their readings agree. frame and numcode may differ by row (columns);
+    a row whose code isn't in use is null. ambiguous needs one code."""
+    by_row = isinstance(numcode, Column)
+    if by_row and ambiguous:
+        raise ValueError("ambiguous codons are read by one code")
+    codes = F.try_element_at(literal_map(K.CODES), numcode.cast("int")) if by_row else F.lit(K.CODES[numcode] if numcode in K.CODES else K.code(numcode))
+    table = {} if by_row else K.code(numcode)
     if ambiguous:
         table = dict(table)
         for codon in (a + b + c for a in K.IUPAC for b in K.IUPAC for c in K.IUPAC):
@@ -116,7 +121,8 @@ def translate(seq: Column, frame: int = 0, sens: str = "F", numcode: int = 1, un
     # a codon's place in the code is found by arithmetic, which is cheaper than a lookup
     place = lambda c, i: F.instr(F.lit(K.CODE_ORDER), F.substring(c, i, 1)) - 1
     known = lambda c: c.rlike("^[acgt]{3}$")
-    return join(F.transform(splitseq(low, frame), lambda c: F.when(known(c), F.substring(F.lit(K.CODES[numcode]), 16 * place(c, 1) + 4 * place(c, 2) + place(c, 3) + 1, F.lit(1))).otherwise(unknown)))
+    whole = F.when(codes.isNotNull(), splitseq(low, frame)) if by_row else splitseq(low, frame)
+    return join(F.transform(whole, lambda c: F.when(known(c), F.substring(codes, 16 * place(c, 1) + 4 * place(c, 2) + place(c, 3) + 1, F.lit(1))).otherwise(unknown)))
 
 
 def words_pos(seq: Column, word: str) -> Column:

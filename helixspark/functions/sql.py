@@ -1,4 +1,4 @@
-"""The pure sequence functions under SQL names. They are SQL functions, so Spark inlines them into a query's plan."""
+"""The pure sequence functions under SQL names, and table functions. They are SQL functions, so Spark inlines them into a query's plan."""
 
 from __future__ import annotations
 
@@ -20,9 +20,24 @@ FUNCTIONS = {
     "seq_only": ("s STRING, letters STRING", "STRING", "regexp_replace(s, concat('[^', letters, ']'), '')"),
 }
 
+#: name: (arguments, columns, query): table functions, for use with LATERAL
+TABLE_FUNCTIONS = {
+    "seq_words": ("s STRING, k INT", "pos INT, word STRING", "SELECT pos + 1, col FROM posexplode(regexp_extract_all(s, concat('(?s)(?=(.{', CAST(k AS STRING), '})).'), 1))"),
+    "seq_codons": ("s STRING, frame INT", "pos INT, codon STRING", "SELECT 3 * pos + frame + 1, col FROM posexplode(regexp_extract_all(substring(s, frame + 1), '(?s)(.{3})', 1))"),
+    "seq_windows": ("s STRING, size INT, step INT", "start INT, win STRING", "SELECT pos * step + 1, col FROM posexplode(regexp_extract_all(s, concat('(?s)(?=(.{', CAST(size AS STRING), '})).{1,', CAST(step AS STRING), '}'), 1))"),
+    "fasta_records": (
+        "text STRING", "record INT, name STRING, annot STRING, seq STRING",
+        "SELECT pos, substring_index(substring_index(replace(col, '\r', ''), '\n', 1), ' ', 1), substring_index(replace(col, '\r', ''), '\n', 1),"
+        " replace(regexp_replace(substring(replace(col, '\r', ''), length(substring_index(replace(col, '\r', ''), '\n', 1)) + 1), '\n;[^\n]*', ''), '\n', '')"
+        " FROM posexplode(split(concat('\n', text), '\n>')) WHERE pos > 0",
+    ),
+}
+
 
 def register(spark: SparkSession) -> list[str]:
     """Make all functions known to a session; returns their names."""
+    for name, (args, columns, body) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE({columns}) RETURN {body}")
     for name, (args, result, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
-    return sorted(FUNCTIONS)
+    return sorted([*FUNCTIONS, *TABLE_FUNCTIONS])

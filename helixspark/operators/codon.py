@@ -60,11 +60,12 @@ def code_table(spark, numcode: int = 1) -> DataFrame:
     return spark.createDataFrame(sorted(K.code(numcode).items()), "codon string, aa string")
 
 
-def permuted(seq: Column, model: str, seed: int = 1, numcode: int = 1) -> Column:
+def permuted(seq: Column, model: str, seed: int | Column = 1, numcode: int = 1) -> Column:
     """A shuffled sequence. base: all letters; position: the letters of each codon position among themselves;
     codon: whole codons; syncodon: codons within their amino acid, so the protein stays. Letters after the last
     whole codon stay at the end, but for base. The order follows a hash of the sequence, seed and place."""
-    mixed = lambda xs, salt: F.transform(F.array_sort(F.transform(xs, lambda x, i: F.struct(F.xxhash64(seq, F.lit(seed), F.lit(salt), i).alias("h"), x.alias("x")))), lambda p: p["x"])
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    mixed = lambda xs, salt: F.transform(F.array_sort(F.transform(xs, lambda x, i: F.struct(F.xxhash64(seq, seed, F.lit(salt), i).alias("h"), x.alias("x")))), lambda p: p["x"])
     if model == "base":
         return S.join(mixed(S.chars(seq), 0))
     rest = F.substring(seq, F.length(seq) - F.length(seq) % 3 + 1, F.length(seq) % 3)
@@ -79,10 +80,31 @@ def permuted(seq: Column, model: str, seed: int = 1, numcode: int = 1) -> Column
     # places sorted by (amino acid, place) take codons sorted by (amino acid, hash)
     tagged = F.transform(codons, lambda c, i: F.struct(amino_of(c, numcode).alias("aa"), i.alias("i"), c.alias("c")))
     places = F.array_sort(F.transform(tagged, lambda t: F.struct(t["aa"].alias("aa"), t["i"].alias("i"))))
-    drawn = F.array_sort(F.transform(tagged, lambda t: F.struct(t["aa"].alias("aa"), F.xxhash64(seq, F.lit(seed), t["i"]).alias("h"), t["c"].alias("c"))))
+    drawn = F.array_sort(F.transform(tagged, lambda t: F.struct(t["aa"].alias("aa"), F.xxhash64(seq, seed, t["i"]).alias("h"), t["c"].alias("c"))))
     put = F.array_sort(F.zip_with(places, drawn, lambda p, d: F.struct(p["i"].alias("i"), d["c"].alias("c"))))
     return F.concat(S.join(F.transform(put, lambda p: p["c"])), rest)
 
 
+def drawn(seq: Column, weights: dict[str, float], seed: int | Column = 1, numcode: int = 1) -> Column:
+    """A sequence with the same protein whose codons are drawn by weights, independently in each place. Of an amino acid's codons that
+    with the smallest exponential of rate w is taken, which is codon c with probability w(c) over the amino acid's sum; the exponentials
+    come from a hash of sequence, seed, place and codon. Codons with other letters than acgt, and letters after the last whole
+    codon, stay. An amino acid of the sequence without any weight is an error."""
+    table = K.code(numcode)
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    sets = {aa: [(c, float(weights.get(c, 0))) for c in sorted(table) if table[c] == aa and weights.get(c, 0) > 0] for aa in set(table.values())}
+    urns = F.create_map(*[x for aa, urn in sorted(sets.items()) if urn for x in (F.lit(aa), F.array(*[F.struct(F.lit(c).alias("c"), F.lit(w).alias("w")) for c, w in urn]))])
+    rest = F.substring(seq, F.length(seq) - F.length(seq) % 3 + 1, F.length(seq) % 3)
+
+    def draw(codon: Column, i: Column) -> Column:
+        # 53 bits of the hash; never 0
+        u = lambda x: (F.shiftrightunsigned(F.xxhash64(seq, seed, i, x["c"]), 11) + 0.5) / float(2**53)
+        keys = F.transform(F.try_element_at(urns, amino_of(codon, numcode)), lambda x: F.struct((-F.ln(u(x)) / x["w"]).alias("key"), x["c"].alias("c")))
+        found = F.array_min(keys)["c"]
+        return F.when(codon.rlike("^[acgt]{3}$"), F.coalesce(found, F.raise_error(F.concat(F.lit("no weight for any codon of the amino acid of "), codon)))).otherwise(codon)
+
+    return F.concat(S.join(F.transform(S.splitseq(F.lower(seq)), draw)), rest)
+
+
 def _letters(codons: Column, k: int) -> Column:
     return F.transform(codons, lambda c: F.substring(c, k, 1))

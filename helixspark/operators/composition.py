@@ -80,6 +80,30 @@ def zscore_base(df: DataFrame, keys: list[str], exact: bool = False, seq: str =
     return d.select(*keys, "word", F.try_divide(F.col("rho") - e, root(F.when(same, v_same).otherwise(v_diff))).alias("z"))
 
 
+def zscore_simulated(df: DataFrame, keys: list[str], model: str = "base", simulations: int = 100, seed: int = 1, seq: str = "seq") -> DataFrame:
+    """keys, word, rho, mean, var, z: rho against its mean and variance over shuffled replicates of the sequences (base, position, codon or
+    syncodon; see ``codon.permuted``). Replicates are rows, dealt by key and number, so those of one sequence are spread over tasks;
+    only the replicates' moments come together. Numbers seed the shuffles, so all runs agree. z is null where the variance is not positive."""
+    from helixspark.operators.codon import permuted
+
+    copies = df.select(*keys, F.col(seq).alias("seq"), F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("replicate")).repartition(*keys, "replicate")
+    shuffled = copies.select(*keys, "replicate", permuted(F.col("seq"), model, F.xxhash64(F.lit(seed), "replicate")).alias("seq"))
+    moments = rho(shuffled, [*keys, "replicate"]).groupBy(*keys, "word").agg(F.avg("rho").alias("mean"), F.var_samp("rho").alias("var"))
+    return rho(df, keys, seq).join(moments, [*keys, "word"], "left").select(*keys, "word", "rho", "mean", "var", F.try_divide(F.col("rho") - F.col("mean"), root(F.col("var"))).alias("z"))
+
+
+def rho_words(df: DataFrame, keys: list[str], size: int = 2, seq: str = "seq") -> DataFrame:
+    """keys, word, rho of words of any size: a word's frequency over the product of its letters'; null without data."""
+    counts = count_words(df, keys, size, seq=seq)
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    singles = letter_counts(df, keys, K.BASES, seq).withColumn("letters", sum((F.col(f"n_{b}") for b in K.BASES), F.lit(0)))
+    of = lambda i: F.coalesce(*[F.when(F.substring("word", i, 1) == b, F.col(f"n_{b}")) for b in K.BASES])
+    expected = F.lit(1.0)
+    for i in range(1, size + 1):
+        expected = expected * ratio(of(i), F.col("letters"))
+    return counts.join(totals, keys).join(singles, keys).select(*keys, "word", F.try_divide(ratio(F.col("n"), F.col("total")), expected).alias("rho"))
+
+
 def zscore_codon(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """keys, word, z: dinucleotides across codon borders (last base, next first base) against shuffled codons.
     Rows of one key count as one sequence each; keys should be those of a sequence."""

@@ -110,11 +110,103 @@ def mixture(df: DataFrame, value: str, parts: int = 2, rounds: int = 30) -> Data
     return df.sparkSession.createDataFrame([(k + 1, *map(float, x)) for k, x in enumerate(law)], "part int, p double, mean double, sd double")
 
 
-def stutter_ratio(peaks_df: DataFrame, key: str, before: float) -> DataFrame:
-    """key, island, ratio_height, ratio_area: each peak's predecessor within ``before`` places against it."""
-    from pyspark.sql import Window
+def bell(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """p: area, place and width of a normal curve."""
+    return p[0] / (p[2] * np.sqrt(2 * np.pi)) * np.exp(-(((x - p[1]) / p[2]) ** 2) / 2)
+
+
+def fit_bell(x: np.ndarray, y: np.ndarray, width: float, place: float | None = None, rounds: int = 200) -> np.ndarray:
+    """Least squares by damped Gauss-Newton steps from the tallest value (or a given place)."""
+    p = np.array([width * np.sqrt(2 * np.pi) * max(float(y.max()), 1e-12), float(x[y.argmax()]) if place is None else place, width])
+    damp, best = 1e-3, float(((y - bell(p, x)) ** 2).sum())
+    for _ in range(rounds):
+        g, u = bell(p, x), (x - p[1]) / p[2]
+        j = np.stack([g / p[0], g * u / p[2], g * (u * u - 1) / p[2]], 1)
+        a, b = j.T @ j, j.T @ (y - g)
+        step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-300), b, rcond=None)[0]
+        new = p + step
+        rss = float(((y - bell(new, x)) ** 2).sum()) if new[2] > 0 and new[0] != 0 else np.inf
+        if rss <= best:
+            done = np.abs(step).max() <= 1e-12 * np.abs(p).max()
+            p, best, damp = new, rss, damp / 5
+            if done:
+                break
+        elif damp > 1e12:
+            break
+        else:
+            damp *= 4
+    return p
+
+
+def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The monotone cubic through points, at places inside them."""
+    m, _ = hermite(x, y)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+    w = x[k + 1] - x[k]
+    t = (at - x[k]) / w
+    return (2 * t**3 - 3 * t**2 + 1) * y[k] + (t**3 - 2 * t**2 + t) * w * m[k] + (-2 * t**3 + 3 * t**2) * y[k + 1] + (t**3 - t**2) * w * m[k + 1]
+
+
+def mode_below(y: np.ndarray, most: float) -> float:
+    """The most common value below most, by a Gaussian kernel density."""
+    below = y[y < most]
+    if len(below) < 2 or below.std() == 0:
+        return float(below[0]) if len(below) else 0.0
+    q = np.quantile(below, [0.25, 0.75])
+    spread = min(below.std(ddof=1), (q[1] - q[0]) / 1.34) or below.std(ddof=1)
+    width, grid = 0.9 * spread * len(below) ** -0.2, np.linspace(below.min(), below.max(), 512)
+    return float(grid[np.exp(-(((grid[:, None] - below) / width) ** 2) / 2).sum(1).argmax()])
+
+
+def stutter_of(x: np.ndarray, y: np.ndarray, place: float, width: float = 3.5, most: float = 1000.0, reach: float = 6.0) -> dict[str, float] | None:
+    """Heights, areas and their ratios of an allele's peak at a place and of the smaller one before it. A normal curve is fitted to the allele, another
+    to what lies before its lower end; heights and areas are those of a spline through the data, reach widths around either."""
+    floor = mode_below(y, most)
+    y = np.maximum(y, floor) - floor
+    allele = fit_bell(x, y, width, place)
+    used = x < np.floor(allele[1] - 6 * abs(allele[2]))
+    if used.sum() < 4 or y[used].max() <= 0:
+        return None
+    stutter = fit_bell(x[used], y[used], width)
+
+    def measured(p: np.ndarray) -> tuple[float, float, float]:
+        lo, hi = max(x[0], p[1] - reach * abs(p[2])), min(x[-1], p[1] + reach * abs(p[2]))
+        if hi <= lo:
+            return float("nan"), float("nan"), float("nan")
+        at = np.linspace(lo, hi, 4001)
+        v = spline(x, y, at)
+        return float(at[v.argmax()]), float(v.max()), float(((v[1:] + v[:-1]) / 2).sum() * (at[1] - at[0]))
+
+    (l1, h1, s1), (l2, h2, s2) = measured(stutter), measured(allele)
+    return {"rh": h1 / h2, "rs": s1 / s2, "l1": l1, "h1": h1, "s1": s1, "l2": l2, "h2": h2, "s2": s2, "p1": stutter[0], "mu1": stutter[1], "sd1": abs(stutter[2]), "p2": allele[0], "mu2": allele[1], "sd2": abs(allele[2])}
+
+
+STUTTER = ["rh", "rs", "l1", "h1", "s1", "l2", "h2", "s2", "p1", "mu1", "sd1", "p2", "mu2", "sd2"]
+
+
+def stutters(traces: DataFrame, alleles: DataFrame, keys: list[str], at: str, value: str, before: int = 70, after: int = 20, width: float = 3.5, most: float = 1000.0) -> DataFrame:
+    """keys, place and the stutter's measures (see ``stutter_of``) of alleles (keys, place) in traces (keys, at, value; at in whole numbers). Each allele
+    meets only the values about it, in a range join; a group is one allele's before + after values. No measures where nothing lies before the peak."""
+    from helixspark.operators.ordered import range_join
+
+    around = alleles.select(*keys, F.col("place").cast("double").alias("place")).distinct()
+    around = around.withColumns({"__low": F.floor(F.col("place") - before).cast("bigint"), "__high": F.floor(F.col("place") + after).cast("bigint")})
+    points = traces.where(F.col(value).isNotNull()).select(*keys, F.col(at).cast("bigint").alias("__at"), F.col(value).cast("double").alias("__value"))
+    met = range_join(points, around, keys, "__at", "__low", "__high", 4 * (before + after))
+    sets = met.groupBy(*keys, "place").agg(F.array_sort(F.collect_list(F.struct("__at", "__value"))).alias("xy"))
+    sets = sets.select(*keys, "place", F.transform("xy", lambda p: p["__at"].cast("double")).alias("xs"), F.transform("xy", lambda p: p["__value"]).alias("ys"))
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for x, y, place in zip(b["xs"], b["ys"], b["place"]):
+                x, y = np.asarray(x, float), np.asarray(y, float)
+                x, once = np.unique(x, return_index=True)
+                found.append(stutter_of(x, y[once], place, width, most) if len(x) > 8 else None)
+            out = b.drop(columns=["xs", "ys"])
+            for n in STUTTER:
+                out[n] = [f[n] if f else None for f in found]
+            yield out
 
-    w = Window.partitionBy(key).orderBy("place")
-    p = peaks_df.where("place is not null and not isnan(place)").withColumns({"was": F.lag("place").over(w), "h": F.lag("height").over(w), "a": F.lag("area").over(w)})
-    near = p.where(F.col("place") - F.col("was") <= before)
-    return near.select(key, "island", F.try_divide(F.col("h"), F.col("height")).alias("ratio_height"), F.try_divide(F.col("a"), F.col("area")).alias("ratio_area"))
+    kinds = ", ".join(f"`{k}` {sets.schema[k].dataType.simpleString()}" for k in keys)
+    return sets.mapInPandas(fitted, f"{kinds}, place double, " + ", ".join(f"{n} double" for n in STUTTER))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions import sequence as S
+from helixspark.operators.ordered import running
 
 
 def walk(df: DataFrame, keys: list[str], order: list[str], step: Column, name: str = "walk") -> DataFrame:
@@ -24,7 +27,7 @@ def codon_skews(cds: DataFrame, seq: str = "seq") -> DataFrame:
 def origin_walk(cds: DataFrame, keys: list[str], order: str, seq: str = "seq") -> DataFrame:
     """keys, order, x, y, skew: cumulated third-position skews of a genome's coding sequences in their order,
     projected on the main axis through zero; its sign follows y. The axis comes from three sums a key."""
-    w = walk(walk(codon_skews(cds, seq), keys, [order], F.col("x"), "cx"), keys, [order], F.col("y"), "cy")
+    w = running(codon_skews(cds, seq).select(*keys, order, "x", "y"), keys, [order], {"cx": F.col("x"), "cy": F.col("y")})
     w = w.select(*keys, order, F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
     m = w.groupBy(*keys).agg(F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("x") * F.col("y")).alias("xy"))
     angle = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
@@ -39,28 +42,88 @@ def rearranged(cds: DataFrame, keys: list[str], order: str, strand: str, seq: st
     third = S.every_third(F.col(seq), 3)
     n = lambda c: S.times(F.col("__third"), c).cast("double")
     skew = lambda p, q: F.coalesce(F.try_divide(n(p) - n(q), n(p) + n(q)), F.lit(0.0))
-    w = Window.partitionBy(*keys).orderBy(F.col(strand) != "forward", order)
-    return cds.withColumn("__third", third).select(*keys, order, strand, F.row_number().over(w).alias("place"), skew("g", "c").alias("gc_skew"), skew("a", "t").alias("at_skew"))
+    rows = cds.withColumn("__third", third).select(*keys, order, strand, (F.col(strand) != "forward").alias("__back"), skew("g", "c").alias("gc_skew"), skew("a", "t").alias("at_skew"))
+    return running(rows, keys, ["__back", order], {"place": F.lit(1)}).select(*keys, order, strand, "place", "gc_skew", "at_skew")
+
+
+def cell_sums(points: DataFrame, keys: list[str], x: str, y: str, grid: int = 100) -> DataFrame:
+    """keys, cell, lo, hi and the sums n, u, v, uu, uv, vv of u = x - lo and v = y over the cells of an even grid from a key's
+    smallest x (lo) to its largest (hi); a point on a border belongs to the cell after it. At most grid rows a key, whatever its points."""
+    span = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi"))
+    rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(span, keys).withColumns({"u": F.col(x).cast("double") - F.col("lo"), "v": F.col(y).cast("double")})
+    cell = F.least(F.coalesce(F.floor(F.try_divide(F.col("u") * grid, F.col("hi") - F.col("lo"))), F.lit(0)), F.lit(grid - 1)).cast("int")
+    sums = {"n": F.count("*").cast("double")} | {a: F.sum(a) for a in "uv"} | {a + b: F.sum(F.col(a) * F.col(b)) for a, b in ("uu", "uv", "vv")}
+    return rows.groupBy(*keys, cell.alias("cell"), "lo", "hi").agg(*[e.alias(k) for k, e in sums.items()])
 
 
 def breakpoint(points: DataFrame, keys: list[str], x: str, y: str, grid: int = 100) -> DataFrame:
     """keys, at, slope_left, slope_right, rss: the break of a continuous line of two pieces that fits best, among
-    grid places. Each place's fit is closed-form from sums, so nothing is collected: for a break b the line is
-    intercept + left * x + change * max(x - b, 0)."""
-    span = points.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    at = F.transform(F.sequence(F.lit(1), F.lit(grid - 1)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / grid)
-    rows = points.join(span, keys).withColumn("b", F.explode(at)).withColumn("z", F.greatest(F.col(x) - F.col("b"), F.lit(0.0))).withColumns({"u": F.col(x).cast("double"), "v": F.col(y).cast("double")})
-    names = {"n": F.count("*").cast("double")} | {a: F.sum(a) for a in "uzv"} | {a + b: F.sum(F.col(a) * F.col(b)) for a, b in ("uu", "zz", "vv", "uz", "uv", "zv")}
-    s = rows.groupBy(*keys, "b").agg(*[e.alias("s_" + k) for k, e in names.items()])
-    c = lambda a, b: F.col("s_" + a + b) - F.col("s_" + a) * F.col("s_" + b) / F.col("s_n")
-    s = s.select(*keys, "b", *[c(a, b).alias("c_" + a + b) for a, b in ("uu", "zz", "vv", "uz", "uv", "zv")])
+    grid places. For a break b the line is intercept + left * x + change * max(x - b, 0); each place's fit is closed-form from sums over all
+    points and over those beyond it, which are running sums over at most grid cells."""
+    cells = cell_sums(points, keys, x, y, grid)
+    every, names = Window.partitionBy(*keys), ("n", "u", "v", "uu", "uv", "vv")
+    # the first border at or before a cell lies between it and the last cell that has points
+    beyond = every.orderBy(F.desc("cell"))
+    c = cells.withColumns({f"s_{k}": F.sum(k).over(every) for k in names} | {f"b_{k}": F.sum(k).over(beyond) for k in names} | {"before": F.coalesce(F.lag("cell").over(every.orderBy("cell")), F.lit(0))})
+    c = c.withColumn("k", F.explode(F.sequence(F.col("before") + 1, F.greatest("cell", F.col("before") + 1)))).where("k <= cell and k >= 1")
+    at = (F.col("hi") - F.col("lo")) * F.col("k") / grid
+    b = lambda k: F.col("b_" + k)
+    c = c.withColumn("at", at).withColumns({"s_z": b("u") - F.col("at") * b("n"), "s_zz": b("uu") - 2 * F.col("at") * b("u") + F.col("at") * F.col("at") * b("n"), "s_uz": b("uu") - F.col("at") * b("u"), "s_zv": b("uv") - F.col("at") * b("v")})
+    dev = lambda p, q: F.col("s_" + p + q) - F.col("s_" + p) * F.col("s_" + q) / F.col("s_n")
+    c = c.select(*keys, "lo", "at", *[dev(*pq).alias("c_" + pq) for pq in ("uu", "zz", "vv", "uz", "uv", "zv")])
     det = F.col("c_uu") * F.col("c_zz") - F.col("c_uz") * F.col("c_uz")
     left = F.try_divide(F.col("c_uv") * F.col("c_zz") - F.col("c_zv") * F.col("c_uz"), det)
     change = F.try_divide(F.col("c_zv") * F.col("c_uu") - F.col("c_uv") * F.col("c_uz"), det)
-    fit = s.where(det > 1e-9).select(*keys, "b", left.alias("left"), change.alias("change"), (F.col("c_vv") - left * F.col("c_uv") - change * F.col("c_zv")).alias("rss"))
+    fit = c.where(det > 1e-9).select(*keys, (F.col("lo") + F.col("at")).alias("b"), left.alias("left"), change.alias("change"), (F.col("c_vv") - left * F.col("c_uv") - change * F.col("c_zv")).alias("rss"))
     return fit.groupBy(*keys).agg(F.min(F.struct("rss", "b", "left", "change")).alias("f")).select(*keys, F.col("f.b").alias("at"), F.col("f.left").alias("slope_left"), (F.col("f.left") + F.col("f.change")).alias("slope_right"), F.col("f.rss").alias("rss"))
 
 
+def breakpoints(points: DataFrame, keys: list[str], x: str, y: str, breaks: int, grid: int = 100) -> DataFrame:
+    """keys, breaks, slopes, rss: the cuts of x into breaks + 1 stretches, each with a line of its own, whose squared residuals are least among all
+    cuts at grid places (dynamic programming over sums by cell), and the stretches' slopes. A stretch has three points at least;
+    a key without so many gets null."""
+    names = ["n", "u", "v", "uu", "uv", "vv"]
+    cells = cell_sums(points, keys, x, y, grid).groupBy(*keys, "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("cell", *names))).alias("cells"))
+
+    @F.pandas_udf("struct<cuts:array<int>,slopes:array<double>,rss:double>")
+    def best(rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for cells in rows:
+            sums = np.zeros((grid + 1, 6))
+            for c in cells:
+                sums[c["cell"] + 1] += [c[k] for k in names]
+            sums = np.cumsum(sums, 0)
+
+            def line(a: int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Squared residuals and slopes of stretches of cells from a up to each of b."""
+                n, u, v, uu, uv, vv = (sums[b] - sums[a]).T
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cu, cuv, cv = uu - u * u / n, uv - u * v / n, vv - v * v / n
+                    slope = np.where(cu > 1e-12 * np.maximum(uu, 1e-300), cuv / cu, 0)
+                return np.where(n >= 3, np.maximum(cv - slope * cuv, 0), np.inf), slope
+
+            rss = np.full((grid + 1, grid + 1), np.inf)
+            for a in range(grid):
+                rss[a, a + 1 :] = line(a, np.arange(a + 1, grid + 1))[0]
+            total, came = rss[0].copy(), []
+            for _ in range(breaks):
+                ways = total[:, None] + rss  # the last stretch begins at the row's cell
+                came.append(ways.argmin(0))
+                total = ways.min(0)
+            if not np.isfinite(total[grid]):
+                out.append((None, None, None))
+                continue
+            cuts = [grid]
+            for step in reversed(came):
+                cuts.append(int(step[cuts[-1]]))
+            cuts = [0, *reversed(cuts)]
+            out.append((cuts[1:-1], [float(line(a, np.array([b]))[1][0]) for a, b in zip(cuts, cuts[1:])], float(total[grid])))
+        return pd.DataFrame(out, columns=["cuts", "slopes", "rss"])
+
+    found = cells.withColumn("f", best("cells"))
+    return found.select(*keys, F.transform("f.cuts", lambda c: F.col("lo") + (F.col("hi") - F.col("lo")) * c / grid).alias("breaks"), F.col("f.slopes").alias("slopes"), F.col("f.rss").alias("rss"))
+
+
 def islands(df: DataFrame, keys: list[str], order: list[str], inside: Column, value: Column) -> DataFrame:
     """keys, island, first, last, n, top, area: maximal runs of rows for which inside holds, in order. first and last
     are places in the key's order; area is by the trapezoid rule."""

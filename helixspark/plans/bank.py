@@ -144,6 +144,38 @@ class Bank:
     def by_name(self, name: str) -> Lst:
         return Lst(self, self.sequences.where(named("name", name)).select(F.col("seq_id").alias("id")))
 
+    def year(self, year: int, relation: str = "=", column: str = "date") -> Lst:
+        """Y: sequences published in a year, in it or later (>), in it or earlier (<)."""
+        y = F.year(column)
+        return self.where({"=": y == year, ">": y >= year, "<": y <= year}[relation])
+
+    def reference(self, code: str) -> Lst:
+        """R: sequences from a reference written as journal/volume/page; parts may hold @."""
+        if code.count("/") != 2:
+            raise ValueError("a reference is written as journal/volume/page")
+        return self.linked("reference", code)
+
+    def journal(self, code: str) -> Lst:
+        """J: sequences published in a journal, the first part of their references."""
+        journal = F.upper(F.substring_index("value", "/", 1)).like(wildcard(code))
+        return Lst(self, self.links["reference"].where(journal).select(F.col("seq_id").alias("id")).distinct())
+
+    def author(self, name: str) -> Lst:
+        return self.linked("author", name)
+
+    def accession(self, number: str) -> Lst:
+        return self.linked("accession", number)
+
+    def taxon(self, number: int) -> Lst:
+        """TID: sequences of the taxon of a number and of all below it."""
+        return Lst(self, self.species_table.where(F.col("tax_id") == number).select("id"), "SP").descendants().sequences()
+
+    def from_accessions(self, path: str) -> Lst:
+        """FA: sequences attached to the accessions in a file, one on each line."""
+        wanted = self.sequences.sparkSession.read.text(path).select(F.upper(F.trim("value")).alias("wanted")).distinct()
+        links = self.links["accession"]
+        return Lst(self, links.join(wanted, F.upper(links["value"]) == F.col("wanted"), "left_semi").select(F.col("seq_id").alias("id")).distinct())
+
     def linked(self, link: str, value: str) -> Lst:
         """Sequences tied to a value in one of ``links``: journals, authors, accessions and the like."""
         return Lst(self, self.links[link].where(named("value", value)).select(F.col("seq_id").alias("id")).distinct())
@@ -197,8 +229,11 @@ def fragments(seqs: DataFrame, features: DataFrame, operation: str = "fragment")
     return cut.groupBy("seq_id", "name").agg(F.array_sort(F.collect_list(F.struct("ord", "seq"))).alias("parts")).select("seq_id", "name", F.array_join(F.transform("parts", lambda p: p["seq"]), "").alias("seq"))
 
 
-def where_is(accession: str, banks: dict[str, Bank], link: str = "accession") -> DataFrame:
-    """bank, seq_id for each bank that has an accession."""
+def where_is(accession: str, banks: dict[str, Bank], link: str = "accession", first_only: bool = False) -> DataFrame:
+    """bank, seq_id for each bank that has an accession, or for the first of them by name."""
+    if first_only:
+        every = where_is(accession, banks, link)
+        return every.join(F.broadcast(every.agg(F.min("bank").alias("bank"))), "bank")  # one row
     found = [b.linked(link, accession).ids.select(F.lit(n).alias("bank"), F.col("id").alias("seq_id")) for n, b in sorted(banks.items())]
     out = found[0]
     for f in found[1:]:

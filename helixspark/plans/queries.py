@@ -188,9 +188,12 @@ def kmer3_step3(spark, d):
     return P.count_words(dna(spark, d), ["lang"], 3, first=1, by=3)
 
 
-@query(f"""SELECT a.x || b.x || c.x AS word, CAST(row_number() OVER (ORDER BY a.x || b.x || c.x) AS BIGINT) AS place FROM {B} a(x), {B} b(x), {B} c(x)""")
+@query(f"""WITH {DNA}, k AS (SELECT word, count(*) AS n FROM {sql_words(3)} GROUP BY word) SELECT a.x || b.x || c.x AS word, CAST(row_number() OVER (ORDER BY a.x || b.x || c.x) AS BIGINT) AS place, coalesce(n, 0) AS n
+FROM {B} a(x) CROSS JOIN {B} b(x) CROSS JOIN {B} c(x) LEFT JOIN k ON k.word = a.x || b.x || c.x""")
 def words_table(spark, d):
-    return P.words_table(spark.createDataFrame([], "x int"), 3).selectExpr("word", "cast(row_number() over (order by word) as bigint) place")
+    """All words with their place and their number in all documents."""
+    counts = P.count_words(dna(spark, d), [], 3, zeros=False)
+    return P.words_table(counts, 3).join(counts, "word", "left").selectExpr("word", "cast(row_number() over (order by word) as bigint) place", "coalesce(n, 0) n")
 
 
 DI = f"""{DNA}, k AS (SELECT doc_id, word, count(*) AS n FROM {sql_words(2)} GROUP BY doc_id, word), w AS (SELECT a.x || b.x AS word, a.x AS x, b.x AS y FROM {B} a(x), {B} b(x)),
@@ -301,14 +304,23 @@ def ucoweight_by_lang(spark, d):
     return C.by_amino(dna(spark, d), ["lang"]).select("lang", "aa", F.array_join(e, ",").alias("codons"))
 
 
-@query(f"WITH {CODE} SELECT a.codon, array_to_string(list(b.codon ORDER BY b.codon), ',') AS syn FROM code a JOIN code b USING (aa) GROUP BY a.codon")
+SYN = f"""WITH {DNA}, {CODE}, k AS (SELECT word AS codon, count(*) AS n FROM {sql_words(3, 3)} GROUP BY word), u AS (SELECT codon, aa, coalesce(n, 0) AS n FROM code LEFT JOIN k USING (codon))"""
+
+
+@query(f"{SYN} SELECT a.codon, any_value(a.n) AS n, array_to_string(list(b.codon ORDER BY b.codon), ',') AS syn, CAST(sum(b.n) AS BIGINT) AS n_syn FROM u a JOIN u b USING (aa) GROUP BY a.codon")
 def syncodons(spark, d):
-    return C.code_table(spark).select("codon", F.array_join(C.synonyms(F.col("codon")), ",").alias("syn"))
+    """Each codon's synonyms, with their numbers in all documents."""
+    counts = P.count_words(dna(spark, d), [], 3, by=3, zeros=False).withColumnRenamed("word", "codon")
+    table = C.code_table(spark).join(counts, "codon", "left").select("codon", "aa", F.coalesce("n", F.lit(0)).alias("n"))
+    totals = table.groupBy("aa").agg(F.sum("n").alias("n_syn"))
+    return table.join(totals, "aa").select("codon", "n", F.array_join(C.synonyms(F.col("codon")), ",").alias("syn"), "n_syn")
 
 
-@query(f"WITH {CODE} SELECT CAST(row_number() OVER (ORDER BY translate(codon, 'tcag', '0123')) AS INT) AS place, codon, aa FROM code")
+@query(f"{SYN} SELECT CAST(row_number() OVER (ORDER BY translate(codon, 'tcag', '0123')) AS INT) AS place, codon, aa, n FROM u")
 def code_listing_1(spark, d):
-    return code_listing(spark)
+    """The code in textbook order, with the codons' numbers in all documents."""
+    counts = P.count_words(dna(spark, d), [], 3, by=3, zeros=False).withColumnRenamed("word", "codon")
+    return code_listing(spark).join(counts, "codon", "left").select("place", "codon", "aa", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _translate_sql(seq: str, numcode: int, frame: int) -> str:
@@ -422,11 +434,21 @@ def primer_search(spark, d):
     return best.select("doc_id", F.col("b.mismatches").cast("bigint").alias("mismatches"), F.col("b.pos").cast("bigint").alias("pos"))
 
 
-@query(f"""WITH {PROT}, {DNA} SELECT doc_id, left(d.seq, 3 * CAST(length(d.seq) // 3 AS INT)) AS seq FROM dna d""")
+def _reverse_align_sql() -> str:
+    return f"""WITH p AS ({_translate_sql('seq', 1, 0)}), g AS (SELECT doc_id, doc_id // 2 AS aln, CASE WHEN doc_id % 2 = 0 THEN left(protein, 3) || '--' || substr(protein, 4) ELSE '-' || protein END AS s FROM p),
+m AS (SELECT aln, max(length(s)) AS n FROM g GROUP BY aln), a AS (SELECT doc_id, aln, rpad(s, CAST(n AS INT), '-') AS s FROM g JOIN m USING (aln)), c AS (SELECT doc_id, aln, i, substr(s, i, 1) AS ch FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM a)),
+k AS (SELECT *, sum(CASE WHEN ch <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r, bool_and(ch <> '-') OVER (PARTITION BY aln, i) AS whole FROM c), d AS (WITH {DNA} SELECT doc_id, seq FROM dna)
+SELECT d.doc_id, coalesce(string_agg(substr(d.seq, CAST(3 * r - 2 AS INT), 3), '' ORDER BY i) FILTER (WHERE whole), '') AS seq FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id"""
+
+
+@query(_reverse_align_sql())
 def reverse_align(spark, d):
+    """Alignments of two proteins each, with gaps at the begin, inside and at the end."""
     seqs = dna(spark, d)
-    proteins = seqs.select(F.col("doc_id").cast("string").alias("aln"), F.col("doc_id").alias("idx"), S.translate(F.col("seq")).alias("seq"))
-    back = A.reverse_align(proteins, seqs.select(F.col("doc_id").alias("idx"), "seq"))
+    protein = S.translate(F.col("seq"))
+    gapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring(protein, 1, 3), F.lit("--"), F.substring(protein, 4, 1 << 30))).otherwise(F.concat(F.lit("-"), protein))
+    rows = seqs.select("doc_id", F.floor(F.col("doc_id") / 2).cast("string").alias("g"), gapped.alias("protein"))
+    back = A.reverse_align(A.padded(rows, "g", "doc_id", "protein"), seqs.select(F.col("doc_id").alias("idx"), "seq"))
     return seqs.select("doc_id").join(back.select(F.col("idx").alias("doc_id"), "seq"), "doc_id", "left").select("doc_id", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
@@ -523,7 +545,7 @@ def codon_correspondence(spark, d):
 @query()
 def within_amino_acids(spark, d):
     counts = P.count_words(dna(spark, d), ["lang"], 3, by=3).groupBy("lang").pivot("word", K.words(3)).agg(F.first("n"))
-    return M.within_classes(counts, "lang", K.words(3), K.code(1))
+    return M.relative_to_class(counts, "lang", K.words(3), K.code(1))
 
 
 def _sorted_sql(start: int, by: int, size: int) -> str:
@@ -553,17 +575,20 @@ def _kept(model: str, seq: Column) -> Column:
 
 def _permuted(model):
     def run(spark, d):
-        shuffled = dna(spark, d).select("doc_id", C.permuted(F.col("seq"), model).alias("seq"))
+        shuffled = dna(spark, d).select("doc_id", F.col("seq").alias("was"), C.permuted(F.col("seq"), model).alias("seq"))
         protein = [S.translate(F.col("seq"), numcode=1).alias("protein")] if model == "syncodon" else []
-        return shuffled.select("doc_id", _kept(model, F.col("seq")).alias("kept"), *protein)
+        varied = F.size(F.array_distinct(S.splitseq(F.col("was")))) >= 40
+        return shuffled.select("doc_id", _kept(model, F.col("seq")).alias("kept"), F.when(varied, F.col("seq") != F.col("was")).alias("moved"), *protein)
 
     run.__name__ = f"permutation_{model}"
     return run
 
 
+#: Sequences of so many different codons don't stay as they are.
+MOVED_SQL = "CASE WHEN len(list_distinct(list_transform(range(1, length(seq) - 1, 3), lambda i: substr(seq, i, 3)))) >= 40 THEN true END AS moved"
 for _model in ("base", "position", "codon"):
-    query(f"WITH {DNA} SELECT doc_id, {KEPT_SQL[_model]} AS kept FROM dna")(_permuted(_model))
-query(f"SELECT doc_id, {KEPT_SQL['codon']} AS kept, protein FROM ({_translate_sql('seq', 1, 0)}) JOIN (WITH {DNA} SELECT doc_id, seq FROM dna) USING (doc_id)")(_permuted("syncodon"))
+    query(f"WITH {DNA} SELECT doc_id, {KEPT_SQL[_model]} AS kept, {MOVED_SQL} FROM dna")(_permuted(_model))
+query(f"SELECT doc_id, {KEPT_SQL['codon']} AS kept, {MOVED_SQL}, protein FROM ({_translate_sql('seq', 1, 0)}) JOIN (WITH {DNA} SELECT doc_id, seq FROM dna) USING (doc_id)")(_permuted("syncodon"))
 
 
 @query()
