@@ -4,7 +4,7 @@ The pieces come from a fixed public vocabulary (a SentencePiece model file whose
 their probabilities are learned here, one distribution for each language. A word's likelihood in a language
 is the sum over all ways to cut it into pieces, found by a forward pass; a text's is the product over its
 words. Probabilities are fitted by expectation-maximisation on whole texts of a bounded sample of each language: about FIT_TEXTS texts,
-taken in the order of a hash of doc_id as long as they fit into FIT_CHARS characters in all. All pieces of the vocabulary keep a floor
+taken in the order of a hash of doc_id up to the first that no longer fits into FIT_CHARS characters in all. All pieces of the vocabulary keep a floor
 of probability, also those that the sample does not have.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 (numerals such as a half or a Roman four are no
@@ -29,6 +29,8 @@ from helixspark.llm.common import bounded_batches, remembered, slices, without
 
 #: Texts of each language (in expectation) that a model is fitted on, and characters of all of a language's together.
 FIT_TEXTS, FIT_CHARS = 250, 600_000
+#: A text of more than one LONGEST_SHARE-th of those characters is not fitted on.
+LONGEST_SHARE = 4
 WORD = re.compile(r"[^\W\d_]+")
 #: Words remembered by a worker before its memory of them is cleared.
 CACHE_WORDS = 400_000
@@ -64,27 +66,36 @@ class PieceModel:
     def __init__(self, langs: list[str], probs: dict[str, tuple[float, ...]]):
         self.langs, self.probs, self.name = langs, probs, uuid.uuid4().hex
         self.longest = max(map(len, probs), default=1)
-        keys = hashes_of(list(probs))
-        # An open-addressed table from a piece's hash to its row; the last row says "no piece".
-        self.bits = max(4, int(4 * len(probs) + 1).bit_length())
+        # An open-addressed table of all beginnings of pieces: the row of the piece that it is (the last row says none), and whether a longer piece begins so.
+        starts = {p[:n] for p in probs for n in range(1, len(p))}
+        strings = [*probs, *(starts - probs.keys())]
+        self.bits = max(4, int(2 * len(strings) + 1).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.rows = np.full(1 << self.bits, len(probs), np.int32)
+        self.longer = np.zeros(1 << self.bits, bool)
         self.values = np.vstack([np.array(list(probs.values()), "f8").reshape(len(probs), len(langs)), np.zeros((1, len(langs)))])
-        self.tries = 1
-        for row, key in enumerate(keys):
+        self.tries, used = 1, np.zeros(1 << self.bits, bool)
+        for row, (string, key) in enumerate(zip(strings, hashes_of(strings))):
             slot, tried = int(key >> np.uint64(64 - self.bits)), 1
-            while self.rows[slot] != len(probs):
+            while used[slot]:
                 slot, tried = (slot + 1) % len(self.rows), tried + 1
-            self.keys[slot], self.rows[slot], self.tries = key, row, max(self.tries, tried)
+            used[slot] = True
+            self.keys[slot], self.rows[slot], self.longer[slot], self.tries = key, min(row, len(probs)), string in starts, max(self.tries, tried)
 
-    def find(self, hashed: np.ndarray) -> np.ndarray:
-        """The row of each hash, len(probs) if there is no such piece."""
+    def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each hash, len(probs) if there is no such piece, and whether a longer piece begins so."""
         slot = (hashed >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.full(len(hashed), len(self.probs), np.int32)
+        out, longer = np.full(len(hashed), len(self.probs), np.int32), np.zeros(len(hashed), bool)
+        left = np.arange(len(hashed))
         for k in range(self.tries):
-            at = (slot + k) % len(self.rows)
-            out = np.where(self.keys[at] == hashed, self.rows[at], out)
-        return out
+            at = (slot[left] + k) % len(self.rows)
+            key = self.keys[at]
+            same = key == hashed[left]
+            out[left[same]], longer[left[same]] = self.rows[at[same]], self.longer[at[same]]
+            left = left[~same & (key != 0)]  # an empty place ends the search
+            if not len(left):
+                break
+        return out, longer
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods, words x languages: for each word the forward sum over all its segmentations.
@@ -102,28 +113,34 @@ class PieceModel:
         return out
 
     def _forward(self, chars: np.ndarray) -> np.ndarray:
-        n, k = chars.shape[1], len(self.langs)
+        """From each place the pieces that begin there are followed only as long as some piece of the vocabulary goes on so."""
+        n, shape = chars.shape[1], (len(chars), len(self.langs))
         prefix = prefix_hashes(chars)
-        sums = {0: np.ones((len(chars), k))}
+        sums = {0: np.ones(shape)}
         shift = np.zeros(len(chars))
-        for j in range(1, n + 1):
-            total = np.zeros((len(chars), k))
-            for i in range(max(0, j - self.longest), j):
-                row = self.find(mixed(prefix[:, j] - prefix[:, i] * POWERS[j - i] if j - i < len(POWERS) else prefix[:, j] - prefix[:, i] * np.uint64(pow(BASE, j - i, 2**64))))
-                hit = np.flatnonzero(row < len(self.probs))
-                if len(hit):
-                    total[hit] += sums[i][hit] * self.values[row[hit]]
-                if i == j - 1 and len(hit) < len(row):
-                    miss = row == len(self.probs)
-                    total[miss] += sums[i][miss] * UNSEEN
-            sums[j] = total
-            sums.pop(j - self.longest, None)
-            if j % 8 == 0:  # the sums still needed share one scale
-                big = np.maximum.reduce([sums[i].max(1) for i in sums])
+        for i in range(n):
+            if i % 8 == 0 and i:  # the sums still needed share one scale
+                big = np.maximum.reduce([x.max(1) for x in sums.values()])
                 big = np.where(big > 0, big, 1)
                 shift += np.log(big)
-                for i in sums:
-                    sums[i] = sums[i] / big[:, None]
+                for j in sums:
+                    sums[j] = sums[j] / big[:, None]
+            here, alive = sums.pop(i), np.arange(len(chars))
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                power = POWERS[j - i] if j - i < len(POWERS) else np.uint64(pow(BASE, j - i, 2**64))
+                row, longer = self.find(mixed(prefix[alive, j] - prefix[alive, i] * power))
+                hit = row < len(self.probs)
+                total = sums.get(j)
+                if total is None:
+                    total = sums[j] = np.zeros(shape)
+                at = alive[hit]
+                total[at] += here[at] * self.values[row[hit]]
+                if j == i + 1:
+                    miss = alive[~hit]
+                    total[miss] += here[miss] * UNSEEN
+                alive = alive[longer]
+                if not len(alive):
+                    break
         return np.log(np.maximum(sums[n], 1e-300)) + shift[:, None]
 
 
@@ -145,7 +162,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashes_of(pieces: list[str]) -> np.ndarray:
-    return np.array([mixed(prefix_hashes(np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(1, -1))[:, -1])[0] for p in pieces], np.uint64)
+    out = np.zeros(len(pieces), np.uint64)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        chars = np.frombuffer("".join([pieces[k] for k in own]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), size)
+        out[own] = mixed(prefix_hashes(chars)[:, -1])
+    return out
 
 
 def expected_pieces(model: PieceModel, column: int, words: Counter) -> Counter:
@@ -217,8 +240,12 @@ def learn(docs: DataFrame, vocabulary: str | None = None, texts_of_each: int = F
     # numbers first, then the texts that they choose: both bounded, also if a doc_id repeats
     sizes = drawn.select("lang", "doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("th")).distinct().orderBy(order, "doc_id", "lang", "n", "th").limit(most).collect()
     left, picked = dict.fromkeys(counts, chars), []
-    for r in sizes:
-        if r.n <= left[r.lang]:
+    for r in sizes:  # in their order up to the first that does not fit, so that long texts are as likely as short ones
+        if r.n > chars // LONGEST_SHARE:
+            continue
+        if r.n > left[r.lang]:
+            left[r.lang] = -1
+        elif left[r.lang] >= 0:
             left[r.lang] -= r.n
             picked.append((r.lang, r.doc_id, r.th))
     texts: dict[str, list[str]] = {x: [] for x in counts}
