@@ -32,6 +32,8 @@ from helixspark.llm.common import bounded_batches, slices, without
 
 PATH_DIMS, WORD_DIMS, EXTRA, HIDDEN = 96, 48, 5, 16
 FIT_PAGES = 700
+#: Blocks of a page that are scored at once.
+SLAB = 4096
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>"'=]|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+>|[^<>]*+>)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -138,15 +140,17 @@ def slot(word: str, dims: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % dims
 
 
-def features(found: list[tuple[str, tuple[int, ...], float]]) -> np.ndarray:
-    x = np.zeros((len(found), PATH_DIMS + WORD_DIMS + EXTRA), "f4")
-    for k, (text, path, linked) in enumerate(found):
+def features(found: list[tuple[str, tuple[int, ...], float]], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Of a page's blocks, or of those from lo to hi."""
+    some = found[lo:hi]
+    x = np.zeros((len(some), PATH_DIMS + WORD_DIMS + EXTRA), "f4")
+    for k, (text, path, linked) in enumerate(some):
         x[k, list(path)] = 1
         words = WORDS.findall(text.lower())
         for w in words:
             x[k, PATH_DIMS + slot(w, WORD_DIMS)] += 1
         x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= max(1.0, len(words))
-        x[k, -EXTRA:] = (np.log1p(len(text)) / 6, linked, text[-1] in ".!?…。", k / len(found), np.log1p(text.count(" ")) / 4)
+        x[k, -EXTRA:] = (np.log1p(len(text)) / 6, linked, text[-1] in ".!?…。", (lo + k) / len(found), np.log1p(text.count(" ")) / 4)
     return x
 
 
@@ -161,13 +165,10 @@ class BiLstm:
         for side in "fb":
             self.p |= {"wx" + side: make(d, 4 * HIDDEN), "wh" + side: make(HIDDEN, 4 * HIDDEN), "bb" + side: np.repeat([0, 1, 0, 0], HIDDEN).astype("f4")}
 
-    def side(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        """States (steps x pages x HIDDEN) and what the backward pass needs; x: steps x pages x features."""
-        steps, pages, _ = x.shape
+    def steps(self, x: np.ndarray, mask: np.ndarray, side: str, h: np.ndarray, c: np.ndarray):
+        """Walk over x (steps x pages x features) from one end: (step, states before and after it, gates)."""
         z_in = x @ self.p["wx" + side] + self.p["bb" + side]
-        h = c = np.zeros((pages, HIDDEN), "f4")
-        states, kept = np.zeros((steps, pages, HIDDEN), "f4"), [None] * steps
-        for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
             z = z_in[t] + h @ self.p["wh" + side]
             s = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
             i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
@@ -175,12 +176,34 @@ class BiLstm:
             was_h, was_c = h, c
             c = np.where(m, f * c + i * g, c)
             h = np.where(m, o * np.tanh(c), h)
-            states[t], kept[t] = h, (i, f, o, g, c, was_h, was_c)
+            yield t, h, (i, f, o, g, c, was_h, was_c)
+
+    def side(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+        """States (steps x pages x HIDDEN) and what the backward pass of a fit needs."""
+        start = np.zeros((x.shape[1], HIDDEN), "f4")
+        states, kept = np.zeros((*x.shape[:2], HIDDEN), "f4"), [None] * len(x)
+        for t, h, gates in self.steps(x, mask, side, start, start):
+            states[t], kept[t] = h, gates
         return states, kept
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self.side(x, mask, "f")[0], self.side(x, mask, "b")[0]], 2)
-        return 1 / (1 + np.exp(-np.clip(both @ self.p["out"] + x @ self.p["skip"] + self.p["bias"], -30, 30)))
+        return self.scored(lambda lo, hi: x[lo:hi], mask)
+
+    def scored(self, part, mask: np.ndarray) -> np.ndarray:
+        """Scores (steps x pages) of features that part(from, to) gives, SLAB steps at a time: either side's walk adds its share of a step's
+        score and goes on from its state, so no states, gates or features are kept but one slab's."""
+        total = np.zeros(mask.shape, "f4")
+        for k, side in enumerate("fb"):
+            h = c = np.zeros((mask.shape[1], HIDDEN), "f4")
+            slabs = range(0, len(mask), SLAB)
+            for lo in slabs if side == "f" else reversed(slabs):
+                x = part(lo, min(lo + SLAB, len(mask)))
+                if side == "f":
+                    total[lo : lo + SLAB] += x @ self.p["skip"] + self.p["bias"]
+                for t, h, gates in self.steps(x, mask[lo : lo + SLAB], side, h, c):
+                    c = gates[4]
+                    total[lo + t] += h @ self.p["out"][k * HIDDEN : (k + 1) * HIDDEN]
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, want: np.ndarray) -> dict[str, np.ndarray]:
         sides = {s: self.side(x, mask, s) for s in "fb"}
@@ -331,8 +354,11 @@ def extract(net: BiLstm, pages: list[str | None], room: int = 60_000) -> list[st
         while hi < len(order) and (hi - lo + 1) * len(found[order[hi]]) <= room:
             hi += 1
         own = order[lo:hi]
-        x, mask = padded([features(found[k]) for k in own])
-        score = net.scores(x, mask)
+        if len(own) == 1 and len(found[own[0]]) > SLAB:  # a page of very many blocks: its features are made a slab at a time
+            one = found[own[0]]
+            score = net.scored(lambda a, b: features(one, a, b)[:, None], np.ones((len(one), 1), bool))
+        else:
+            score = net.scores(*padded([features(found[k]) for k in own]))
         for j, k in enumerate(own):
             out[k] = "\n".join(b[0] for b, s in zip(found[k], score[:, j]) if s >= 0.5)
         lo = hi
