@@ -39,6 +39,8 @@ ENCODINGS = {"hex": (DIGITS + "abcdef", 2), "base32": (UPPER + "234567", 4), "ba
 
 #: Hits that are gathered at once: arrays grow by copying, so a text's hits are gathered in groups, and these joined.
 GROUP = 128
+#: Characters of the pieces that a text is cut into where spans are taken out of it.
+PIECE = 512
 
 
 def located(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0, tokens: bool = False) -> Column:
@@ -74,6 +76,46 @@ def located(text: Column, pattern: str, kind: int, least: int = 0, group: int =
     return F.when(text.rlike(pattern), F.flatten(F.transform(F.array(sized), whole))).otherwise(none)
 
 
+def gathered(items: Column, state: dict[str, Column], step, kind: str) -> Column:
+    """What step adds to ``out`` along items, in order: array<kind>. step gets a struct of the state's fields and out, and an item, and
+    returns such a struct. Additions are gathered in groups, as in ``located``."""
+    none = F.array().cast(f"array<{kind}>")
+    held = lambda acc: [acc[n].alias(n) for n in state]
+
+    def some(acc: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(*held(acc), none.alias("out")), step, lambda s: F.struct(*held(s), F.concat(acc["all"], F.array(s["out"])).alias("all")))
+
+    def whole(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / GROUP).cast("int")), lambda k: F.slice(xs, k * GROUP + 1, GROUP))
+        start = F.struct(*[c.alias(n) for n, c in state.items()], F.array().cast(f"array<array<{kind}>>").alias("all"))
+        return F.flatten(F.aggregate(parts, start, some)["all"])
+
+    return F.element_at(F.transform(F.array(items), whole), 1)  # items are computed once
+
+
+SPAN = "struct<start:int,end:int,kind:int>"
+
+
+def clear_of(runs: Column, base: Column) -> Column:
+    """The runs that overlap no base span; both sorted by start, runs apart from one another. One walk along both: a run
+    is given out when the next run (or the end) comes and no base span has reached into it."""
+    item = lambda s, is_run: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(is_run).alias("run"))
+    last = F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(2**31 - 1).alias("end"), F.lit(0).alias("kind"), F.lit(True).alias("run")))
+    both = F.array_sort(F.concat(F.transform(base, lambda s: item(s, False)), F.transform(runs, lambda s: item(s, True)), last))
+    state = {"at": F.lit(0), "held": F.lit(None).cast(SPAN)}
+
+    def step(acc: Column, x: Column) -> Column:
+        held, span = acc["held"], F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+        free = F.when(x["start"] >= acc["at"], span)
+        return F.struct(
+            F.when(x["run"], acc["at"]).otherwise(F.greatest(acc["at"], x["end"])).alias("at"),
+            F.when(x["run"], free).when(x["start"] >= held["end"], held).alias("held"),
+            F.when(x["run"] & held.isNotNull(), F.concat(acc["out"], F.array(held))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.when((F.size(base) > 0) & (F.size(runs) > 0), gathered(both, state, step, SPAN)).otherwise(runs)
+
+
 def fisher(*ps: Column) -> Column:
     """Combined p of three independent p-values (chi-squared with 6 degrees of freedom, in closed form)."""
     half = -sum((F.ln(F.greatest(p, F.lit(1e-12))) for p in ps), F.lit(0.0))
@@ -167,9 +209,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     order = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     out = kept.withColumn("base", order(base)).withColumn("__runs", F.when(text.rlike(RUN), runs_of(text)))
     out = out.crossJoin(F.broadcast(thresholds(docs, text_col)))  # one row, of at most 25 entries
-    clear = lambda r: ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"]))
-    random = F.filter("__runs", lambda r: (r["p"] >= F.element_at(F.col("__cuts"), F.concat_ws("/", r["enc"], r["len"].cast("string")))) & clear(r))
+    random = F.filter("__runs", lambda r: r["p"] >= F.element_at(F.col("__cuts"), F.concat_ws("/", r["enc"], r["len"].cast("string"))))
     random = F.transform(random, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))
+    random = clear_of(random, F.col("base"))
     return out.withColumn("spans", F.coalesce(order(F.concat("base", random)), F.col("base"))).drop("__runs", "__cuts")
 
 
@@ -187,10 +229,21 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     text = F.col(names["text"])
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(gap.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+        gap = F.array(F.struct(acc["at"].alias("a"), s["start"].alias("b")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+    gaps = gathered(F.col("spans"), {"at": F.lit(0)}, step, "struct<a:int,b:int>")
+    tail = F.array(F.struct(F.array_max(F.transform("spans", lambda s: s["end"])).alias("a"), F.length(text).alias("b")))
+    # a place in a text is found by walking to it, so the text is cut into pieces once and places are looked up in these
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), F.concat(gaps, tail).alias("gaps"))
+
+    def between(pieces: Column, g: Column) -> Column:
+        a, b = F.floor(g["a"] / PIECE).cast("int"), F.floor(g["b"] / PIECE).cast("int")
+        head, end = F.coalesce(F.get(pieces, a), F.lit("")), F.coalesce(F.get(pieces, b), F.lit(""))
+        inside = F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+        return F.when(a == b, F.substring(head, g["a"] % PIECE + 1, g["b"] - g["a"])).otherwise(F.concat(F.substring(head, g["a"] % PIECE + 1, F.lit(PIECE)), inside, F.substring(end, F.lit(1), g["b"] % PIECE)))
 
-    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.element_at(F.transform(F.array(cut), lambda c: F.array_join(F.transform(c["gaps"], lambda g: between(c["pieces"], g)), mark)), 1)
     hit = F.size("spans") > 0
     out = found.withColumn(names["text"], F.when(hit, clean).otherwise(text))
     if "n_chars" in names:
