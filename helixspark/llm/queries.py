@@ -59,7 +59,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return warc.page_digests(warc.read_archive(spark, path))
+    return warc.archive_digests(spark, path)
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

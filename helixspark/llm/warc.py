@@ -39,7 +39,9 @@ from pyspark.sql.datasource import (
 
 from helixspark.llm.common import bounded_batches, scratch, shared_dir, without
 
-SPLIT, LEAST_SHARED, BROADCAST_ROWS = 32 << 20, 1000, 200_000
+SPLIT, LEAST_SHARED, BROADCAST_BYTES = 32 << 20, 1000, 32 << 20
+#: Bytes of a row of a digest and an id when it is broadcast.
+SHARED_BYTES = 160
 #: Names of manifests (without a job's id: of archives written before each job had its own) and of the files of tasks.
 MANIFEST, TASK_FILE = re.compile(r"_manifest(-[0-9a-f]{32})?\.json"), re.compile(r"part-[0-9a-f]{32}\.warc")
 SCHEMA = (
@@ -242,14 +244,14 @@ def register(spark: SparkSession) -> None:
 
 def records(pages: DataFrame) -> DataFrame:
     """The records of pages, in the data source's columns. Only digests that occur twice or more are joined
-    back, by a broadcast if they are at most BROADCAST_ROWS, else by a shuffled join whose hot digests Spark splits."""
+    back, by a broadcast if they take at most BROADCAST_BYTES, else by a shuffled join whose hot digests Spark splits."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     full = without(pages, "payload", "digest", "n").select("page_id", "url", payload.alias("payload"))
     full = full.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("bigint")})
     shared = full.where(F.col("n") >= LEAST_SHARED).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1 and kept is not null").select("digest", "kept")
     # without a shuffle of payloads where the digests are few enough to broadcast
     shared = scratch(shared, "shared")
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    shared = F.broadcast(shared) if shared.count() * SHARED_BYTES <= BROADCAST_BYTES else shared
     revisits = (F.col("kept").isNotNull() & F.coalesce(F.col("page_id") != F.col("kept"), F.lit(True))) & (F.col("n") >= LEAST_SHARED)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     return full.join(shared, "digest", "left").select(
@@ -269,9 +271,19 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> str:
     return path
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """An archive's records, or only some columns of them: without ``payload`` no payload is read."""
     register(spark)
-    return spark.read.format("warc").load(path)
+    kinds = dict(c.split() for c in SCHEMA.split(", "))
+    reader = spark.read.format("warc")
+    return (reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns)) if columns else reader).load(path)
+
+
+def archive_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``page_digests`` of an archive. Revisits say all that is asked in their headers, so they are read by a pushed predicate and without the
+    payload column; payloads are read of the records that a second pushed predicate takes for responses."""
+    heads = read_archive(spark, path, [c for c in HEADERS]).where("record_type = 'revisit'").withColumn("payload", F.lit(None).cast("binary"))
+    return page_digests(heads).unionByName(page_digests(read_archive(spark, path).where("record_type = 'response'")))
 
 
 def page_digests(archive: DataFrame) -> DataFrame:
