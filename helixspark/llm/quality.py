@@ -1,14 +1,15 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes are covered by overlapping chunks. Each byte has a learned vector; learned filters of
-eight bytes slide over a chunk in steps of four, and each filter's largest response is kept for the chunk. The chunks' pooled responses are
-combined in HIDDEN units a chunk (so a chunk where most filters stay low, as where words are repeated on and on, can stand out);
+eight bytes slide over a chunk in steps of four, and each filter's largest response is kept for the chunk. One more response compares windows
+with their neighbours: bytes that end a window of ECHO bytes met within the REACH bytes before it count by a learned weight each, which
+shows words repeated on and on. The chunks' pooled responses are combined in HIDDEN units a chunk;
 means of both and maxima of the units over the document go into one logistic unit, which gives the
 probability. Every byte of a text is read, whatever its length, SLAB chunks at a time, so memory follows the number of chunks,
 not that of bytes times filters.
 
-The model is fitted on whole texts of a bounded sample: at most FIT_ROWS labelled rows, taken in the order of a hash of doc_id as
-long as they fit into FIT_CHARS characters in all.
+The model is fitted on whole texts of a bounded sample: at most FIT_ROWS labelled rows, taken in the order of a hash of doc_id up to
+the first that no longer fits into FIT_CHARS characters in all.
 
 Defined results: a null or empty text is scored as a chunk of padding; repeated rows get equal scores; an
 empty table gives an empty result; a table without usable labels gives 0.5 everywhere. Columns other than doc_id, text and quality
@@ -29,8 +30,12 @@ from helixspark.llm.common import bounded_batches, private, remembered, without
 
 CHUNK, STEP, HOP = 256, 224, 4
 DIM, FILTERS, HIDDEN, SLAB = 8, 40, 16, 512
+#: Bytes of a window that is compared with those before it, and how far back.
+ECHO, REACH = 4, 32
 #: Labelled rows at most that a model is fitted on, and characters of all of them together.
 FIT_ROWS, FIT_CHARS = 7000, 12_000_000
+#: A text of more than one LONGEST_SHARE-th of those characters is not fitted on.
+LONGEST_SHARE = 10
 #: Of a row with label 0 in the fit: it is the rarer kind, and threshold and score lean towards keeping.
 LOW_WEIGHT, THRESHOLD = 4.0, 0.3
 
@@ -40,15 +45,16 @@ class ByteConvNet:
     vectors: np.ndarray  # 256 x DIM
     filters: np.ndarray  # HOP * DIM x 2 * FILTERS: for the first and the second half of a window
     bias: np.ndarray  # FILTERS
-    unit: np.ndarray  # FILTERS x HIDDEN
+    echo: np.ndarray  # 256
+    unit: np.ndarray  # FILTERS + 1 x HIDDEN
     unit_bias: np.ndarray  # HIDDEN
-    out: np.ndarray  # FILTERS + 2 * HIDDEN
+    out: np.ndarray  # FILTERS + 1 + 2 * HIDDEN
     out_bias: float
 
     @staticmethod
     def fresh(seed: int = 7) -> ByteConvNet:
         g = np.random.default_rng(seed)
-        return ByteConvNet(g.normal(0, 0.5, (256, DIM)).astype("f4"), g.normal(0, 0.18, (HOP * DIM, 2 * FILTERS)).astype("f4"), np.zeros(FILTERS, "f4"), g.normal(0, 0.2, (FILTERS, HIDDEN)).astype("f4"), np.full(HIDDEN, 0.2, "f4"), g.normal(0, 0.1, FILTERS + 2 * HIDDEN).astype("f4"), 0.0)
+        return ByteConvNet(g.normal(0, 0.5, (256, DIM)).astype("f4"), g.normal(0, 0.18, (HOP * DIM, 2 * FILTERS)).astype("f4"), np.zeros(FILTERS, "f4"), np.full(256, 4, "f4"), g.normal(0, 0.2, (FILTERS + 1, HIDDEN)).astype("f4"), np.full(HIDDEN, 0.2, "f4"), g.normal(0, 0.1, FILTERS + 1 + 2 * HIDDEN).astype("f4"), 0.0)
 
     def responses(self, chunks: np.ndarray) -> np.ndarray:
         """chunks x windows x FILTERS before pooling; chunks: n x CHUNK bytes."""
@@ -56,11 +62,19 @@ class ByteConvNet:
         half = (self.vectors[chunks].reshape(n * (CHUNK // HOP), HOP * DIM) @ self.filters).reshape(n, CHUNK // HOP, 2 * FILTERS)
         return half[:, :-1, :FILTERS] + half[:, 1:, FILTERS:]
 
+    def echoes(self, chunks: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Each chunk's response to repetition: n x 1."""
+        return (self.echo[chunks] * mask).sum(1, keepdims=True)
+
+    def pooled(self, chunks: np.ndarray) -> np.ndarray:
+        """chunks x FILTERS + 1: the largest responses, and that to repetition."""
+        return np.maximum(np.hstack([self.responses(chunks).max(axis=1) + self.bias, self.echoes(chunks, repeated(chunks))]), 0)
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One probability for each text; text i is data[offsets[i]:offsets[i + 1]]."""
         start, end, first = chunk_places(offsets)
-        top = [self.responses(chunks_at(data, start[i : i + SLAB], end[i : i + SLAB])).max(axis=1) for i in range(0, len(start), SLAB)]
-        return self.combined(np.maximum(np.concatenate(top) + self.bias, 0), first)[0]
+        top = [self.pooled(chunks_at(data, start[i : i + SLAB], end[i : i + SLAB])) for i in range(0, len(start), SLAB)]
+        return self.combined(np.concatenate(top), first)[0]
 
     def combined(self, pooled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of the texts, their features and the chunks' hidden units."""
@@ -70,6 +84,19 @@ class ByteConvNet:
         return 1 / (1 + np.exp(-np.clip(feats.astype("f8") @ self.out + self.out_bias, -30, 30))), feats, units
 
 
+def repeated(chunks: np.ndarray) -> np.ndarray:
+    """For each byte of each chunk its share of the chunk's bytes if the window that it ends is met again within REACH bytes before, else 0."""
+    seen = np.zeros(chunks.shape, bool)
+    for lag in range(1, REACH + 1):
+        same = chunks[:, lag:] == chunks[:, :-lag]
+        run = same[:, ECHO - 1 :].copy()
+        for k in range(1, ECHO):
+            run &= same[:, ECHO - 1 - k : -k]
+        seen[:, lag + ECHO - 1 :] |= run
+    real = chunks != 0
+    return (seen & real) / np.maximum(real.sum(1, keepdims=True), 1).astype("f4")
+
+
 def chunk_places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each chunk of each text starts, where its text ends, and the row of each text's first chunk."""
     sizes = np.diff(offsets)
@@ -101,7 +128,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 9, batch: int = 48, s
     net, g = ByteConvNet.fresh(seed), np.random.default_rng(seed)
     raw, want = [t.encode("utf-8", "replace") for t in texts], np.asarray(labels, "f8")
     net.out_bias = float(np.log((want.sum() + 1) / (len(want) - want.sum() + 1)))
-    names = ("vectors", "filters", "bias", "unit", "unit_bias", "out", "out_bias")
+    names = ("vectors", "filters", "bias", "echo", "unit", "unit_bias", "out", "out_bias")
     moments = {n: (np.zeros_like(getattr(net, n), dtype="f8"), np.zeros_like(getattr(net, n), dtype="f8")) for n in names}
     step = 0
     for epoch in range(epochs):
@@ -114,17 +141,20 @@ def fit(texts: list[str], labels: list[int], epochs: int = 9, batch: int = 48, s
             resp = net.responses(chunks)
             arg = resp.argmax(axis=1)  # chunks x FILTERS
             top = np.take_along_axis(resp, arg[:, None, :], 1)[:, 0]
-            pooled = np.maximum(top + net.bias, 0)
+            mask = repeated(chunks)
+            pooled = np.maximum(np.hstack([top + net.bias, net.echoes(chunks, mask)]), 0)
             prob, feats, units = net.combined(pooled, first)
             err = (prob - want[own]) / len(own) * np.where(want[own] > 0, 1, LOW_WEIGHT)
             grad = {"out": feats.T @ err + 1e-4 * net.out, "out_bias": np.float64(err.sum())}
             counts = np.diff(np.append(first, len(chunks)))
             owner = np.repeat(np.arange(len(own)), counts)
-            mean, of_units, most = net.out[:FILTERS], net.out[FILTERS : FILTERS + HIDDEN], net.out[FILTERS + HIDDEN :]
+            mean, of_units, most = net.out[: FILTERS + 1], net.out[FILTERS + 1 : FILTERS + 1 + HIDDEN], net.out[FILTERS + 1 + HIDDEN :]
             share = (err[owner] / counts[owner])[:, None]
-            d_unit = (share * of_units + (units == feats[owner, FILTERS + HIDDEN :]) * err[owner][:, None] * most) * (units > 0)
+            d_unit = (share * of_units + (units == feats[owner, FILTERS + 1 + HIDDEN :]) * err[owner][:, None] * most) * (units > 0)
             grad["unit"], grad["unit_bias"] = pooled.T @ d_unit + 1e-5 * net.unit, d_unit.sum(0)
             d_pool = (share * mean + d_unit @ net.unit.T) * (pooled > 0)
+            grad["echo"] = np.bincount(chunks.ravel(), (d_pool[:, FILTERS :] * mask).ravel(), 256)
+            d_pool = d_pool[:, :FILTERS]
             grad["bias"] = d_pool.sum(0)
             # bytes of each winning window: chunks x FILTERS x 8
             at = arg[:, :, None] * HOP + np.arange(2 * HOP)
@@ -158,9 +188,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int =
     sized = docs.select("doc_id", F.length(text).alias("n"), F.xxhash64(text).alias("th")).join(F.broadcast(chosen), "doc_id")
     left, picked = chars, []
     for r in sized.select("doc_id", "n", "th").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "n", "th").limit(rows).collect():
-        if r.n <= left:
-            left -= r.n
-            picked.append((r.doc_id, r.th))
+        if r.n > chars // LONGEST_SHARE:
+            continue
+        if r.n > left:  # not on to shorter ones, so that long texts are as likely as short ones
+            break
+        left -= r.n
+        picked.append((r.doc_id, r.th))
     if not picked:
         return None
     wanted = docs.sparkSession.createDataFrame(picked, "doc_id long, th long")
