@@ -101,6 +101,11 @@ class Pieces:
             for k, p in enumerate(model.pieces)
         ]
         self.fronted = {k for p, k in self.ids.items() if p.startswith(BLANK)}
+        self.sizes = np.fromiter(map(len, self.surface), np.int64, len(self.surface))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.silent, self.leads = np.zeros(len(self.surface), bool), np.zeros(len(self.surface), bool)
+        self.silent[list(self.controls)] = self.leads[list(self.fronted)] = True
         self.automaton = ahocorasick.Automaton()
         for p, k in self.ids.items():
             self.automaton.add_word(p, (k, len(p)))
@@ -272,6 +277,44 @@ class Pieces:
         return found[1:] if first in self.fronted else found
 
 
+    def decode_all(self, lists: pa.Array) -> pa.Array:
+        """The texts of lists of ids. The bytes of all ids are gathered at once; lists that a control stands inside of, and those whose bytes
+        don't form characters, are decoded by themselves."""
+        ids, counts = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        sizes = self.sizes[ids]
+        total = int(sizes.sum())
+        alone = lambda rows: {k: self.decode(lists[k].as_py()) for k in rows}
+        if lists.null_count or total > PART * 8:
+            return pa.array([None if row is None else self.decode(row) for row in lists.to_pylist()], pa.string())
+        last = np.cumsum(counts)
+        first = last - counts
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.flat[np.arange(total) + np.repeat(self.starts[ids] - ends[:-1], sizes)]
+        odd = np.flatnonzero(self.silent[ids])
+        of = np.searchsorted(last, odd, "right")
+        slow = set(of[odd != last[of] - 1].tolist())
+        begins = ends[first]
+        inside = begins < total
+        slow |= set(np.flatnonzero(inside)[data[begins[inside]] & 0xC0 == 0x80].tolist())  # a character may not begin in the list before
+        slow |= {k - 1 for k in slow if k}
+        try:
+            data.tobytes().decode("utf-8")
+        except UnicodeDecodeError:
+            slow = set(range(len(lists)))
+        found = alone(slow)
+        held = np.flatnonzero(counts > 0)
+        dropped = held[self.leads[ids[first[held]]]]
+        keep = np.ones(total, bool)
+        keep[begins[dropped]] = False
+        offsets = np.concatenate([begins, [total]])
+        offsets = (offsets - np.concatenate([[0], np.cumsum(~keep)])[offsets]).astype(np.int32)
+        out = pa.StringArray.from_buffers(len(lists), pa.py_buffer(offsets), pa.py_buffer(data[keep]))
+        if not found:
+            return out
+        texts = out.to_pylist() if len(found) < len(lists) else [""] * len(lists)  # invalid bytes are not looked at
+        return pa.array([found.get(k, t) for k, t in enumerate(texts)], pa.string())
+
+
 def marked(text: str | None) -> str:
     """A text as the model reads it: blanks by their sign, and one in front."""
     return BLANK + text.replace(" ", BLANK) if text else ""
@@ -312,8 +355,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
         known = pieces(path)
         for b in batches:
             for lo, hi in slices(b.column(1)):
-                texts = [None if row is None else known.decode(row) for row in b.column(1)[lo:hi].to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], known.decode_all(b.column(1)[lo:hi])], names=["doc_id", "ids", "text"])
 
     ids = encoded.select("doc_id", "ids")
     return ids.mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

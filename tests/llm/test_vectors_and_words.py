@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,6 +110,15 @@ def test_decoding_any_ids_equals_the_library(own, library, ids):
     assert own.decode(ids) == library.decode(ids)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 400), st.integers(0, 31999), st.sampled_from([1, 2, 0, 259, 230, 153, 168, 198, 194, 2, 2])), max_size=7), max_size=6))
+def test_decoding_many_equals_one_by_one(own, library, lists):
+    assert own.decode_all(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [library.decode(x) for x in lists]
+    sliced = pa.array([[5, 6], *lists, None], pa.list_(pa.int32()))
+    assert own.decode_all(sliced[1:]).to_pylist() == [*[library.decode(x) for x in lists], None]
+    assert own.decode_all(sliced[1:-1]).to_pylist() == [library.decode(x) for x in lists]
+
+
 def test_every_pair_test_agrees_with_merging(own, library):
     """Compatibility of two pieces is what encoding their concatenation says."""
     rng = random.Random(3)
