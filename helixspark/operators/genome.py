@@ -65,8 +65,8 @@ def breakpoint(points: DataFrame, keys: list[str], x: str, y: str, grid: int = 1
     # the first border at or before a cell lies between it and the last cell that has points
     beyond = every.orderBy(F.desc("cell"))
     c = cells.withColumns({f"s_{k}": F.sum(k).over(every) for k in names} | {f"b_{k}": F.sum(k).over(beyond) for k in names} | {"before": F.coalesce(F.lag("cell").over(every.orderBy("cell")), F.lit(0))})
-    c = c.withColumn("k", F.explode(F.sequence(F.col("before") + 1, F.greatest("cell", F.col("before") + 1)))).where("k <= cell and k >= 1")
-    at = (F.col("hi") - F.col("lo")) * F.col("k") / grid
+    c = c.withColumn("__border", F.explode(F.sequence(F.col("before") + 1, F.greatest("cell", F.col("before") + 1)))).where("__border <= cell")
+    at = (F.col("hi") - F.col("lo")) * F.col("__border") / grid
     b = lambda k: F.col("b_" + k)
     c = c.withColumn("at", at).withColumns({"s_z": b("u") - F.col("at") * b("n"), "s_zz": b("uu") - 2 * F.col("at") * b("u") + F.col("at") * F.col("at") * b("n"), "s_uz": b("uu") - F.col("at") * b("u"), "s_zv": b("uv") - F.col("at") * b("v")})
     dev = lambda p, q: F.col("s_" + p + q) - F.col("s_" + p) * F.col("s_" + q) / F.col("s_n")
