@@ -152,7 +152,7 @@ def molecular_weight(seq: Column, gravity: float = 9.81, unit: str = "gram") ->
 def isoelectric_point(seq: Column, steps: int = 14, newton: int = 4) -> Column:
     """The pH at which the net charge is zero: bisection on the charge, which falls with pH, and then Newton's steps within
     the bracket, which double the digits each time."""
-    clean = F.translate(seq, "*", "")
+    clean = F.replace(seq, F.lit("*"), F.lit(""))
     first, last = F.substring(clean, 1, 1), F.substring(clean, -1, 1)
     n_term, c_term = F.lit(K.PK_N_TERM), F.lit(K.PK_C_TERM)
     for aa, pk in K.PK_N_SPECIAL.items():

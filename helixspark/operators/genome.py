@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark import constants as K
 from helixspark.functions import sequence as S
 from helixspark.operators.ordered import running
 
@@ -169,11 +173,26 @@ def mark_tests(df: DataFrame, keys: list[str], order: list[str], mark: Column) -
 
 def window_codons(df: DataFrame, keys: list[str], size: int = 90, shift: int = 30, seq: str = "seq") -> DataFrame:
     """keys, frame, start, codon, n: codon counts in windows of size, moved by shift, in the three frames of the
-    strand given. Windows that would pass the end are left out."""
-    windows = F.array(*[F.struct(F.lit(k).alias("frame"), S.kmers(F.col(seq), size, k, shift).alias("ws")) for k in range(3)])
-    rows = df.select(*keys, F.explode(windows).alias("f")).select(*keys, F.col("f.frame").alias("frame"), F.posexplode("f.ws").alias("k", "w"))
-    rows = rows.select(*keys, "frame", (F.col("k") * shift + F.col("frame") + 1).alias("start"), F.explode(S.splitseq(F.col("w"))).alias("codon"))
-    return rows.where("codon rlike '^[acgt]{3}$'").groupBy(*keys, "frame", "start", "codon").agg(F.count("*").alias("n"))
+    strand given. Windows that would pass the end are left out. Steps between windows are counted once and added up; nothing is shuffled."""
+    from helixspark.operators.recstat import letters, window_chunks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                codes = letters(text, "F") if text and len(text) >= size else ()
+                for frame in range(3) if len(codes) else ():
+                    for first, counts in window_chunks(codes, frame, size, shift):
+                        whole = counts[: max(0, (len(codes) - size - frame) // shift + 1 - first)]
+                        at, codon = np.nonzero(whole)
+                        own = [b.column(i).take(pa.array(np.full(len(at), row))) for i in range(len(keys))]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(at), frame, "i4")), pa.array((frame + 1 + (first + at) * shift).astype("i4")), pa.array(codon.astype("i4")), pa.array(whole[at, codon].astype("i8"))], names=[*keys, "frame", "start", "codon", "n"])
+
+    source = df.select(*keys, seq)
+    kinds = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+    rows = source.mapInArrow(run, f"{kinds}, frame int, start int, codon int, n bigint")
+    words = F.array(*[F.lit(w) for w in K.words(3)])
+    out = rows.select(*keys, "frame", "start", F.get(words, F.col("codon")).alias("codon"), "n")
+    return out.groupBy(*keys, "frame", "start", "codon").agg(F.sum("n").alias("n"))
 
 
 def stop_segments(df: DataFrame, keys: list[str], stops: tuple[str, ...] = ("taa", "tag", "tga"), seq: str = "seq") -> DataFrame:
