@@ -53,6 +53,29 @@ CLASSES = {
     "Tiny": "ACGST", "Small": "ABCDGNPSTV", "Aliphatic": "AILV", "Aromatic": "FHWY", "Non.polar": "ACFGILMPVWY", "Polar": "DEHKNQRSTZ",
     "Charged": "BDEHKRZ", "Basic": "HKR", "Acidic": "BDEZ",
 }
+# Likelihoods of amino-acid replacements by which paths between codons are weighed (Li, Wu and Luo 1985); each row holds
+# those of its amino acid with all that follow it in the order FWYHMLIVPCAGTSQNKRED.
+REPLACEMENTS = {
+    "F": [0.382, 0.382, 0.343, 0.382, 0.382, 0.382, 0.382, 0.128, 0.040, 0.128, 0.040, 0.128, 0.040, 0.128, 0.040, 0.128, 0.343, 0.128, 0.040],
+    "W": [0.382, 0.128, 0.343, 0.343, 0.343, 0.343, 0.128, 0.040, 0.128, 0.040, 0.128, 0.040, 0.128, 0.040, 0.128, 0.128, 0.040, 0.040],
+    "Y": [0.343, 0.382, 0.382, 0.382, 0.343, 0.128, 0.040, 0.128, 0.128, 0.343, 0.128, 0.343, 0.128, 0.343, 0.343, 0.128, 0.040],
+    "H": [0.343, 0.343, 0.343, 0.343, 0.343, 0.040, 0.343, 0.343, 0.382, 0.343, 0.382, 0.343, 0.382, 0.382, 0.382, 0.343],
+    "M": [0.382, 0.382, 0.382, 0.343, 0.040, 0.343, 0.128, 0.343, 0.128, 0.128, 0.128, 0.343, 0.343, 0.128, 0.040],
+    "L": [0.382, 0.382, 0.343, 0.040, 0.343, 0.128, 0.343, 0.128, 0.128, 0.040, 0.128, 0.128, 0.128, 0.040],
+    "I": [0.382, 0.343, 0.040, 0.343, 0.128, 0.343, 0.128, 0.128, 0.128, 0.128, 0.343, 0.128, 0.040],
+    "V": [0.343, 0.040, 0.343, 0.128, 0.343, 0.128, 0.343, 0.128, 0.343, 0.343, 0.128, 0.040],
+    "P": [0.040, 0.382, 0.382, 0.382, 0.343, 0.343, 0.343, 0.128, 0.128, 0.343, 0.128],
+    "C": [0.040, 0.040, 0.128, 0.128, 0.040, 0.128, 0.040, 0.040, 0.040, 0.040],
+    "A": [0.343, 0.343, 0.343, 0.343, 0.128, 0.128, 0.128, 0.128, 0.128],
+    "G": [0.343, 0.343, 0.343, 0.343, 0.128, 0.128, 0.343, 0.343],
+    "T": [0.343, 0.382, 0.343, 0.343, 0.343, 0.343, 0.343],
+    "S": [0.343, 0.382, 0.128, 0.128, 0.343, 0.343],
+    "Q": [0.382, 0.343, 0.382, 0.382, 0.343],
+    "N": [0.343, 0.343, 0.382, 0.382],
+    "K": [0.382, 0.343, 0.128],
+    "R": [0.343, 0.343],
+    "E": [0.382],
+}
 # Escapes of text for typesetting, in one pass over the characters.
 ESCAPES = {"\\": "\\textbackslash{}", "{": "\\{", "}": "\\}", "$": "\\$", "^": "\\^{}", "_": "\\_", "%": "\\%", "#": "\\#", "&": "\\&", "~": "\\~{}", "[": "\\[", "]": "\\]", "|": "\\textbar{}"}
 
@@ -64,6 +87,15 @@ def code(numcode: int = 1) -> dict[str, str]:
     return {"".join(c): aa for c, aa in zip(product(CODE_ORDER, repeat=3), CODES[numcode])}
 
 
+def replacement(a: str, b: str) -> float:
+    """Likelihood of one amino acid in place of another; 1 for the same, the least of all for stops."""
+    if "*" in (a, b):
+        return min(min(r) for r in REPLACEMENTS.values())
+    order = "FWYHMLIVPCAGTSQNKRED"
+    i, j = sorted((order.index(a), order.index(b)))
+    return 1.0 if i == j else REPLACEMENTS[order[i]][j - i - 1]
+
+
 def words(length: int = 3, alphabet: str = BASES) -> list[str]:
     """All words of a length, the first letter varying slowest."""
     return ["".join(w) for w in product(alphabet, repeat=length)]

@@ -381,23 +381,28 @@ def consensus_iupac(spark, d):
     return A.consensus_string(A.consensus(aligned(spark, d), "IUPAC"))
 
 
-PAIR = f"""{ALN}, p AS (SELECT a.aln, a.idx AS i, b.idx AS j, a.seq AS a, b.seq AS b FROM al a JOIN al b ON a.aln = b.aln AND a.idx < b.idx)"""
+FAMILY = f"""{DNA}, g AS (SELECT doc_id // 8 AS aln, max(length(seq)) AS n FROM dna GROUP BY ALL), al AS (SELECT g.aln, doc_id AS idx, rpad(seq, CAST(n AS INT), '-') AS seq FROM dna JOIN g ON g.aln = doc_id // 8)"""
+PAIR = f"""{FAMILY}, p AS (SELECT a.aln, a.idx AS i, b.idx AS j, a.seq AS a, b.seq AS b FROM al a JOIN al b ON a.aln = b.aln AND a.idx < b.idx)"""
+
+
+def families(spark, d):
+    """Alignments of eight documents at most, so that pairs grow with the table and not with its square."""
+    return A.padded(dna(spark, d).withColumn("g", F.floor(F.col("doc_id") / 8)), "g", "doc_id", "seq")
 
 
 @query(f"""WITH {PAIR}, s AS (SELECT aln, i, j, list_transform(range(1, length(a) + 1), lambda k: CASE WHEN substr(a, k, 1) = '-' OR substr(b, k, 1) = '-' THEN 2 WHEN substr(a, k, 1) <> substr(b, k, 1) THEN 1 ELSE 0 END) AS s FROM p),
 c AS (SELECT aln, i, j, CAST(len(list_filter(s, lambda x: x = 1)) AS BIGINT) AS diff, CAST(len(list_filter(s, lambda x: x < 2)) AS BIGINT) AS bases FROM s)
 SELECT aln, i, j, diff, bases, round(sqrt(CAST(diff AS DOUBLE) / nullif(bases, 0)), 6) AS dist FROM c""")
 def dist_identity(spark, d):
-    return A.distances(aligned(spark, d)).withColumn("dist", r6(F.col("dist")))
+    return A.distances(families(spark, d)).withColumn("dist", r6(F.col("dist")))
 
 
-@query(f"""WITH {PROT}, g AS (SELECT lang || '/' || length(seq) AS aln, max(length(seq)) AS n FROM prot GROUP BY ALL), al AS (SELECT lang || '/' || length(seq) AS aln, doc_id AS idx,
- translate(seq, 'DEKRHNQSTILVFWYCMAGP', '00000000011111111223') AS seq FROM prot WHERE length(seq) > 0),
-p AS (SELECT a.aln, a.idx AS i, b.idx AS j, a.seq AS a, b.seq AS b FROM al a JOIN al b ON a.aln = b.aln AND a.idx < b.idx),
-c AS (SELECT aln, i, j, CAST(len(list_filter(range(1, length(a) + 1), lambda k: substr(a, k, 1) <> substr(b, k, 1))) AS BIGINT) AS diff, CAST(length(a) AS BIGINT) AS bases FROM p)
+@query(f"""WITH {PROT}, g AS (SELECT doc_id // 8 AS aln, max(length(seq)) AS n FROM prot GROUP BY ALL), al AS (SELECT g.aln, doc_id AS idx, translate(rpad(seq, CAST(n AS INT), '-'), 'DEKRHNQSTILVFWYCMAGP', '00000000011111111223') AS seq FROM prot JOIN g ON g.aln = doc_id // 8),
+p AS (SELECT a.aln, a.idx AS i, b.idx AS j, string_split(a.seq, '') AS a, string_split(b.seq, '') AS b FROM al a JOIN al b ON a.aln = b.aln AND a.idx < b.idx),
+c AS (SELECT aln, i, j, CAST(len(list_filter(range(1, len(a) + 1), lambda k: a[k] <> b[k] AND a[k] <> '-' AND b[k] <> '-')) AS BIGINT) AS diff, CAST(len(list_filter(range(1, len(a) + 1), lambda k: a[k] <> '-' AND b[k] <> '-')) AS BIGINT) AS bases FROM p)
 SELECT aln, i, j, diff, bases, round(sqrt(CAST(diff AS DOUBLE) / nullif(bases, 0)), 6) AS dist FROM c""")
 def dist_similarity(spark, d):
-    rows = protein(spark, d).where("length(seq) > 0").select(F.concat_ws("/", "lang", F.length("seq")).alias("aln"), F.col("doc_id").alias("idx"), "seq")
+    rows = A.padded(protein(spark, d).withColumn("g", F.floor(F.col("doc_id") / 8)), "g", "doc_id", "seq")
     return A.distances(rows, "similarity").withColumn("dist", r6(F.col("dist")))
 
 
@@ -405,17 +410,18 @@ def _kaks_sql() -> str:
     rows = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}" for v in r) + ")" for r in A.codon_pair_table())
     names = ["l0", "l2", "l4", "s0", "s2", "s4", "v0", "v2", "v4"]
     per = ", ".join(f"CASE WHEN 1 - 2 * s{d} / nullif(l{d}, 0) - v{d} / nullif(l{d}, 0) > 1e-9 THEN 1 / (1 - 2 * s{d} / nullif(l{d}, 0) - v{d} / nullif(l{d}, 0)) END AS x{d}, CASE WHEN 1 - 2 * v{d} / nullif(l{d}, 0) > 1e-9 THEN 1 / (1 - 2 * v{d} / nullif(l{d}, 0)) END AS y{d}" for d in "024")
-    logs = ", ".join(f"CASE WHEN ln(y{d}) / 2 >= 0 THEN ln(y{d}) / 2 ELSE 10 END AS b{d}, CASE WHEN ln(x{d}) / 2 - ln(y{d}) / 4 >= 0 THEN ln(x{d}) / 2 - ln(y{d}) / 4 ELSE 10 END AS a{d}" for d in "024")
-    cap = lambda e, n: f"round(CASE WHEN {e} >= 9.999999 THEN 9.999999 ELSE {e} END, 5) AS {n}"
+    logs = ", ".join(f"ln(y{d}) / 2 AS b{d}, ln(x{d}) / 2 - ln(y{d}) / 4 AS a{d}" for d in "024")
+    cap = lambda e, n: f"round(coalesce({e}, 9.999999), 5) AS {n}"
     ks, ka = "((l2 * a2 + l4 * a4) / nullif(l2 + l4, 0) + b4)", "(a0 + (l0 * b0 + l2 * b2) / nullif(l0 + l2, 0))"
-    return f"""WITH {PAIR}, dim(x, y, {', '.join(names)}) AS (VALUES {rows}), k AS (SELECT aln, i, j, unnest(list_transform(range(1, length(a) - 1, 3), lambda k: struct_pack(x := substr(a, k, 3), y := substr(b, k, 3)))) AS c FROM p),
-n AS (SELECT aln, i, j, c.x AS x, c.y AS y, count(*) AS n FROM k GROUP BY ALL), s AS (SELECT aln, i, j, {', '.join(f'sum(n * CAST({v} AS DOUBLE)) AS {v}' for v in names)} FROM n JOIN dim USING (x, y) GROUP BY ALL),
-q AS (SELECT *, {per} FROM s), z AS (SELECT *, {logs} FROM q) SELECT aln, i, j, {cap(ka, 'ka')}, {cap(ks, 'ks')} FROM z"""
+    return f"""WITH {FAMILY}, dim(x, y, {', '.join(names)}) AS (VALUES {rows}), c AS (SELECT aln, idx, k, substr(seq, k, 3) AS c FROM (SELECT *, unnest(range(1, length(seq) - 1, 3)) AS k FROM al)),
+odd AS (SELECT DISTINCT aln, k FROM c WHERE contains(c, '-')), ok AS (SELECT c.* FROM c ANTI JOIN odd ON odd.aln = c.aln AND odd.k = c.k), n AS (SELECT a.aln, a.idx AS i, b.idx AS j, a.c AS x, b.c AS y, count(*) AS n FROM ok a JOIN ok b ON a.aln = b.aln AND a.k = b.k AND a.idx < b.idx GROUP BY ALL),
+s AS (SELECT aln, i, j, {', '.join(f'sum(n * CAST({v} AS DOUBLE)) AS {v}' for v in names)} FROM n JOIN dim USING (x, y) GROUP BY ALL), e AS (SELECT a.aln, a.idx AS i, b.idx AS j FROM al a JOIN al b ON a.aln = b.aln AND a.idx < b.idx),
+f AS (SELECT e.*, {', '.join(names)} FROM e LEFT JOIN s ON s.aln = e.aln AND s.i = e.i AND s.j = e.j), q AS (SELECT *, {per} FROM f), z AS (SELECT *, {logs} FROM q) SELECT aln, i, j, {cap(ka, 'ka')}, {cap(ks, 'ks')} FROM z"""
 
 
 @query(_kaks_sql())
 def kaks_pairs(spark, d):
-    return A.kaks(aligned(spark, d)).select("aln", "i", "j", F.round("ka", 5).alias("ka"), F.round("ks", 5).alias("ks"))
+    return A.kaks(families(spark, d)).select("aln", "i", "j", F.round("ka", 5).alias("ka"), F.round("ks", 5).alias("ks"))
 
 
 @query(f"""WITH {DNA}, m AS (SELECT item_id, lower(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq FROM benchmark),

@@ -3,9 +3,11 @@
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixspark import constants as K
 from helixspark.operators import alignment as A
 from helixspark.operators import codon as C
 from helixspark.operators import composition as P
@@ -68,7 +70,32 @@ def test_kaks(spark):
     rows = {(r.i, r.j): r for r in A.kaks(alignment(spark, "atggctaaagattta" * 8, "atggccaaagatctg" * 8, "atggctaaagattta" * 8)).collect()}
     assert rows[0, 2].ka == rows[0, 2].ks == 0 and rows[0, 1].ka == pytest.approx(0, abs=0.02) and rows[0, 1].ks > 0.3
     gaps = A.kaks(alignment(spark, "atg-ct---aaa", "atggctgctaaa")).first()
-    assert gaps.ka == 0
+    assert gaps.ka == 0 and gaps.ks == 9.999999  # no fourfold site is left
+    # out-of-frame gaps: whole codons go, and what is left differs in synonymous places alone
+    one = "ATGTGGTCGAGATATCGAAAGCTAGGGATATCGATTATATATAGCAAGATCGATAGAGGATCGATGATCGATCGGGATCGACAGCTG"
+    two = "AT-TGGTCCAGGTATCGTAAGCTAGGGATATCGATTATATATAGCAAGATCGATAGGGGATCGATGATCGATCGGGA--GACAGCTG"
+    known = A.kaks(alignment(spark, one, two)).first()
+    assert known.ka == pytest.approx(0, abs=1e-12) and 0 < known.ks < 9
+    # every pair of the 64 codons has finite values
+    every = A.kaks(alignment(spark, *K.words(3))).collect()
+    assert len(every) == 64 * 63 // 2 and all(np.isfinite([r.ka, r.ks, r.vka, r.vks]).all() for r in every)
+
+
+def test_codon_pairs():
+    rows = {(r[0], r[1]): r[2:] for r in A.codon_pair_table()}
+    assert len(rows) == 4096 and all(rows[x, y] == pytest.approx(rows[y, x]) for x, y in rows) and all(sum(r[:3]) == pytest.approx(3) for r in rows.values())
+    assert rows["ttt", "ttc"] == pytest.approx((2, 1, 0, 0, 1, 0, 0, 0, 0))
+    assert rows["cga", "aga"] == pytest.approx((1, 1.5, 0.5, 0, 1, 0, 0, 0, 0))  # a synonymous transversion counts as a transition
+    assert rows["ata", "atg"] == pytest.approx((2.5, 0.5, 0, 0.5, 0, 0, 0, 0.5, 0))  # a transition that changes the residue, at a twofold site
+    # two changes: ctt to ttg by ctg (L to L) or by ttt (L to F), the ways weighed by replacements
+    a, b = 1.0 * 1.0, K.replacement("L", "F") * K.replacement("F", "L")
+    w = a / (a + b)
+    first = {"ctt": 0, "ctg": 2, "ttt": 0, "ttg": 2}
+    step = lambda x, y: [first[x], first[y]]
+    zero = sum((w if "ctg" in p else 1 - w) / 2 for p in (("ctg", "ttg"), ("ctt", "ttt")) for d in step(*p) if d == 0)
+    third = {"ctt": 4, "ctg": 4, "ttt": 2, "ttg": 2}
+    assert rows["ctt", "ttg"][0] == pytest.approx(1 + zero)
+    assert rows["ctt", "ttg"][2] == pytest.approx(w + 0 * third["ctt"])
 
 
 def test_reverse_align(spark):
