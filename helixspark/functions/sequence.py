@@ -214,3 +214,12 @@ def best_site(seq: Column, primer: str, most: int = 3) -> Column:
     miss = lambda w: sum(((F.substring(w, k + 1, 1) != c).cast("int") for k, c in enumerate(letters)), F.lit(0))
     sites = F.transform(kmers(seq, len(primer)), lambda w, i: F.struct(miss(w).alias("mismatches"), (i + 1).alias("pos")))
     return F.array_min(F.filter(sites, lambda s: s["mismatches"] <= most))
+
+
+def amplified(seq: Column, first: str, second: str, forward: bool = True, most: int = 3) -> Column:
+    """struct<length, pos_first, pos_second> of the fragment between two primers' best sites, the later one's length included; on the
+    other strand their reverse complements are looked for. Null if either has more than most mismatches."""
+    turned = lambda p: p if forward else p.translate(str.maketrans(*K.COMPLEMENT))[::-1]
+    a, b = (best_site(seq, turned(p.lower()), most)["pos"] for p in (first, second))
+    length = F.abs(b - a) + len(second if forward else first)
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(length.alias("length"), a.alias("pos_first"), b.alias("pos_second")))

@@ -25,6 +25,16 @@ def usage(df: DataFrame, keys: list[str], frame: int = 0, seq: str = "seq") -> D
     return out.join(sizes, keys).select(*keys, "codon", "aa", F.col("n").alias("eff"), F.try_divide(F.col("n").cast("double"), F.col("whole")).alias("freq"), "rscu")
 
 
+def usage_ranks(used: DataFrame, keys: list[str], value: str = "eff") -> DataFrame:
+    """used (keys, codon, aa, value) with the amino acid's total, its place among the amino acids by total (the smallest first) and the codon's
+    place among its amino acid's by value; equal values share the first place."""
+    within = Window.partitionBy(*keys, "aa")
+    rows = used.withColumns({"total": F.sum(value).over(within), "place": F.rank().over(within.orderBy(value))})
+    totals = rows.groupBy(*keys, "aa", "total").agg(F.count("*").alias("codons"))
+    ranked = totals.withColumn("aa_place", F.rank().over(Window.partitionBy(*keys).orderBy("total"))).select(*keys, "aa", "aa_place")
+    return rows.join(ranked, [*keys, "aa"])
+
+
 def weights(counts: DataFrame, numcode: int = 1) -> DataFrame:
     """codon, w from (codon, n): a codon's count over the largest of its amino acid. At most 64 rows."""
     within = Window.partitionBy("aa")

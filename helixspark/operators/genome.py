@@ -28,16 +28,74 @@ def codon_skews(cds: DataFrame, seq: str = "seq") -> DataFrame:
     return cds.withColumn("__third", third).withColumns({"x": n("t") - n("a"), "y": n("c") - n("g")}).drop("__third")
 
 
-def origin_walk(cds: DataFrame, keys: list[str], order: str, seq: str = "seq") -> DataFrame:
-    """keys, order, x, y, skew: cumulated third-position skews of a genome's coding sequences in their order,
-    projected on the main axis through zero; its sign follows y. The axis comes from three sums a key."""
-    w = running(codon_skews(cds, seq).select(*keys, order, "x", "y"), keys, [order], {"cx": F.col("x"), "cy": F.col("y")})
-    w = w.select(*keys, order, F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
+def projected_walk(walk: DataFrame, keys: list[str], order: str, kept: list[str] | None = None) -> DataFrame:
+    """walk (keys, order, x, y: cumulated) with skew: its points projected on the main axis through zero; the sign follows y. The axis
+    comes from three sums a key."""
+    w = walk.select(*keys, order, *(kept or []), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     m = w.groupBy(*keys).agg(F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("x") * F.col("y")).alias("xy"))
     angle = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
     p = w.join(m.select(*keys, F.cos(angle).alias("ux"), F.sin(angle).alias("uy")), keys).withColumn("skew", F.col("x") * F.col("ux") + F.col("y") * F.col("uy"))
     sign = p.groupBy(*keys).agg(F.when(F.covar_pop("skew", "y") < 0, -1.0).otherwise(1.0).alias("sign"))
-    return p.join(sign, keys).select(*keys, order, "x", "y", (F.col("skew") * F.col("sign")).alias("skew"))
+    return p.join(sign, keys).select(*keys, order, *(kept or []), "x", "y", (F.col("skew") * F.col("sign")).alias("skew"))
+
+
+def origin_walk(cds: DataFrame, keys: list[str], order: str, seq: str = "seq") -> DataFrame:
+    """keys, order, x, y, skew: cumulated third-position skews of a genome's coding sequences in their order, projected."""
+    steps = codon_skews(cds, seq).select(*keys, order, F.col("x").alias("dx"), F.col("y").alias("dy"))
+    return projected_walk(running(steps, keys, [order], {"x": F.col("dx"), "y": F.col("dy")}), keys, order)
+
+
+def gene_skews(genomes: DataFrame, genes: DataFrame, key: str, seq: str = "seq", rotation: int = 0) -> DataFrame:
+    """key, gene, place, excess, x, y of genes (key, gene, start, end) of circular genomes (key, seq): the middle in kb, 1 on the strand given and -1 on the
+    other (end before start), and t - a and c - g of the third codon positions, both read on the strand given.
+
+    A gene whose ends lie more than half a genome apart wraps around: it runs on past the last base. With rotation the genome begins that
+    many bases later. A genome is read once for all its genes: sums along each of three phases give any gene's counts by
+    subtraction. Genes that reach beyond their genome are null in x and y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, (text, own) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                codes = np.frombuffer((text or "").lower().encode("latin-1", "replace"), np.uint8)
+                n, turn = len(codes), rotation % max(1, len(codes))
+                codes = np.concatenate([codes[turn:], codes[:turn]])
+                twice = np.concatenate([codes, codes])
+                sums = []
+                for plus, minus in (b"ta", b"cg"):
+                    v = (twice == plus).astype(np.int32) - (twice == minus)
+                    c = np.zeros(len(v) + 3, np.int32)  # of v at i, i - 3, i - 6, ...
+                    for phase in range(3):
+                        c[3 + phase :: 3] = np.cumsum(v[phase::3])
+                    sums.append(c)
+                start, end = (np.array([g[k] for g in own], np.int64) - rotation for k in ("start", "end"))
+                start, end = np.where(start < 1, start + n, start), np.where(end < 1, end + n, end)
+                good = (start >= 1) & (start <= n) & (end >= 1) & (end <= n)
+                wraps = np.abs(end - start) > n / 2
+                direct = np.where(wraps, start > end, start < end)
+                # third positions from first up to last, in steps of 3, in the doubled genome
+                first = np.where(direct, start + 2, 0)
+                last = np.where(direct, np.where(wraps, end + n, end), np.where(wraps, start + n, start) - 2)
+                low = np.where(direct, first, np.where(wraps, end, end))
+                steps = np.where(direct, (last - first) // 3, (last - low) // 3)
+                top = np.where(direct, first + 3 * steps, last)
+                bottom = np.where(direct, first, last - 3 * steps)
+                some = good & (steps >= 0) & (top <= 2 * n)
+                t, u = np.where(some, top + 2, 0), np.where(some, bottom - 1, 0)
+                x, y = (np.where(some, c[t] - c[u], 0) for c in sums) if n else (np.zeros(len(own), int),) * 2
+                cols = [b.column(0).take(pa.array(np.full(len(own), row))), pa.array([g["gene"] for g in own], pa.int64()), pa.array((start + end) / 2000), pa.array(np.where(direct, 1, -1)), pa.array(x, pa.int64(), mask=~good), pa.array(y, pa.int64(), mask=~good)]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "gene", "place", "excess", "x", "y"])
+
+    sets = genes.groupBy(key).agg(F.collect_list(F.struct(F.col("gene").cast("bigint").alias("gene"), "start", "end")).alias("genes"))
+    source = genomes.select(key, seq).join(sets, key)
+    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, gene bigint, place double, excess bigint, x bigint, y bigint")
+
+
+def genome_walk(genomes: DataFrame, genes: DataFrame, key: str, seq: str = "seq", rotation: int = 0) -> DataFrame:
+    """key, place, gene, excess, x, y, skew: ``gene_skews`` cumulated by genes' middles and projected."""
+    steps = gene_skews(genomes, genes, key, seq, rotation)
+    moved = steps.select(key, "place", "gene", F.col("excess").alias("de"), F.coalesce("x", F.lit(0)).alias("dx"), F.coalesce("y", F.lit(0)).alias("dy"))
+    walk = running(moved, [key], ["place", "gene"], {"x": F.col("dx"), "y": F.col("dy"), "excess": F.col("de")})
+    return projected_walk(walk, [key], "place", ["gene", "excess"])
 
 
 def rearranged(cds: DataFrame, keys: list[str], order: str, strand: str, seq: str = "seq") -> DataFrame:

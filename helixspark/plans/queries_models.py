@@ -119,3 +119,75 @@ def lateral_words(spark, d):
     functions_sql.register(spark)
     dna(spark, d).createOrReplaceTempView("helix_dna")
     return spark.sql("SELECT lang, w.word, count(*) AS n FROM helix_dna, LATERAL seq_words(seq, 2) w WHERE lang IS NOT NULL GROUP BY lang, w.word")
+
+
+PRIMERS = ("gattac", "catgca")
+
+
+def _site_sql(name: str, primer: str) -> str:
+    miss = " + ".join(f"CAST(substr(seq, i + {k}, 1) <> '{c}' AS INT)" for k, c in enumerate(primer))
+    return f"""{name}w AS (SELECT doc_id, i, {miss} AS miss FROM (SELECT doc_id, seq, unnest(range(1, greatest(length(seq) - {len(primer) - 2}, 1))) AS i FROM dna)),
+{name} AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY miss, i) AS r FROM {name}w) WHERE r = 1 AND miss <= 2)"""
+
+
+@query(f"""WITH {DNA}, {_site_sql('p', 'gtaatc')}, {_site_sql('q', 'tgcatg')} SELECT p.doc_id, CAST(abs(q.i - p.i) + 6 AS BIGINT) AS length, p.i AS pos_first, q.i AS pos_second FROM p JOIN q USING (doc_id)""")
+def primer_fragments(spark, d):
+    """Fragments between two primers of the other strand, two mismatches allowed in each."""
+    found = dna(spark, d).select("doc_id", S.amplified(F.col("seq"), *PRIMERS, forward=False, most=2).alias("f")).where("f is not null")
+    return found.select("doc_id", *[F.col(f"f.{c}").cast("bigint").alias(c) for c in ("length", "pos_first", "pos_second")])
+
+
+@query(f"""WITH {DNA}, {CODE}, k AS (SELECT lang, word AS codon, count(*) AS n FROM {sql_words(3, 3)} GROUP BY ALL), u AS (SELECT l.lang, codon, aa, coalesce(k.n, 0) AS eff FROM (SELECT DISTINCT lang FROM dna) l CROSS JOIN code LEFT JOIN k USING (lang, codon)),
+t AS (SELECT lang, aa, CAST(sum(eff) AS BIGINT) AS total FROM u GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY total) AS aa_place FROM t)
+SELECT u.lang, u.aa, codon, eff, total, aa_place, rank() OVER (PARTITION BY u.lang, u.aa ORDER BY eff) AS place FROM u JOIN r USING (lang, aa)""")
+def usage_ranks(spark, d):
+    """Codons by use inside their amino acid, and amino acids by use."""
+    out = C.usage_ranks(C.usage(dna(spark, d), ["lang"]).select("lang", "codon", "aa", "eff"), ["lang"])
+    return out.select("lang", "aa", "codon", "eff", "total", *[F.col(c).cast("bigint").alias(c) for c in ("aa_place", "place")])
+
+
+@query("""WITH m AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, CAST(sum(length(o_orderpriority)) AS BIGINT) AS r FROM orders GROUP BY ALL)
+SELECT CAST(y * 100 + m AS DOUBLE) AS release, lpad(CAST(m AS VARCHAR), 2, '0') || '/' || y AS month, CAST(n AS DOUBLE) AS entries, CAST(r AS DOUBLE) AS nucleotides, round((m - 1) / 12.0::DOUBLE + y, 8) AS date FROM m""")
+def growth_read_back(spark, d):
+    """Orders by month written as release notes, and their table read back."""
+    from helixspark.sources.fasta import read_growth
+    from helixspark.sources.shared import new_path
+
+    o = t(spark, d, "orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(F.count("*").alias("n"), F.sum(F.length("o_orderpriority")).alias("r"))
+    line = F.concat_ws("   ", F.col("y") * 100 + F.col("m"), F.concat(F.lpad(F.col("m").cast("string"), 2, "0"), F.lit("/"), "y"), "n", "r")
+    path = new_path(spark, "notes")
+    notes = o.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t")).select(F.concat(F.lit("Notes\n\n   Release  Month  Entries  Nucleotides\n\n"), "t"))  # a line for each month
+    notes.write.text(path)
+    return read_growth(spark, path).withColumn("date", F.round("date", 8))
+
+
+GENOME = f"""WITH {DNA}, g AS (SELECT doc_id, length(seq) AS n, lower(substr(seq, 5) || left(seq, 4)) AS seq, seq AS was FROM dna WHERE length(seq) >= 80),
+c AS (SELECT doc_id, n, seq, unnest([{{'gene': 1, 's': 11, 'e': 40}}, {{'gene': 2, 's': n, 'e': n - 22}}, {{'gene': 3, 's': n - 9, 'e': 18}}, {{'gene': 4, 's': 14, 'e': n - 7}}, {{'gene': 5, 's': 50 + doc_id % 9, 'e': 30}}]) AS c FROM g),
+r AS (SELECT doc_id, n, seq, c.gene AS gene, CASE WHEN c.s - 4 < 1 THEN c.s - 4 + n ELSE c.s - 4 END AS s, CASE WHEN c.e - 4 < 1 THEN c.e - 4 + n ELSE c.e - 4 END AS e FROM c),
+w AS (SELECT *, abs(e - s) > n / 2.0 AS wraps FROM r), d AS (SELECT *, CASE WHEN wraps THEN s > e ELSE s < e END AS direct FROM w),
+p AS (SELECT doc_id, gene, n, seq, s, e, direct, unnest(CASE WHEN direct THEN range(s + 2, CASE WHEN wraps THEN n + e ELSE e END + 1, 3) ELSE range(s - 2, CASE WHEN wraps THEN e - n ELSE e END - 1, -3) END) AS i FROM d),
+l AS (SELECT doc_id, gene, substr(seq, CASE WHEN i > n THEN i - n WHEN i < 1 THEN i + n ELSE i END, 1) AS b FROM p),
+k AS (SELECT doc_id, gene, count_if(b = 't') - count_if(b = 'a') AS x, count_if(b = 'c') - count_if(b = 'g') AS y FROM l GROUP BY ALL)
+SELECT d.doc_id, CAST(d.gene AS BIGINT) AS gene, (s + e) / 2000.0::DOUBLE AS place, CAST(CASE WHEN direct THEN 1 ELSE -1 END AS BIGINT) AS excess, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM d JOIN k USING (doc_id, gene)"""
+
+
+def _genome(spark, d):
+    seqs = dna(spark, d).where("length(seq) >= 80").select("doc_id", "seq")
+    n = F.length("seq")
+    ends = {1: (F.lit(11), F.lit(40)), 2: (n, n - 22), 3: (n - 9, F.lit(18)), 4: (F.lit(14), n - 7), 5: (50 + F.col("doc_id") % 9, F.lit(30))}
+    cells = F.array(*[F.struct(F.lit(k).alias("gene"), a.cast("bigint").alias("start"), b.cast("bigint").alias("end")) for k, (a, b) in ends.items()])
+    return seqs, seqs.select("doc_id", F.explode(cells).alias("g")).select("doc_id", "g.gene", "g.start", "g.end")
+
+
+@query(GENOME)
+def gene_skews(spark, d):
+    """Third positions of genes on both strands of circular genomes, some around the origin, which is moved by four bases."""
+    return G.gene_skews(*_genome(spark, d), "doc_id", rotation=4)
+
+
+@query(f"""WITH s AS ({GENOME}), c AS (SELECT doc_id, place, gene, CAST(sum(excess) OVER w AS BIGINT) AS excess, CAST(sum(x) OVER w AS DOUBLE) AS x, CAST(sum(y) OVER w AS DOUBLE) AS y FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY place, gene ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT doc_id, atan2(2 * sum(x * y), sum(x * x) - sum(y * y)) / 2 AS angle FROM c GROUP BY doc_id), p AS (SELECT c.*, x * cos(angle) + y * sin(angle) AS s FROM c JOIN m USING (doc_id)), g AS (SELECT doc_id, CASE WHEN covar_pop(s, y) < -1e-9 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign FROM p GROUP BY doc_id)
+SELECT doc_id, gene, excess, x, y, round(abs(s), 5) AS skew FROM p JOIN g USING (doc_id)""")
+def genome_walk(spark, d):
+    """The walk over these genes; the projection's size."""
+    return G.genome_walk(*_genome(spark, d), "doc_id", rotation=4).select("doc_id", "gene", "excess", "x", "y", F.round(F.abs("skew"), 5).alias("skew"))

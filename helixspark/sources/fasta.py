@@ -167,3 +167,13 @@ def read_alignment(spark: SparkSession, path: str, form: str, lower: bool = True
 def code_listing(spark: SparkSession, numcode: int = 1) -> DataFrame:
     """The 64 codons of a genetic code in textbook order, a row for each."""
     return spark.createDataFrame([(k + 1, c, aa) for k, (c, aa) in enumerate(code(numcode).items())], "place int, codon string, aa string")
+
+
+def read_growth(spark: SparkSession, path: str) -> DataFrame:
+    """release, month, entries, nucleotides, date (in years) of a bank's release notes: the table that begins two lines after
+    a heading with Release and Month."""
+    lines = file_lines(spark, path)
+    head = F.min(F.when(F.col("line").rlike("Release.+Month"), F.col("no"))).over(Window.partitionBy("path"))
+    rows = lines.withColumn("head", head).where("no >= head + 2").select(F.split(F.trim("line"), r"\s+").alias("t")).where(F.size("t") == 4)
+    month = F.split(F.col("t")[1], "/")
+    return rows.select(F.col("t")[0].try_cast("double").alias("release"), F.col("t")[1].alias("month"), F.col("t")[2].try_cast("double").alias("entries"), F.col("t")[3].try_cast("double").alias("nucleotides"), ((month[0].try_cast("double") - 1) / 12 + month[1].try_cast("double")).alias("date"))

@@ -207,3 +207,42 @@ def test_extraction(spark):
     for bad in (("fragment",), ("region", "1,2"), ("fragment", "1;2"), ("other",)):
         with pytest.raises(ValueError):
             rows(None, *bad)
+
+
+def test_genes_of_circular_genomes(spark, tmp_path):
+    rng = random.Random(4)
+    genome = random_dna(9, 97)
+    genes = [(k, rng.randrange(1, 98), rng.randrange(1, 98)) for k in range(60)] + [(99, 50, 120)]
+    rows = spark.createDataFrame([("g", k, a, b) for k, a, b in genes], "id string, gene int, start int, end int")
+    for turn in (0, 13):
+        turned = genome[turn:] + genome[:turn]
+        got = {r.gene: r for r in G.gene_skews(spark.createDataFrame([("g", genome.upper()), ("none", None)], "id string, seq string"), rows, "id", rotation=turn).collect()}
+        for k, a, b in genes:
+            a, b = (v - turn + (97 if v - turn < 1 else 0) for v in (a, b))
+            wraps = abs(b - a) > 97 / 2
+            direct = a > b if wraps else a < b
+            if max(a, b) > 97:
+                assert got[k].x is None
+                continue
+            at = range(a + 2, (97 + b if wraps else b) + 1, 3) if direct else range(a - 2, (b - 97 if wraps else b) - 1, -3)
+            third = [turned[(i - 1) % 97] for i in at]
+            assert (got[k].x, got[k].y) == (third.count("t") - third.count("a"), third.count("c") - third.count("g")), (turn, k)
+            assert got[k].excess == (1 if direct else -1) and got[k].place == (a + b) / 2000
+    from helixspark.sources.fasta import read_growth
+
+    (tmp_path / "notes.txt").write_text("Text 1 2 3\n  Release   Month  Entries Nucleotides\n\n  1 06/1982  568 585433\n 2.5 04/1983 811 1114447\nend of table\n")
+    assert [tuple(r) for r in read_growth(spark, str(tmp_path / "notes.txt")).orderBy("release").collect()] == [(1.0, "06/1982", 568.0, 585433.0, 5 / 12 + 1982), (2.5, "04/1983", 811.0, 1114447.0, 0.25 + 1983)]
+
+
+def test_ranks_and_primers(spark):
+    from helixspark.functions import sequence as S
+
+    used = spark.createDataFrame([("k", "aaa", "K", 3), ("k", "aag", "K", 3), ("k", "atg", "M", 2), ("k", "ttt", "F", 5), ("k", "ttc", "F", 1)], "key string, codon string, aa string, eff int")
+    got = {r.codon: (r.aa_place, r.place, r.total) for r in C.usage_ranks(used, ["key"]).collect()}
+    assert got == {"atg": (1, 1, 2), "aaa": (2, 1, 6), "aag": (2, 1, 6), "ttt": (2, 2, 6), "ttc": (2, 1, 6)}
+    s = "a" * 20 + "gattaca" + "c" * 30 + "ttgacat" + "g" * 20
+    df = spark.createDataFrame([(s,), ("acgt",), (None,)], "seq string")
+    found = [r.f for r in df.select(S.amplified(F.col("seq"), "gattaca", "ttgacat", most=1).alias("f")).collect()]
+    assert tuple(found[0]) == (44, 21, 58) and found[1:] == [None, None]
+    back = df.select(S.amplified(S.revcomp(F.col("seq")), "gattaca", "ttgacat", False, 1).alias("f")).first().f
+    assert back.length == 44
