@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ weekly post herald press science-today home family culture art theatre local vil
 SECTIONS = "en fr de es about article story posts archive 2023 2024 page item topic category read".split()
 
 
-def training_urls(rows: int = 1600, seed: int = 3) -> list[tuple[str, str, int]]:
+def training_urls(rows: int = 4000, seed: int = 3) -> list[tuple[str, str, int]]:
     """(host, path, blocked): from the words above and, for ordinary sites, names of random syllables too."""
     g = np.random.default_rng(seed)
     syllable = lambda: g.choice("b c d f g h l m n p r s t v w th st tr".split()) + g.choice(list("aeiou")) + g.choice(["", "n", "r", "th", "s", "nd", "ng"])
@@ -58,13 +57,39 @@ def training_urls(rows: int = 1600, seed: int = 3) -> list[tuple[str, str, int]]
     return out
 
 
-def grams(host: str, path: str) -> np.ndarray:
-    """Distinct hashed n-grams; those of host and path are told apart."""
-    out = set()
-    for text, mark in ((f"^{host}$", "h"), (f"{path}$" if path else "", "p")):
+#: Multipliers of an n-gram's code points, and of host and path.
+FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, max(SIZES) + 3)], np.uint64)
+
+
+def gram_rows(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct hashed n-grams of URLs; those of host and path are told apart. All strings are hashed together."""
+    rows, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for mark, texts in enumerate(([f"^{h}$" if h or p else "" for h, p in zip(hosts, paths)], [f"{p}$" if p else "" for p in paths])):
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        owner, left = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
         for n in SIZES:
-            out.update(crc32((mark + text[i : i + n]).encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(text) - n + 1))
-    return np.fromiter(out, np.int64, len(out))
+            if len(codes) >= n:
+                h = FACTORS[-1 - mark] + sum((codes[k : len(codes) - n + 1 + k] * FACTORS[k] for k in range(n)), np.uint64(n))
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+                whole = left[: len(h)] >= n  # the n-gram ends inside its string
+                rows.append(owner[: len(h)][whole])
+                buckets.append(((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[whole])
+    both = np.unique(np.concatenate(rows) * BUCKETS + np.concatenate(buckets))
+    return both // BUCKETS, both % BUCKETS
+
+
+def grams(host: str, path: str) -> np.ndarray:
+    """The buckets of one URL."""
+    return gram_rows([host], [path])[1]
+
+
+def scores(weights: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """The model's scores; 0 for a URL without an n-gram."""
+    rows, buckets = gram_rows(hosts, paths)
+    n = np.bincount(rows, minlength=len(hosts))
+    total = np.bincount(rows, weights[buckets], len(hosts)) / np.sqrt(np.maximum(n, 1))
+    return np.where(n > 0, 1 / (1 + np.exp(-(total + weights[-1]))), 0.0)
 
 
 def fit(rows: list[tuple[str, str, int]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-4, seed: int = 3) -> np.ndarray:
@@ -113,11 +138,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, weights: np.nd
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for hosts, paths in batches:
-            out = []
-            for h, p in zip(hosts.to_pylist(), paths.to_pylist()):
-                f = grams(h, p) if h or p else ()
-                out.append(float(1 / (1 + np.exp(-(model[f].sum() / np.sqrt(len(f)) + model[-1])))) if len(f) else 0.0)
-            yield pa.array(out, pa.float64())
+            yield pa.array(scores(model, hosts.to_pylist(), paths.to_pylist()), pa.float64())
 
     host, path = parted(F.col(f"`{url_col}`"))
     kept = without(pages, *[n for n in ("host", "path", "rule", "score", "verdict") if n != url_col])
