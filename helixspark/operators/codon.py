@@ -44,11 +44,16 @@ def weights(counts: DataFrame, numcode: int = 1) -> DataFrame:
 def cai(df: DataFrame, keys: list[str], w: DataFrame, numcode: int = 1, least: float = 1e-4, instead: float = 0.01, seq: str = "seq") -> DataFrame:
     """keys, cai: the geometric mean of the codons' weights; stops and amino acids with one codon are left out."""
     single = [aa for aa in K.AMINO if K.CODES[numcode].count(aa) == 1]
-    used = w.withColumn("aa", amino_of(F.col("codon"), numcode)).where(~F.col("aa").isin(["*", *single])).select("codon", F.when(F.col("w") < least, instead).otherwise(F.col("w")).alias("w"))
-    counts = count_words(df, keys, 3, 0, 3, seq=seq, zeros=False).withColumnRenamed("word", "codon")
-    # 64 rows at most
-    joined = counts.join(F.broadcast(used), "codon")
-    return joined.groupBy(*keys).agg(F.exp(F.try_divide(F.sum(F.col("n") * F.ln("w")), F.sum("n"))).alias("cai"))
+    used = w.withColumn("aa", amino_of(F.col("codon"), numcode)).where(~F.col("aa").isin(["*", *single])).select("codon", F.ln(F.when(F.col("w") < least, instead).otherwise(F.col("w"))).alias("ln_w"))
+    table = used.agg(F.map_from_entries(F.collect_list(F.struct("codon", "ln_w"))).alias("__m")).select(F.array(*[F.try_element_at("__m", F.lit(c)) for c in K.words(3)]).alias("__ln_w"))
+    # one row of 64 numbers; a sequence is then read once, where it is, and only its sum and number are grouped
+    place = lambda c, i: F.instr(F.lit(K.BASES), F.substring(c, i, 1)) - 1
+    of = lambda c: F.when(c.rlike("^[acgt]{3}$"), F.get("__ln_w", 16 * place(c, 1) + 4 * place(c, 2) + place(c, 3)))
+    known = F.filter(F.transform(S.splitseq(F.lower(F.col(seq))), of), lambda x: x.isNotNull())
+    both = F.element_at(F.transform(F.array(known), lambda xs: F.struct(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x).alias("s"), F.size(xs).alias("n"))), 1)
+    rows = df.where(F.col(seq).isNotNull()).crossJoin(F.broadcast(table)).select(*keys, both.alias("__b"))
+    sums = rows.groupBy(*keys).agg(F.sum("__b.s").alias("__s"), F.sum("__b.n").alias("__n")).where("__n > 0")
+    return sums.select(*keys, F.exp(F.col("__s") / F.col("__n")).alias("cai"))
 
 
 def synonyms(codon: Column, numcode: int = 1) -> Column:
