@@ -148,3 +148,13 @@ def test_range_join_against_brute_force(spark):
     p, i = spark.createDataFrame(points, "k string, at int, p int"), spark.createDataFrame(spans, "k string, low int, high int, i int")
     got = sorted((r.p, r.i) for r in O.range_join(p, i, ["k"], "at", "low", "high", 16).collect())
     assert got == sorted((x, y) for k, at, x in points for kk, lo, hi, y in spans if k == kk and lo <= at <= hi)
+
+
+def test_scratch_is_cleared_by_age(spark):
+    from helixspark.sources.shared import clear_scratch, new_path, written
+
+    df = written(spark.range(3), "kept")
+    path = new_path(spark, "x")
+    spark.range(2).write.parquet(path)
+    assert clear_scratch(spark, 1.0) == 0 and df.count() == 3
+    assert clear_scratch(spark, -1.0) >= 2 and clear_scratch(spark, -1.0) == 0
