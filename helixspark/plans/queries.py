@@ -536,10 +536,25 @@ def kruskal_tests(spark, d):
     return G.kruskal(t(spark, d, "events"), ["user_id"], "event_type", "value").select("user_id", F.round("h", 4).alias("h"), "df")
 
 
-@query()
+def _breakpoint_sql() -> str:
+    dev = lambda p, q: f"(s_{p}{q} - s_{p} * s_{q} / n)"
+    det = f"({dev('u', 'u')} * {dev('z', 'z')} - {dev('u', 'z')} * {dev('u', 'z')})"
+    return f"""WITH {DNA}, w AS (SELECT doc_id, lang, array_to_string(list_transform(range(3, length(seq) + 1, 3), lambda i: substr(seq, i, 1)), '') AS seq FROM dna), n AS (SELECT doc_id, lang, {sql_times('t')} - {sql_times('a')} AS x, {sql_times('c')} - {sql_times('g')} AS y FROM w),
+c AS (SELECT lang, doc_id, CAST(sum(x) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS x, CAST(sum(y) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS y FROM n WHERE lang IS NOT NULL),
+m AS (SELECT lang, atan2(2 * sum(x * y), sum(x * x) - sum(y * y)) / 2 AS angle FROM c GROUP BY lang), p AS (SELECT c.*, x * cos(angle) + y * sin(angle) AS s FROM c JOIN m USING (lang)), g AS (SELECT lang, CASE WHEN covar_pop(s, y) < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign FROM p GROUP BY lang),
+k AS (SELECT lang, CAST(doc_id AS DOUBLE) AS pos, s * sign AS v FROM p JOIN g USING (lang)), l AS (SELECT lang, min(pos) AS lo, max(pos) AS hi FROM k GROUP BY lang),
+z AS (SELECT lang, lo + (hi - lo) * i / 100 AS b, pos - lo AS u, v, greatest(pos - lo - (hi - lo) * i / 100, 0) AS z FROM k JOIN l USING (lang) CROSS JOIN range(1, 100) r(i)),
+s AS (SELECT lang, b, count(*) AS n, sum(u) AS s_u, sum(z) AS s_z, sum(v) AS s_v, sum(u * u) AS s_uu, sum(z * z) AS s_zz, sum(v * v) AS s_vv, sum(u * z) AS s_uz, sum(u * v) AS s_uv, sum(z * v) AS s_zv FROM z GROUP BY lang, b),
+f AS (SELECT lang, b, ({dev('u', 'v')} * {dev('z', 'z')} - {dev('z', 'v')} * {dev('u', 'z')}) / {det} AS a, ({dev('z', 'v')} * {dev('u', 'u')} - {dev('u', 'v')} * {dev('u', 'z')}) / {det} AS c, {dev('v', 'v')} AS vv, {dev('u', 'v')} AS uv, {dev('z', 'v')} AS zv FROM s WHERE {det} > 1e-9),
+r AS (SELECT *, vv - a * uv - c * zv AS rss, row_number() OVER (PARTITION BY lang ORDER BY vv - a * uv - c * zv, b) AS r FROM f)
+SELECT lang, round(b, 4) AS "at", round(a, 4) AS slope_left, round(a + c, 4) AS slope_right, round(rss / 1000, 2) AS rss FROM r WHERE r = 1"""
+
+
+@query(_breakpoint_sql())
 def skew_breakpoints(spark, d):
-    walk = G.origin_walk(dna(spark, d), ["lang"], "doc_id")
-    return G.breakpoint(walk, ["lang"], "doc_id", "skew")
+    walk = G.origin_walk(dna(spark, d).where("lang is not null"), ["lang"], "doc_id")
+    out = G.breakpoint(walk, ["lang"], "doc_id", "skew")
+    return out.select("lang", *[F.round(c, 4).alias(c) for c in ("at", "slope_left", "slope_right")], F.round(F.col("rss") / 1000, 2).alias("rss"))
 
 
 @query()
