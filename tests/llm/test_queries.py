@@ -83,6 +83,16 @@ def test_packing(spark, tables):
         assert at <= 2048
 
 
+def test_packing_refuses_tokenizers_that_join_over_blanks():
+    import public_tokenizers
+
+    from helixspark.llm import packing
+
+    packing.WordIds(packing.default_tokenizer())
+    with pytest.raises(ValueError):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_nearest(spark, tables):
     vectors = {r.vec_id: np.array(r.embedding) for r in spark.read.parquet(f"{tables[0]}/embeddings.parquet").collect()}
     got = run(spark, tables, "op6_nearest")
