@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,11 +42,22 @@ def remembered(name: str, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps under a name from task to task. It keeps one thing: another name's is dropped first, so a
     worker that goes from one operator to the next holds the memory of one."""
     if name not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            give_back()
         _kept[name] = make()
     return _kept[name]
 
 
+def give_back() -> None:
+    """Return memory that this process no longer uses to the system: Arrow's, and the C library's where it has a call for that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges (from, to) of a batch's rows (texts, or lists of 4-byte numbers) that hold about limit bytes each, so that what a worker makes of
     them stays bounded whatever the batch; a row that alone exceeds it is a range of its own."""
