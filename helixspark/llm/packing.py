@@ -32,6 +32,8 @@ CACHE_WORDS = 500_000
 MARKS = ".,;:!?#$%&*"
 #: A text that a tokenizer must give the same ids for in parts as whole.
 PROBE = "Ab cd.\nef GH'ij 12-x, Straße  ok!"
+#: Letters of Latin-1.
+LATIN = "".join(c for c in map(chr, range(256)) if c.isalpha())
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -41,61 +43,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordIds(dict):
     """Ids of text between blanks, as little-endian bytes. This tokenizer never joins ids across white space, so
     a text's ids are those of its blank-separated parts in order. Words met before are remembered.
 
-    New words are encoded together: a run of letters gives ids of which only the last ends a word, so the ids
-    of many such words joined by blanks can be told apart; where that fails each word is encoded alone."""
+    A text of Latin-1 is lowered at once, as the tokenizer would do. A run of Latin-1 letters, which has no other form and is one piece, goes
+    to the tokenizer's model without the steps before it, apart from any marks behind it; other words take all steps."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for piece, k in self.tokenizer.get_vocab().items():
-            self.ends[k] = piece.endswith("</w>")
-        self[""] = b""
-        if self.texts([PROBE])[0] != self.alone(PROBE):
+        self.pieces = self.tokenizer.model.tokenize
+        self.bytes_of = [np.array(k, "<u4").tobytes() for k in range(self.tokenizer.get_vocab_size())]
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {ord(c): level.pre_tokenize_str(c)[0][0] for c in LATIN}
+        probes = [PROBE, LATIN, " ".join(LATIN)]
+        if any(set(t) <= set(LATIN + MARKS + " ") for t in self.added) or self.texts(probes) != [self.alone(t) for t in probes]:
             raise ValueError(f"{path}: only tokenizers that never join ids across white space, and lower their letters, can be used")
 
     def alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self]
-        if len(self) + len(fresh) > CACHE_WORDS:
+    def __missing__(self, word: str) -> bytes:
+        head = word.rstrip(MARKS)
+        low = head.lower()
+        if not head.isalpha() or not low.isalpha():
+            ids = self.alone(word)
+        elif head != word:
+            ids = self[head] + self[word[len(head) :]]
+        elif not latin(head):
+            ids = self.alone(head)
+        elif low != head:
+            ids = self[low]
+        else:
+            ids = b"".join([self.bytes_of[p.id] for p in self.pieces(head if head.isascii() else head.translate(self.spelled))])
+        if len(self) >= CACHE_WORDS:
             self.clear()
-            self[""] = b""
-            fresh = list(words)
-        heads = {w: h for w in fresh if (h := w.rstrip(MARKS)).isalpha() and h.lower().isalpha()}
-        lowered = {h.lower() if h.isascii() else h for h in heads.values()}
-        runs = sorted(h for h in lowered if h not in self)
-        for lo in range(0, len(runs), 1000):
-            some = runs[lo : lo + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(some) and last[-1] == len(ids) - 1:
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(some, (4 * (last + 1)).tolist()):
-                    self[w], at = raw[at:end], end
-            else:
-                for w in some:
-                    self[w] = self.alone(w)
-        for w in fresh:
-            h = heads.get(w)
-            if h is None:
-                self[w] = self.alone(w)
-            elif w not in self:
-                tail = w[len(h) :]
-                if tail not in self:
-                    self[tail] = self.alone(tail)
-                self[w] = self[h.lower() if h.isascii() else h] + self[tail]
+        self[word] = ids
+        return ids
+
+    def lowered(self, text: str) -> str:
+        """The text lowered if that gives the same ids: not if it has other letters, or what lowering makes an added token."""
+        if not latin(text):
+            return text
+        low = text.lower()
+        return text if any(t in low for t in self.added) else low
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [b"".join(map(self.__getitem__, self.lowered(t).replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 def word_ids(path: str) -> WordIds:
