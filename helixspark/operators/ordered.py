@@ -70,3 +70,26 @@ def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str
     cell = lambda c: F.floor(F.col(c) / width)
     covered = intervals.where(F.col(low) <= F.col(high)).withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
     return points.withColumn("__cell", cell(at)).join(covered, [*keys, "__cell"]).where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("__cell")
+
+
+def range_totals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: str, high: str, least: str) -> DataFrame:
+    """keys, low, high, n, first of the distinct intervals that hold a point of the same keys (low <= at <= high, whole numbers): how many they
+    hold and the least value of a column among them. No pair is made: points are added up by place, and places by dyadic cells (those of level k are
+    2**k wide); an interval is the sum of two cells a level at most, so it meets as many as its width's logarithm."""
+    spans = intervals.select(*keys, F.col(low).cast("bigint").alias(low), F.col(high).cast("bigint").alias(high)).where(F.col(low) <= F.col(high)).distinct()
+    # one level more than the width's logarithm may round to: it has no cell in the interval
+    levels = F.floor(F.log2(F.col(high).cast("double") - F.col(low) + 1)).cast("int") + 1
+    inner = lambda k: (-F.call_function("shiftright", -F.col(low), k), F.call_function("shiftright", F.col(high) + 1, k))
+
+    def taken(k: Column) -> Column:
+        a, b = inner(k)
+        left, right = (a < b) & (F.pmod(a, F.lit(2)) == 1), (a < b) & (F.pmod(b, F.lit(2)) == 1)
+        return F.array(F.when(left, F.struct(k.alias("level"), a.alias("cell"))), F.when(right, F.struct(k.alias("level"), (b - 1).alias("cell"))))
+
+    cells = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.least(levels, F.lit(62))), taken)), lambda c: c.isNotNull())
+    cut = spans.select(*keys, low, high, F.explode(cells).alias("c")).select(*keys, low, high, "c.level", "c.cell")
+    places = points.groupBy(*keys, F.col(at).cast("bigint").alias("__at")).agg(F.count("*").alias("n"), F.min(least).alias("first")).where("__at is not null")
+    top = F.broadcast(spans.agg(F.least(F.max(levels), F.lit(62)).alias("__top")))
+    placed = places.crossJoin(top).withColumn("level", F.explode(F.sequence(F.lit(0), "__top")))
+    sums = placed.groupBy(*keys, "level", F.call_function("shiftright", F.col("__at"), F.col("level")).alias("cell")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return cut.join(sums, [*keys, "level", "cell"]).groupBy(*keys, low, high).agg(F.sum("n").alias("n"), F.min("first").alias("first"))

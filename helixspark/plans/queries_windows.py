@@ -64,10 +64,11 @@ s AS (SELECT p_partkey AS s, CAST(floor(p_retailprice / 10) AS BIGINT) AS low, C
 SELECT s.s, count(*) AS n, min(w.w) AS first FROM s JOIN w ON w.at BETWEEN s.low AND s.high GROUP BY s.s""")
 def range_matches(spark, d):
     """Marks that lie in intervals, counted by interval."""
-    points = t(spark, d, "events").where("value is not null").select(F.lit(1).alias("one"), F.col("event_id").alias("w"), F.floor("value").alias("at"))
+    points = t(spark, d, "events").where("value is not null").select(F.col("event_id").alias("w"), F.floor("value").alias("at"))
     low = F.floor(F.col("p_retailprice") / 10)
-    spans = t(spark, d, "part").select(F.lit(1).alias("one"), F.col("p_partkey").alias("s"), low.alias("low"), (low + F.col("p_size")).alias("high"))
-    return O.range_join(points, spans, ["one"], "at", "low", "high", 32).groupBy("s").agg(F.count("*").alias("n"), F.min("w").alias("first"))
+    spans = t(spark, d, "part").select(F.col("p_partkey").alias("s"), low.alias("low"), (low + F.col("p_size")).alias("high"))
+    totals = O.range_totals(points, spans, [], "at", "low", "high", "w")
+    return spans.join(totals, ["low", "high"]).groupBy("s").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 # Windows and stretches between stops ------------------------------------------------------------------------------
