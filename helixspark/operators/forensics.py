@@ -111,36 +111,50 @@ def mixture(df: DataFrame, value: str, parts: int = 2, rounds: int = 30) -> Data
 
 
 def bell(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """p: area, place and width of a normal curve."""
-    return p[0] / (p[2] * np.sqrt(2 * np.pi)) * np.exp(-(((x - p[1]) / p[2]) ** 2) / 2)
-
-
-def fit_bell(x: np.ndarray, y: np.ndarray, width: float, place: float | None = None, rounds: int = 200) -> np.ndarray:
-    """Least squares by damped Gauss-Newton steps from the tallest value (or a given place)."""
-    p = np.array([width * np.sqrt(2 * np.pi) * max(float(y.max()), 1e-12), float(x[y.argmax()]) if place is None else place, width])
-    damp, best = 1e-3, float(((y - bell(p, x)) ** 2).sum())
+    """p: area, place and width of a normal curve, or of many (rows)."""
+    area, place, width = np.moveaxis(p[..., None], -2, 0)
+    return area / (width * np.sqrt(2 * np.pi)) * np.exp(-(((x - place) / width) ** 2) / 2)
+
+
+def fit_bells(x: np.ndarray, y: np.ndarray, used: np.ndarray, width: float, places: np.ndarray | None = None, rounds: int = 200) -> np.ndarray:
+    """Least squares by damped Gauss-Newton steps from the tallest value (or given places), for each row of x and y by itself; only what is used counts.
+    A row ends where it no longer moves, can't be improved, or where its curve is too narrow for numbers."""
+    y = np.where(used, y, 0.0)
+    tallest = np.where(used, y, -np.inf).argmax(1)
+    rows = np.arange(len(x))
+    p = np.stack([width * np.sqrt(2 * np.pi) * np.maximum(y[rows, tallest], 1e-12), x[rows, tallest] if places is None else places, np.full(len(x), width)], 1)
+    rest = lambda p, k: (((y[k] - bell(p, x[k])) * used[k]) ** 2).sum(1)
+    damp, best, active = np.full(len(x), 1e-3), rest(p, rows), rows
     for _ in range(rounds):
-        g, u = bell(p, x), (x - p[1]) / p[2]
-        j = np.stack([g / p[0], g * u / p[2], g * (u * u - 1) / p[2]], 1)
-        a, b = j.T @ j, j.T @ (y - g)
-        step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-300), b, rcond=None)[0]
-        new = p + step
-        rss = float(((y - bell(new, x)) ** 2).sum()) if new[2] > 0 and new[0] != 0 else np.inf
-        if rss <= best:
-            done = np.abs(step).max() <= 1e-12 * np.abs(p).max()
-            p, best, damp = new, rss, damp / 5
-            if done:
-                break
-        elif damp > 1e12:
+        if not len(active):
             break
-        else:
-            damp *= 4
+        q, on = p[active], used[active]
+        g, u = bell(q, x[active]) * on, (x[active] - q[:, 1:2]) / q[:, 2:]
+        j = np.stack([g / q[:, :1], g * u / q[:, 2:], g * (u * u - 1) / q[:, 2:]], 2)
+        a, b = j.transpose(0, 2, 1) @ j, ((y[active] - g)[:, None] @ j)[:, 0]
+        a = a + damp[active, None, None] * np.eye(3) * (a + 1e-300)
+        fine = np.isfinite(a).all((1, 2)) & np.isfinite(b).all(1)
+        active, q, a, b = active[fine], q[fine], a[fine], b[fine]
+        left, size, right = np.linalg.svd(a)
+        small = size <= np.finfo(float).eps * 3 * size[:, :1]
+        along = np.where(small, 0.0, (b[:, None] @ left)[:, 0] / np.where(small, 1.0, size))
+        step = (along[:, None] @ right)[:, 0]
+        new = q + step
+        rss = np.full(len(active), np.inf)
+        whole = (new[:, 2] > 0) & (new[:, 0] != 0)
+        rss[whole] = rest(new[whole], active[whole])
+        better = rss <= best[active]
+        still = np.abs(step).max(1, initial=0) <= 1e-12 * np.abs(q).max(1, initial=0)
+        over = np.where(better, still, damp[active] > 1e12)
+        moved = active[better]
+        p[moved], best[moved] = new[better], rss[better]
+        damp[active] = np.where(better, damp[active] / 5, damp[active] * 4)
+        active = active[~over]
     return p
 
 
-def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The monotone cubic through points, at places inside them."""
-    m, _ = hermite(x, y)
+def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The monotone cubic through points with slopes m (see ``hermite``), at places inside them."""
     k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
     w = x[k + 1] - x[k]
     t = (at - x[k]) / w
@@ -162,55 +176,76 @@ def mode_below(y: np.ndarray, most: float) -> float:
     return float(v.mean())
 
 
-def stutter_of(x: np.ndarray, y: np.ndarray, place: float, width: float = 3.5, most: float = 1000.0, reach: float = 6.0) -> dict[str, float] | None:
-    """Heights, areas and their ratios of an allele's peak at a place and of the smaller one before it. A normal curve is fitted to the allele, another
-    to what lies before its lower end; heights and areas are those of a spline through the data, reach widths around either, on its side of the valley between."""
-    floor = mode_below(y, most)
-    y = np.maximum(y, floor) - floor
-    allele = fit_bell(x, y, width, place)
-    used = x < np.floor(allele[1] - 6 * abs(allele[2]))
-    if used.sum() < 4 or y[used].max() <= 0:
-        return None
-    stutter = fit_bell(x[used], y[used], width)
-
+def stutters_of(sets: list[tuple[np.ndarray, np.ndarray, float]], width: float = 3.5, most: float = 1000.0, reach: float = 6.0) -> list[dict[str, float] | None]:
+    """Heights, areas and their ratios of an allele's peak at a place and of the smaller one before it, for each (x, y, place). A normal curve is fitted to the allele,
+    another to what lies before its lower end; heights and areas are those of a spline through the data, reach widths around either, on its side of the valley
+    between. Without a height or area of the allele's there is no ratio to it (nan)."""
+    if not sets:
+        return []
+    n = max(len(x) for x, _, _ in sets)
+    xs, ys, used = np.zeros((len(sets), n)), np.zeros((len(sets), n)), np.zeros((len(sets), n), bool)
+    for k, (x, y, _) in enumerate(sets):
+        floor = mode_below(y, most)
+        xs[k, : len(x)], ys[k, : len(x)], used[k, : len(x)] = x, np.maximum(y, floor) - floor, True
+    with np.errstate(all="ignore"):  # rows whose curve becomes too narrow end
+        alleles = fit_bells(xs, ys, used, width, np.array([place for _, _, place in sets], float))
+        before = used & (xs < np.floor(alleles[:, 1] - 6 * np.abs(alleles[:, 2]))[:, None])
+        there = (before.sum(1) >= 4) & (np.where(before, ys, 0.0).max(1) > 0)
+        smaller = np.full((len(sets), 3), np.nan)
+        smaller[there] = fit_bells(xs[there], ys[there], before[there], width)
+        return [_measures(xs[k, on], ys[k, on], smaller[k], alleles[k], reach) if there[k] else None for k, on in enumerate(used)]
+
+
+def _measures(x: np.ndarray, y: np.ndarray, stutter: np.ndarray, allele: np.ndarray, reach: float) -> dict[str, float]:
+    slopes, _ = hermite(x, y)
     # neither reaches beyond the lowest place between the two
     span = np.linspace(*np.clip([stutter[1], allele[1]], x[0], x[-1]), 2001)
-    valley = float(span[spline(x, y, span).argmin()])
+    valley = float(span[spline(x, y, span, slopes).argmin()])
 
     def measured(p: np.ndarray, least: float, greatest: float) -> tuple[float, float, float]:
         lo, hi = max(least, p[1] - reach * abs(p[2])), min(greatest, p[1] + reach * abs(p[2]))
         if hi <= lo:
             return float("nan"), float("nan"), float("nan")
         at = np.linspace(lo, hi, 4001)
-        v = spline(x, y, at)
+        v = spline(x, y, at, slopes)
         return float(at[v.argmax()]), float(v.max()), float(((v[1:] + v[:-1]) / 2).sum() * (at[1] - at[0]))
 
     (l1, h1, s1), (l2, h2, s2) = measured(stutter, x[0], valley), measured(allele, valley, x[-1])
-    return {"rh": h1 / h2, "rs": s1 / s2, "l1": l1, "h1": h1, "s1": s1, "l2": l2, "h2": h2, "s2": s2, "p1": stutter[0], "mu1": stutter[1], "sd1": abs(stutter[2]), "p2": allele[0], "mu2": allele[1], "sd2": abs(allele[2])}
+    ratio = lambda a, b: a / b if b else float("nan")
+    return {"rh": ratio(h1, h2), "rs": ratio(s1, s2), "l1": l1, "h1": h1, "s1": s1, "l2": l2, "h2": h2, "s2": s2, "p1": stutter[0], "mu1": stutter[1], "sd1": abs(stutter[2]), "p2": allele[0], "mu2": allele[1], "sd2": abs(allele[2])}
 
 
+#: Alleles that are fitted at once.
+FITTED = 512
 STUTTER = ["rh", "rs", "l1", "h1", "s1", "l2", "h2", "s2", "p1", "mu1", "sd1", "p2", "mu2", "sd2"]
 
 
 def stutters(traces: DataFrame, alleles: DataFrame, keys: list[str], at: str, value: str, before: int = 70, after: int = 20, width: float = 3.5, most: float = 1000.0) -> DataFrame:
-    """keys, place and the stutter's measures (see ``stutter_of``) of alleles (keys, place) in traces (keys, at, value; at in whole numbers). Each allele
-    meets only the values about it, in a range join; a group is one allele's before + after values. No measures where nothing lies before the peak."""
+    """keys, place and the stutter's measures (see ``stutters_of``) of alleles (keys, place) in traces (keys, at, value; at in whole numbers). Each allele
+    meets only the values about it, in a range join; a group is one allele's before + after values. Values that are no finite numbers don't count. No measures where nothing lies before the peak."""
     from helixspark.operators.ordered import range_join
 
     around = alleles.select(*keys, F.col("place").cast("double").alias("place")).distinct()
     around = around.withColumns({"__low": F.floor(F.col("place") - before).cast("bigint"), "__high": F.floor(F.col("place") + after).cast("bigint")})
-    points = traces.where(F.col(value).isNotNull()).select(*keys, F.col(at).cast("bigint").alias("__at"), F.col(value).cast("double").alias("__value"))
+    points = traces.select(*keys, F.col(at).cast("bigint").alias("__at"), F.col(value).cast("double").alias("__value")).where(F.abs("__value") < float("inf"))
     met = range_join(points, around, keys, "__at", "__low", "__high", 4 * (before + after))
-    sets = met.groupBy(*keys, "place").agg(F.array_sort(F.collect_list(F.struct("__at", "__value"))).alias("xy"))
+    # in so many parts: the values are few and the fits long, and Spark would put small parts together
+    parts = int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = met.repartition(parts, *keys, "place").groupBy(*keys, "place").agg(F.array_sort(F.collect_list(F.struct("__at", "__value"))).alias("xy"))
     sets = sets.select(*keys, "place", F.transform("xy", lambda p: p["__at"].cast("double")).alias("xs"), F.transform("xy", lambda p: p["__value"]).alias("ys"))
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = []
-            for x, y, place in zip(b["xs"], b["ys"], b["place"]):
-                x, y = np.asarray(x, float), np.asarray(y, float)
-                x, once = np.unique(x, return_index=True)
-                found.append(stutter_of(x, y[once], place, width, most) if len(x) > 8 else None)
+            found: list[dict[str, float] | None] = [None] * len(b)
+            sets = []
+            for k, (x, y, place) in enumerate(zip(b["xs"], b["ys"], b["place"])):
+                x, once = np.unique(np.asarray(x, float), return_index=True)
+                if len(x) > 8:
+                    sets.append((k, (x, np.asarray(y, float)[once], place)))
+            for lo in range(0, len(sets), FITTED):
+                ks, some = zip(*sets[lo : lo + FITTED])
+                for k, f in zip(ks, stutters_of(list(some), width, most)):
+                    found[k] = f
             out = b.drop(columns=["xs", "ys"])
             for n in STUTTER:
                 out[n] = [f[n] if f else None for f in found]
