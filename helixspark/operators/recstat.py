@@ -6,17 +6,16 @@ short, as it is the first that passes the end. Strand F is the sequence as given
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark import constants as K
 from helixspark.functions import sequence as S
-from helixspark.functions.tails import chi2_tail, t_tail
+from helixspark.functions.tails import t_tail
 from helixspark.operators.ordered import range_join
 
 SIZE, SHIFT, STOPS = 90, 30, ("taa", "tag", "tga")
@@ -84,6 +83,24 @@ def windows(df: DataFrame, keys: list[str], size: int = SIZE, shift: int = SHIFT
     return source.mapInArrow(run, f"{kinds}, strand string, frame int, k bigint, start bigint, counts array<int>")
 
 
+def _axes(chunks: Iterable[np.ndarray], axes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Eigenvalues, codons' coordinates and loads of a table of windows given in chunks; None if it has no codon."""
+    total, cross = np.zeros(64), np.zeros((64, 64))
+    for counts in chunks:
+        x = counts[counts.sum(1) > 0].astype(float)
+        total += x.sum(0)
+        cross += x.T @ (x / x.sum(1)[:, None])
+    if not total.sum():
+        return None
+    share = total / total.sum()
+    scale = np.where(share > 0, 1 / np.sqrt(np.where(share > 0, share, 1)), 0)
+    m = cross / total.sum() * scale[:, None] * scale - np.outer(np.sqrt(share), np.sqrt(share))
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    values, loads = values[::-1][:axes], (vectors[:, ::-1][:, :axes] * scale[:, None]).T
+    loads = loads * np.where(loads[np.arange(len(loads)), np.abs(loads).argmax(1)] < 0, -1, 1)[:, None]
+    return values, loads * np.sqrt(np.maximum(values, 0))[:, None], loads
+
+
 def codon_axes(df: DataFrame, keys: list[str], axes: int = 4, size: int = SIZE, shift: int = SHIFT, seq: str = "seq") -> DataFrame:
     """keys, strand, values, codons, loads: the correspondence analysis of each sequence's windows, a table of windows x 64 codons.
     values are eigenvalues; codons the codons' coordinates on each axis; loads what a window's codon shares are multiplied with for its own
@@ -96,25 +113,13 @@ def codon_axes(df: DataFrame, keys: list[str], axes: int = 4, size: int = SIZE,
             rows, out = [], {"strand": [], "values": [], "codons": [], "loads": []}
             for row, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 for strand in "FR" if text else "":
-                    codes, total, cross = letters(text, strand), np.zeros(64), np.zeros((64, 64))
-                    for frame in range(3):
-                        for _, counts in window_chunks(codes, frame, size, shift):
-                            x = counts[counts.sum(1) > 0].astype(float)
-                            total += x.sum(0)
-                            cross += x.T @ (x / x.sum(1)[:, None])
-                    if not total.sum():
+                    codes = letters(text, strand)
+                    found = _axes((counts for frame in range(3) for _, counts in window_chunks(codes, frame, size, shift)), axes)
+                    if found is None:
                         continue
-                    share = total / total.sum()
-                    scale = np.where(share > 0, 1 / np.sqrt(np.where(share > 0, share, 1)), 0)
-                    m = cross / total.sum() * scale[:, None] * scale - np.outer(np.sqrt(share), np.sqrt(share))
-                    values, vectors = np.linalg.eigh((m + m.T) / 2)
-                    values, loads = values[::-1][:axes], (vectors[:, ::-1][:, :axes] * scale[:, None]).T
-                    loads = loads * np.where(loads[np.arange(len(loads)), np.abs(loads).argmax(1)] < 0, -1, 1)[:, None]
                     rows.append(row)
-                    out["strand"].append(strand)
-                    out["values"].append(values.tolist())
-                    out["codons"].append((loads * np.sqrt(np.maximum(values, 0))[:, None]).tolist())
-                    out["loads"].append(loads.tolist())
+                    for name, x in zip(out, (strand, *(x.tolist() for x in found))):
+                        out[name].append(x)
             kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64()))]
             own = [b.column(i).take(pa.array(rows, pa.int64())) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*own, *[pa.array(v, t) for v, t in zip(out.values(), kinds)]], names=[*keys, *out])
@@ -138,6 +143,19 @@ def inter_stop(df: DataFrame, keys: list[str], least: int = 150, strands: str =
     return rows.select(*keys, "strand", "frame", F.explode(spans).alias("p")).select(*keys, "strand", "frame", F.col("p.before").cast("bigint").alias("before"), F.col("p.stop").cast("bigint").alias("stop")).where(F.col("stop") - F.col("before") > least)
 
 
+def stretches(codes: np.ndarray, least: int) -> np.ndarray:
+    """Rows frame, before and stop of the stretches of a strand of at least three letters, as ``inter_stop`` has them."""
+    n, x = len(codes), np.where(codes < 0, 64, codes)  # with another letter in it a codon is 64 or above
+    codon = 16 * x[:-2] + 4 * x[1:-1] + x[2:]
+    at = np.flatnonzero(np.logical_or.reduce([codon == sum(int(_CODE[ord(c)]) * k for c, k in zip(stop, (16, 4, 1))) for stop in STOPS]))
+    out = []
+    for frame in range(3):
+        cuts = np.concatenate([[frame - 2], at[at % 3 == frame] + 1, [n - (n - frame) % 3 - 2]])
+        far = np.flatnonzero(cuts[1:] - cuts[:-1] > least)
+        out.append([np.full(len(far), frame), cuts[far], cuts[far + 1]])
+    return np.concatenate(out, 1)
+
+
 def within(points: DataFrame, segments: DataFrame, keys: list[str], at: str, size: int, most_out: float) -> DataFrame:
     """Pairs of a window and a stretch of its strand in which it lies but for a share most_out of its size at either end."""
     spans = segments.withColumns({"low": F.ceil(F.col("before") - most_out * size).cast("bigint"), "high": F.floor(F.col("stop") - (1 - most_out) * size).cast("bigint")})
@@ -180,38 +198,81 @@ def test_scores(df: DataFrame, keys: list[str], factor: int = 1, least: int = 15
     return score_tests(scored, inter_stop(df.where(F.length(seq) >= least), keys, least, seq=seq), keys, size, most_out, level)
 
 
-def codon_kruskal(counts: list[Column], codons: Column) -> Column:
-    """Kruskal and Wallis's statistic, corrected for ties, of the codons' coordinates between groups given by their codon counts."""
-
-    @F.pandas_udf("double")
-    def statistic(a: pd.Series, b: pd.Series, c: pd.Series, score: pd.Series) -> pd.Series:
-        out = []
-        for x, s in zip(zip(a, b, c), score):
-            x, s = np.stack([np.asarray(g, float) for g in x]), np.asarray(s)
-            level, of = np.unique(s, return_inverse=True)
-            g = np.stack([np.bincount(of, r, len(level)) for r in x])
-            t, n = g.sum(0), g.sum()
-            rank = np.cumsum(t) - (t - 1) / 2
-            size = g.sum(1)
-            tied = 1 - (t**3 - t).sum() / (n**3 - n)
-            out.append(None if tied <= 0 or not size.all() else (12 / (n * (n + 1)) * ((g @ rank) ** 2 / size).sum() - 3 * (n + 1)) / tied)
-        return pd.Series(out, dtype="object")
-
-    return statistic(*counts, codons)
+def kruskal(counts: np.ndarray, codons: np.ndarray) -> np.ndarray:
+    """Kruskal and Wallis's statistic, corrected for ties, of the codons' coordinates between the groups of each window (windows x groups x 64
+    counts); nan where a group is empty or all are tied."""
+    order = np.argsort(codons, kind="stable")
+    level = np.flatnonzero(np.concatenate([[True], np.diff(codons[order]) != 0]))
+    g = np.add.reduceat(counts[..., order].astype(float), level, 2)
+    t, size = g.sum(1), g.sum(2)
+    n = t.sum(1)
+    rank = np.cumsum(t, 1) - (t - 1) / 2
+    with np.errstate(all="ignore"):
+        tied = 1 - (t**3 - t).sum(1) / (n**3 - n)
+        h = (12 / (n * (n + 1)) * ((g @ rank[:, :, None])[:, :, 0] ** 2 / size).sum(1) - 3 * (n + 1)) / tied
+    return np.where((tied > 0) & size.all(1), h, np.nan)
 
 
 def test_codons(df: DataFrame, keys: list[str], factor: int = 1, least: int = 150, most_out: float = 0.2, win_share: float = 0.8, level: float = 0.01, size: int = SIZE, shift: int = SHIFT, seq: str = "seq") -> DataFrame:
     """keys, strand, frame, start, end, n, n_low, cds: for each stretch between stops, whether in more than win_share of the windows in it the codons'
     coordinates on an axis differ between the three frames (p < level). Only windows that are complete in all
-    three frames take part; a stretch without any is no coding region."""
-    w = windows(df, keys, size, shift, seq=seq).where(F.aggregate("counts", F.lit(0), lambda a, x: a + x) == size // 3)
-    three = w.groupBy(*keys, "strand", "k").agg(*[F.first(F.when(F.col("frame") == g, F.col("counts")), ignorenulls=True).alias(f"c{g}") for g in range(3)]).where("c0 is not null and c1 is not null and c2 is not null")
-    axes = codon_axes(df, keys, 4, size, shift, seq).select(*keys, "strand", F.get("codons", F.lit(factor - 1)).alias("axis"))
-    h = codon_kruskal([F.col(f"c{g}") for g in range(3)], F.col("axis"))
-    points = three.join(axes, [*keys, "strand"]).select(*keys, "strand", (F.col("k") * shift + 1).alias("at"), h.alias("h"))
-    points = points.withColumn("p", chi2_tail(F.col("h"), F.lit(2)))
-    segments = inter_stop(df.where(F.length(seq) >= least), keys, least, seq=seq)
-    group = [*keys, "strand", "frame", "before", "stop"]
-    met = within(points, segments, keys, "at", size + 2, most_out).groupBy(*group).agg(F.count("*").alias("n"), F.count_if(F.col("p") < level).alias("n_low"))
-    rows = segments.select(*group).join(met, group, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "n_low")})
-    return rows.select(*keys, "strand", "frame", (F.col("before") + 3).alias("start"), (F.col("stop") + 2).alias("end"), "n", "n_low", F.coalesce(F.try_divide(F.col("n_low"), F.col("n")) > win_share, F.lit(False)).alias("cds"))
+    three frames take part; a stretch without any is no coding region. A sequence is read once, with its stretches, and nothing is shuffled; strands without stretches are left out."""
+    _checked(size, shift)
+
+    def taken(frames: list[Iterable], low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and counts (windows x frames x 64) of the windows that take part and lie in a stretch (from window low to high)."""
+        for (first, c0), (_, c1), (_, c2) in zip(*frames):
+            counts = np.stack([c[: min(map(len, (c0, c1, c2)))] for c in (c0, c1, c2)], 1)
+            met = np.zeros(len(counts) + 1, np.int64)
+            np.add.at(met, np.clip(low - first, 0, len(counts)), 1)
+            np.add.at(met, np.clip(high + 1 - first, 0, len(counts)), -1)
+            at = np.flatnonzero(np.cumsum(met[:-1]) > 0)
+            at = at[(counts[at].sum(2) == size // 3).all(1)]
+            if len(at):
+                yield first + at, counts[at]
+
+    def tested(codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many windows take part in each stretch, and for how many p is below level."""
+        made = lambda: [window_chunks(codes, f, size, shift) for f in range(3)]
+        if len(codes) <= CHUNK * shift:
+            frames = [list(f) for f in made()]
+            parts = list(taken(frames, low, high))
+            again = lambda: (frames, parts)
+        else:  # not held but made again
+            again = lambda: (made(), taken(made(), low, high))
+        if next(iter(again()[1]), None) is None:
+            return np.zeros((2, len(low)), np.int64)
+        frames, parts = again()
+        axis = _axes((counts for frame in frames for _, counts in frame), 4)[1][factor - 1]
+        ks, hs = zip(*((k, kruskal(counts, axis)) for k, counts in parts))
+        k = np.concatenate(ks)
+        # the tail of the chi-squared law with two degrees of freedom
+        passed = np.concatenate([[0], np.cumsum(np.exp(-np.concatenate(hs) / 2) < level)])
+        a, z = np.searchsorted(k, low, "left"), np.searchsorted(k, high, "right")
+        return np.stack([z - a, passed[z] - passed[a]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, strands, found = [], [], []
+            for row, text in enumerate(b.column(len(keys)).to_pylist()):
+                for strand in "FR" if text and len(text) >= max(3, least) else "":
+                    codes = letters(text, strand)
+                    spans = stretches(codes, least)
+                    if not spans.shape[1]:
+                        continue
+                    _, before, stop = spans
+                    # numbers of the first and the last window in a stretch
+                    low = np.ceil((np.ceil(before - most_out * (size + 2)) - 1) / shift).astype(np.int64)
+                    high = np.floor((np.floor(stop - (1 - most_out) * (size + 2)) - 1) / shift).astype(np.int64)
+                    rows += [row] * len(before)
+                    strands += [strand] * len(before)
+                    found.append(np.concatenate([spans, tested(codes, low, np.maximum(high, low - 1))]))
+            if rows:
+                frame, before, stop, n, n_low = np.concatenate(found, 1)
+                own = [b.column(k).take(pa.array(rows)) for k in range(len(keys))]
+                out = [pa.array(strands), pa.array(frame.astype(np.int32)), *map(pa.array, (before + 3, stop + 2, n, n_low, n_low / np.maximum(n, 1) > win_share))]
+                yield pa.RecordBatch.from_arrays([*own, *out], names=[*keys, "strand", "frame", "start", "end", "n", "n_low", "cds"])
+
+    source = df.select(*keys, seq)
+    kinds = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+    return source.mapInArrow(run, f"{kinds}, strand string, frame int, start bigint, end bigint, n bigint, n_low bigint, cds boolean")
